@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # A decimal literal; keeps Java's type suffixes ("1d") and hexadecimal floats out of the cast.
-DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+DECIMAL = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 
 # Bin edges and their names.
 POPULARITY_EDGES = (0.0, 20.0, 40.0, 60.0, 80.0, 100.0)
@@ -22,14 +22,14 @@ LONG_ABOVE_MINUTES = 5
 
 
 def not_nan(number: Column) -> Column:
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(number, F.lit(None).cast("double"))
 
 
 def to_number(df: DataFrame, field: str) -> Column:
     """Field as double, NULL where it does not parse; booleans become 0 and 1."""
     kind = df.schema[field].dataType
     if isinstance(kind, T.StringType):
-        return F.when(F.col(field).rlike(DECIMAL), F.col(field).try_cast("double"))
+        return F.regexp_extract(F.col(field), DECIMAL, 0).try_cast("double")
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return not_nan(F.col(field).cast("double"))
     if isinstance(kind, (T.NumericType, T.BooleanType)):

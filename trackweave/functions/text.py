@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white space Python's str.strip and \s know, the characters a clean name keeps.
+from trackweave.functions.binding import once
+
+# White space as Python's str.strip and \s see it; ``trim`` alone only knows U+0020.
+BLANKS = "".join(filter(str.isspace, map(chr, range(0x3001))))
 SPACE = r"[\s\x1c-\x1f]"
-NOT_KEPT = r"""(?U)[^a-zA-Z0-9\s\x1c-\x1f\-'".,!?()]"""
-TAIL = "[0-9Embed]+$"
+# The characters a clean name keeps, the characters cut from a lyrics tail.
+# The kept characters are listed one by one: Java turns a list into a bit set, but a union of ranges
+# into a chain of predicates that is many times slower and slows down further with every core.
+KEPT = string.ascii_letters + string.digits + " '\".,!?()"
+NOT_KEPT = f"[^{KEPT}\\-]+"
+TAIL = "0123456789Embed"
 
 # Words that trigger query expansion and the two prefixes.
 MOOD_WORDS = ("triste", "alegre", "melancólico", "energético", "relajado", "romántico")
@@ -20,22 +28,25 @@ GENRE_PREFIX = "música de género "
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode white space at both ends; ``trim`` only knows U+0020."""
-    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    """Remove Unicode white space at both ends."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def normalize_text(text: Column, min_length: int = 1, max_length: int = 500) -> Column:
     """Strip, collapse white space, delete special characters; NULL when the length is off."""
     collapsed = F.regexp_replace(strip(text), f"(?U){SPACE}+", " ")
     kept = F.regexp_replace(collapsed, NOT_KEPT, "")
-    return F.when(F.length(kept).between(min_length, max_length), kept)
+    return once(kept, lambda k: F.when(F.length(k).between(min_length, max_length), k))
 
 
 def trim_lyrics_tail(lyrics: Column) -> Column:
     """Cut the counter suffix of a lyrics page: only if the last character is a digit."""
-    text = strip(lyrics)
-    cut = text.rlike("[0-9]$") & ~text.rlike("^[0-9Embed]+$")
-    return F.coalesce(strip(F.when(cut, F.regexp_replace(text, TAIL, "")).otherwise(text)), F.lit(""))
+
+    def cut(text: Column) -> Column:
+        rest = F.rtrim(text, F.lit(TAIL))
+        return F.when(F.right(text, F.lit(1)).between("0", "9") & (rest != ""), rest).otherwise(text)
+
+    return F.coalesce(strip(once(strip(lyrics), cut)), F.lit(""))
 
 
 def describe(description: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trackweave.functions.binding import once
+
 METRICS = ("cosine", "euclidean", "dot")
 TEXT_WEIGHT = 0.7
 FEATURE_WEIGHT = 0.3
@@ -16,15 +16,6 @@ def as_vector(vector: Column) -> Column:
     return vector.cast("array<double>")
 
 
-def _once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once per row.
-
-    A lambda body is evaluated per element, so an outer expression inside it would be recomputed for
-    every element; binding it to a lambda variable keeps the work linear in the vector's length.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def dot(left: Column, right: Column) -> Column:
     products = F.zip_with(left, right, lambda a, b: a * b)
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
@@ -44,7 +35,7 @@ def _or_one(number: Column) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """Vector of length 1; the zero vector stays as it is."""
-    scaled = _once(_or_one(l2_norm(vector)), lambda norm: F.transform(vector, lambda x: x / norm))
+    scaled = once(_or_one(l2_norm(vector)), lambda norm: F.transform(vector, lambda x: x / norm))
     return F.when(vector.isNotNull(), scaled)
 
 
@@ -91,5 +82,5 @@ def hybrid_vector(
         )
 
     norms = F.struct(l2_norm(text).alias("t"), l2_norm(features).alias("f"))
-    combined = _once(_once(norms, factors), lambda factor: joined(factor["t"], factor["f"]))
+    combined = once(once(norms, factors), lambda factor: joined(factor["t"], factor["f"]))
     return F.when(text.isNotNull() & features.isNotNull(), combined)

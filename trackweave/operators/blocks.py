@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
 CATALOGUE_BLOCK_ROWS = 20_000
+MAX_TASKS = 20_000
 QUERY, ITEM = "_query_block", "_item_block"
 
 
@@ -52,4 +53,8 @@ def fragment_replicate(
 
     left = queries.withColumn(QUERY, even_block(F.col(query_key), query_blocks)).withColumn(ITEM, every(item_blocks))
     right = items.withColumn(ITEM, even_block(F.col(item_key), item_blocks)).withColumn(QUERY, every(query_blocks))
+    # A stated number of partitions: adaptive execution would merge cells that are small in bytes but
+    # long in work.
+    tasks = min(MAX_TASKS, query_blocks * item_blocks)
+    left, right = (side.repartition(tasks, QUERY, ITEM) for side in (left, right))
     return left.groupBy(QUERY, ITEM).cogroup(right.groupBy(QUERY, ITEM))

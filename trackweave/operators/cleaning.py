@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackweave import schemas
+from trackweave.functions.binding import once
 from trackweave.functions.numeric import in_range, to_number
 from trackweave.functions.text import normalize_text
 from trackweave.operators.order_stats import ColumnSummary, medians, summarize
@@ -39,8 +42,21 @@ def clean_text(
     max_length: int = 500,
 ) -> DataFrame:
     """Normalise the text fields that exist and drop rows without the required ones."""
-    cleaned = {f: normalize_text(F.col(f), min_length, max_length) for f in fields if f in df.columns}
-    return df.withColumns(cleaned).dropna(subset=[f for f in required if f in df.columns])
+    cleaned = [f for f in fields if f in df.columns]
+    needed = [f for f in required if f in df.columns]
+    if not cleaned:
+        return df.dropna(subset=needed)
+    texts = F.struct(*[normalize_text(F.col(f), min_length, max_length).alias(f) for f in cleaned])
+
+    def complete(row: Column) -> Column:
+        return reduce(Column.__and__, [row[f].isNotNull() for f in needed if f in cleaned], F.lit(True))
+
+    # Zero or one struct per row. A filter after a projection would be pushed below it together with
+    # a copy of every regular expression.
+    kept = df.dropna(subset=needed).select(
+        *[F.col(c) for c in df.columns if c not in cleaned], F.inline(F.filter(F.array(texts), complete))
+    )
+    return kept.select(*df.columns)
 
 
 @dataclass(frozen=True)
@@ -75,10 +91,10 @@ class NumericCleaner:
         """One row of counters. Values nulled by the range check do not count as filled."""
         alive, filled, removed = F.lit(True), F.lit(0), F.lit(0)
         for step in self.steps:
-            raw = to_number(df, step.valid.field)
             if step.fill is not None:
-                filled = filled + (alive & raw.isNull()).cast("int")
-            stays = step.kept(step.filled(in_range(raw, step.valid.lower, step.valid.upper)))
+                filled = filled + (alive & to_number(df, step.valid.field).isNull()).cast("int")
+            value = step.filled(_valid_number(df, step.valid))
+            stays = once(value, step.kept) if _is_text(df, step.valid.field) else step.kept(value)
             removed = removed + (alive & ~stays).cast("int")
             alive = alive & stays
         counters = df.select(alive.alias("alive"), filled.alias("filled"), removed.alias("removed"))
@@ -90,10 +106,24 @@ class NumericCleaner:
         )
 
 
+def _is_text(df: DataFrame, field: str) -> bool:
+    return isinstance(df.schema[field].dataType, T.StringType)
+
+
+def _valid_number(df: DataFrame, valid: Range) -> Column:
+    """Number within the range, else NULL. Parsing a string is costly enough to do it only once."""
+    number = to_number(df, valid.field)
+    if _is_text(df, valid.field):
+        return once(number, lambda n: in_range(n, valid.lower, valid.upper))
+    return in_range(number, valid.lower, valid.upper)
+
+
 def _apply(df: DataFrame, step: FieldCleaning) -> DataFrame:
     name = step.valid.field
-    value = in_range(to_number(df, name), step.valid.lower, step.valid.upper)
-    return df.withColumn(name, step.filled(value)).filter(step.kept(F.col(name)))
+    cleaned = df.withColumn(name, step.filled(_valid_number(df, step.valid)))
+    if step.keep_from is None:
+        return cleaned
+    return cleaned.filter(once(F.col(name), step.kept) if _is_text(df, name) else step.kept(F.col(name)))
 
 
 def fit_numeric_cleaner(
@@ -113,7 +143,7 @@ def fit_numeric_cleaner(
     for valid in ranges:
         if valid.field not in current.columns:
             continue
-        value = in_range(to_number(current, valid.field), valid.lower, valid.upper)
+        value = _valid_number(current, valid)
         facts = summarize(current, {"value": value})["value"]
         fill = None
         if fill_missing and facts.filled:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,8 +60,10 @@ def match_names(
     small = blocks.small_table(asked, broadcast_rows)
     if small is not None:
         shared = queries.sparkSession.sparkContext.broadcast(small)
-        if small.num_rows:
-            pairs = pairs.filter(_reachable_length(small, threshold))
+        if not small.num_rows:
+            return queries.sparkSession.createDataFrame([], schema)
+        # Comparing is long work on few bytes, so the number of tasks is stated.
+        pairs = pairs.filter(_reachable_length(small, threshold)).repartition(_tasks(queries.sparkSession))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _best(shared.value, (pa.Table.from_batches([b]) for b in batches), threshold).to_batches()
@@ -72,6 +75,10 @@ def match_names(
     return keep_first(partial, ["query_id"], [F.col("score").desc(), F.col("matched_id")])
 
 
+def _tasks(spark) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _reachable_length(queries: pa.Table, threshold: float):
     """Candidate lengths that can still score: the ratio is at most 2 min(a, b) / (a + b)."""
     with_artist = any(queries.column("_artist").to_pylist())
@@ -90,15 +97,15 @@ class _Ratios:
     def __init__(self, text: str):
         self.text, self.known = text, {}
 
-    def at_least(self, candidate: str, floor: float) -> float | None:
-        """The ratio, or None when it provably lies below the floor."""
+    def of(self, candidate: str, floor: float) -> float:
+        """The ratio, or -1 when an upper bound already lies below the floor."""
         if candidate not in self.known:
             total = len(self.text) + len(candidate)
             if total and 2.0 * min(len(self.text), len(candidate)) / total < floor - EPSILON:
-                return None
+                return -1.0
             matcher = SequenceMatcher(None, self.text, candidate)
             if matcher.quick_ratio() < floor - EPSILON:
-                return None
+                return -1.0
             if len(self.known) > 100_000:
                 self.known.clear()
             self.known[candidate] = matcher.ratio()
@@ -106,39 +113,47 @@ class _Ratios:
 
 
 def _best(queries: pa.Table, chunks, threshold: float) -> pa.Table:
-    asked = queries.to_pylist()
-    names: dict[str, _Ratios] = {}
-    artists: dict[str, _Ratios] = {}
-    best: list[tuple | None] = [None] * len(asked)
+    """Best pair per query of this task. Names are compared once per distinct pair of names."""
+    asked: dict[str, list[tuple[int, str | None]]] = {}
+    for place, (name, artist) in enumerate(
+        zip(queries.column("_name").to_pylist(), queries.column("_artist").to_pylist())
+    ):
+        asked.setdefault(name, []).append((place, artist))
+    names = {name: _Ratios(name) for name in asked}
+    artists = {artist: _Ratios(artist) for group in asked.values() for _, artist in group if artist}
+    least_name = (threshold - ARTIST_WEIGHT) / NAME_WEIGHT
+    best: dict[int, tuple] = {}
     id_type = pa.null()
     for chunk in chunks:
         id_type = chunk.column("matched_id").type
-        candidates = list(
-            zip(*(chunk.column(c).to_pylist() for c in ("matched_id", "_name", "_artist")))
-        )
-        for place, query in enumerate(asked):
-            by_name = names.setdefault(query["_name"], _Ratios(query["_name"]))
-            by_artist = artists.setdefault(query["_artist"], _Ratios(query["_artist"])) if query["_artist"] else None
-            for item, name, artist in candidates:
-                needed = threshold if best[place] is None else max(threshold, best[place][0])
-                least = (needed - ARTIST_WEIGHT) / NAME_WEIGHT if by_artist else needed
-                score = by_name.at_least(name, least)
-                if score is None:
-                    continue
-                if by_artist:
-                    partner = by_artist.at_least(artist, (needed - score * NAME_WEIGHT) / ARTIST_WEIGHT)
-                    if partner is None:
-                        continue
-                    score = score * NAME_WEIGHT + partner * ARTIST_WEIGHT
-                if score < threshold:
+        ids = chunk.column("matched_id").to_pylist()
+        coded = chunk.column("_name").combine_chunks().dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        partners = np.array(chunk.column("_artist").to_pylist(), dtype=object)
+        for name, group in asked.items():
+            floor = least_name if any(artist for _, artist in group) else threshold
+            scores = np.array([names[name].of(candidate, floor) for candidate in distinct])[codes]
+            near = np.flatnonzero(scores >= floor - EPSILON)
+            if not len(near):
+                continue
+            for place, artist in group:
+                final = scores[near]
+                if artist:
+                    second = [
+                        artists[artist].of(partner, (threshold - score * NAME_WEIGHT) / ARTIST_WEIGHT)
+                        for partner, score in zip(partners[near], final)
+                    ]
+                    final = np.where(np.array(second) < 0, -1.0, final * NAME_WEIGHT + np.array(second) * ARTIST_WEIGHT)
+                top = final.max()
+                if top < threshold or (place in best and top < best[place][0]):
                     continue
-                if best[place] is None or score > best[place][0] or (score == best[place][0] and item < best[place][1]):
-                    best[place] = (score, item)
-    hits = [place for place, found in enumerate(best) if found is not None]
-    ids = queries.column("query_id").take(pa.array(hits, pa.int64()))
+                first = min(ids[i] for i in near[final == top])
+                if place not in best or top > best[place][0] or first < best[place][1]:
+                    best[place] = (float(top), first)
+    hits = sorted(best)
     return pa.table(
         [
-            ids,
+            queries.column("query_id").take(pa.array(hits, pa.int64())),
             pa.array([best[place][1] for place in hits], id_type),
             pa.array([best[place][0] for place in hits], pa.float64()),
         ],

@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from trackweave.operators.blocks import small_table
 from trackweave.operators.fuzzy import match_names
-from trackweave.operators.lookup import resolve_exact
+from trackweave.operators.lookup import find_by_id, resolve_exact
 from trackweave.operators.neighbours import nearest
 from trackweave.operators.ranking import keep_first, top_n_per_group
 from trackweave.operators.text_vectors import HashedTextModel
 
 VECTOR_TYPES = ("text", "feature", "combined")
 DISPLAY = ("track_name", "artist_name", "album_name")
-RESULT = ("query_id", "rank", "track_id", *DISPLAY, "similarity_score")
+PUSHED_IDS = 1000
 
 
 def cached(catalogue: DataFrame) -> DataFrame:
@@ -64,6 +65,10 @@ def recommend(
     vector = f"{embedding_type}_embedding"
     wanted = targets.select("query_id", F.col("matched_id").alias("track_id"))
     rows = catalogue.select("track_id", "artist_name", F.col(vector).alias("vector"))
+    few = small_table(wanted.select("track_id"), PUSHED_IDS)
+    if few is not None:
+        # A short id list reaches the Parquet scan, so only its row groups are read for the queries.
+        rows = rows.filter(F.col("track_id").isin(few.column(0).unique().to_pylist()))
     asked = keep_first(wanted.join(rows, "track_id"), ["query_id"], [F.col("track_id"), F.col("artist_name")])
     asked = asked.withColumnsRenamed({"track_id": "_own_id", "artist_name": "_own_artist"})
     excluded = [("_own_id", "track_id")]
@@ -100,12 +105,15 @@ def recommend_one(
 ) -> DataFrame:
     """Recommendations for one item named by id, or by name and artist."""
     check_request(k, embedding_type, track_id, track_name)
+    spark = catalogue.sparkSession
     id_type = catalogue.schema["track_id"].dataType.simpleString()
-    query = catalogue.sparkSession.createDataFrame(
-        [(0, track_id, track_name, artist_name)],
-        f"query_id int, track_id {id_type}, track_name string, artist_name string",
-    )
-    return recommend(catalogue, resolve(query, catalogue), k, embedding_type, **options)
+    if track_id is not None and find_by_id(catalogue, track_id).select("track_id").take(1):
+        targets = spark.createDataFrame([(0, track_id)], f"query_id int, matched_id {id_type}")
+    else:
+        asked = [(0, None, track_name, artist_name)]
+        columns = f"query_id int, track_id {id_type}, track_name string, artist_name string"
+        targets = resolve(spark.createDataFrame(asked, columns), catalogue)
+    return recommend(catalogue, targets, k, embedding_type, **options)
 
 
 def recommend_batch(catalogue: DataFrame, track_ids: DataFrame, k: int = 10, embedding_type: str = "combined", **options) -> DataFrame:

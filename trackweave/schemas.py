@@ -1,9 +1,7 @@
-"""Explicit schemas at every table boundary."""
+"""Explicit schemas (DDL) at every table boundary and the fixed column lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 AUDIO_FIELDS = {
     "danceability": "double",
     "energy": "double",
@@ -19,11 +17,9 @@ AUDIO_FIELDS = {
     "time_signature": "int",
 }
 
-AUDIO = T.StructType.fromDDL(
-    "track_id string, " + ", ".join(f"{name} {kind}" for name, kind in AUDIO_FIELDS.items())
-)
+AUDIO = "track_id string, " + ", ".join(f"{name} {kind}" for name, kind in AUDIO_FIELDS.items())
 
-LYRICS = T.StructType.fromDDL(
+LYRICS = (
     "track_id string, genius_id long, title string, artist string, lyrics string, lyrics_length int, "
     "url string, genius_popularity long, release_date string, description string, has_lyrics boolean"
 )
@@ -31,19 +27,19 @@ LYRICS = T.StructType.fromDDL(
 TAG = "struct<name: string, weight: int, url: string>"
 SIMILAR = "struct<name: string, artist: string, match_score: double>"
 
-TAGS = T.StructType.fromDDL(
+TAGS = (
     "track_id string, track_name string, artist_name string, tags array<string>, "
     f"tags_detailed array<{TAG}>, similar_tracks array<{SIMILAR}>, playcount long, listeners long, "
     "lastfm_url string"
 )
 
-FLAT_TRACK = T.StructType.fromDDL(
+FLAT_TRACK = (
     "track_id string, name string, artist string, artist_id string, album string, album_id string, "
     "release_date string, popularity long, duration_ms long, explicit boolean, preview_url string, "
     "spotify_url string, isrc string, track_number long, disc_number long"
 )
 
-RECOMMENDATION = T.StructType.fromDDL(
+RECOMMENDATION = (
     "query_id string, rank int, track_id string, track_name string, artist_name string, "
     "album_name string, similarity_score double"
 )

@@ -36,26 +36,31 @@ def flatten_records(df: DataFrame, raw: str = "raw", source: str = "spotify") ->
 
     VARIANT keeps a JSON null apart from an absent key, which a schema-based parse does not.
     """
-    parsed = df.select(F.try_parse_json(F.col(raw)).alias("_record"))
-    record = F.col("_record")
-
-    def present(path: str) -> Column:
-        return F.try_variant_get(record, path, "variant").isNotNull()
-
-    complete = present(REQUIRED_OBJECTS[0])
-    for path in [*REQUIRED_OBJECTS[1:], *[path for path, _ in REQUIRED_PATHS.values()]]:
-        complete = complete & present(path)
     columns = {**REQUIRED_PATHS, **OPTIONAL_PATHS}
-    return parsed.filter(complete).select(
-        *[F.try_variant_get(record, path, kind).alias(name) for name, (path, kind) in columns.items()],
-        F.current_timestamp().alias("ingested_at"),
-        F.lit(source).alias("source"),
+    required = [*REQUIRED_OBJECTS, *[path for path, _ in REQUIRED_PATHS.values()]]
+
+    def flat(record: Column) -> Column:
+        complete = F.lit(True)
+        for path in required:
+            complete = complete & F.try_variant_get(record, path, "variant").isNotNull()
+        fields = [F.try_variant_get(record, path, kind).alias(name) for name, (path, kind) in columns.items()]
+        return F.struct(complete.alias("_complete"), *fields)
+
+    # Zero or one struct per record; the lambda binds the parsed record, so it is parsed once.
+    rows = F.filter(F.transform(F.array(F.try_parse_json(F.col(raw))), flat), lambda row: row["_complete"])
+    return (
+        df.select(F.inline(rows))
+        .drop("_complete")
+        .withColumns({"ingested_at": F.current_timestamp(), "source": F.lit(source)})
     )
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Rows of JSON files, one array or one object per line each; a bad file gives no rows."""
-    corrupt = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
+    if isinstance(schema, str):
+        corrupt = f"{schema}, _corrupt_record string"
+    else:
+        corrupt = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
     rows = (
         spark.read.schema(corrupt)
         .option("multiLine", True)
@@ -66,7 +71,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
-def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Rows of line-delimited JSON, the splittable form that large landings should use."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 

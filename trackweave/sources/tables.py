@@ -20,10 +20,15 @@ VECTOR_COLUMNS = (
 )
 
 
-def read_table(spark: SparkSession, name: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A catalogue table by name or a Parquet folder by path; ``columns`` prunes the scan."""
+def read_table(
+    spark: SparkSession, name: str, columns: Sequence[str] | None = None, merge_schema: bool = False
+) -> DataFrame:
+    """A catalogue table by name or a Parquet folder by path; ``columns`` prunes the scan.
+
+    ``merge_schema`` unites the columns of all appended runs; it reads every file's footer.
+    """
     is_path = "/" in name
-    df = spark.read.option("mergeSchema", True).parquet(name) if is_path else spark.table(name)
+    df = spark.read.option("mergeSchema", merge_schema).parquet(name) if is_path else spark.table(name)
     return df if columns is None else df.select(*columns)
 
 
@@ -32,6 +37,15 @@ def read_vectors(spark: SparkSession, name: str) -> DataFrame:
     return read_table(spark, name, VECTOR_COLUMNS)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row work on a scanned table that came in fewer splits than cores.
+
+    Large tables come in more splits and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def append_table(df: DataFrame, name: str) -> None:
     """Append, stamping ``loaded_at`` unless the rows already carry it."""
     if "loaded_at" not in df.columns:
