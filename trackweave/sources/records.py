@@ -6,26 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Output column -> path in the nested record and type. All of these must be present in the record;
-# present-but-null passes.
-REQUIRED_PATHS = {
-    "track_id": ("$.id", "string"),
-    "name": ("$.name", "string"),
-    "artist": ("$.artists[0].name", "string"),
-    "artist_id": ("$.artists[0].id", "string"),
-    "album": ("$.album.name", "string"),
-    "album_id": ("$.album.id", "string"),
-    "release_date": ("$.album.release_date", "string"),
-    "popularity": ("$.popularity", "long"),
-    "duration_ms": ("$.duration_ms", "long"),
-    "explicit": ("$.explicit", "boolean"),
-    "spotify_url": ("$.external_urls.spotify", "string"),
-    "track_number": ("$.track_number", "long"),
-    "disc_number": ("$.disc_number", "long"),
-}
-OPTIONAL_PATHS = {
-    "preview_url": ("$.preview_url", "string"),
-    "isrc": ("$.external_ids.isrc", "string"),
+# Output column -> path in the nested record, type, and whether the key must be present; a present
+# but null value passes.
+PATHS = {
+    "track_id": ("$.id", "string", True),
+    "name": ("$.name", "string", True),
+    "artist": ("$.artists[0].name", "string", True),
+    "artist_id": ("$.artists[0].id", "string", True),
+    "album": ("$.album.name", "string", True),
+    "album_id": ("$.album.id", "string", True),
+    "release_date": ("$.album.release_date", "string", True),
+    "popularity": ("$.popularity", "long", True),
+    "duration_ms": ("$.duration_ms", "long", True),
+    "explicit": ("$.explicit", "boolean", True),
+    "preview_url": ("$.preview_url", "string", False),
+    "spotify_url": ("$.external_urls.spotify", "string", True),
+    "isrc": ("$.external_ids.isrc", "string", False),
+    "track_number": ("$.track_number", "long", True),
+    "disc_number": ("$.disc_number", "long", True),
 }
 # Objects that must exist although only optional members are read from them.
 REQUIRED_OBJECTS = ("$.external_ids",)
@@ -36,14 +34,13 @@ def flatten_records(df: DataFrame, raw: str = "raw", source: str = "spotify") ->
 
     VARIANT keeps a JSON null apart from an absent key, which a schema-based parse does not.
     """
-    columns = {**REQUIRED_PATHS, **OPTIONAL_PATHS}
-    required = [*REQUIRED_OBJECTS, *[path for path, _ in REQUIRED_PATHS.values()]]
+    required = [*REQUIRED_OBJECTS, *[path for path, _, needed in PATHS.values() if needed]]
 
     def flat(record: Column) -> Column:
         complete = F.lit(True)
         for path in required:
             complete = complete & F.try_variant_get(record, path, "variant").isNotNull()
-        fields = [F.try_variant_get(record, path, kind).alias(name) for name, (path, kind) in columns.items()]
+        fields = [F.try_variant_get(record, path, kind).alias(name) for name, (path, kind, _) in PATHS.items()]
         return F.struct(complete.alias("_complete"), *fields)
 
     # Zero or one struct per record; the lambda binds the parsed record, so it is parsed once.
