@@ -1,10 +1,10 @@
 """Every registered query against DuckDB on the small tables; those without SQL against brute force."""
 
-import math
 import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
@@ -26,7 +26,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if pd.isna(value):
         return None
     if isinstance(value, (bool, np.bool_, str)):
         return value if isinstance(value, str) else bool(value)

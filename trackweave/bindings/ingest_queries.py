@@ -239,13 +239,13 @@ _MERGED_SQL = """
     f"""
     WITH {_MERGED_SQL}
     SELECT track_id, name, artist, popularity, round(tempo, 6) AS tempo, lyrics_key IS NOT NULL AS has_genius, tags_key IS NOT NULL AS has_lastfm,
-           CASE WHEN lyrics_key IS NOT NULL THEN CASE WHEN toxic = 0 THEN quality ELSE 0 END END AS lyrics_length,
-           CASE WHEN lyrics_key IS NOT NULL THEN CAST(toxic AS BIGINT) END AS genius_popularity,
-           CASE WHEN lyrics_key IS NOT NULL THEN false END AS has_lyrics,
-           CASE WHEN tags_key IS NOT NULL THEN CAST(length(html) AS BIGINT) END AS playcount,
-           CASE WHEN tags_key IS NOT NULL THEN 0 END AS listeners,
-           CASE WHEN tags_key IS NOT NULL THEN len(string_split(url, '/')) END AS num_tags,
-           CASE WHEN tags_key IS NOT NULL THEN 0 END AS num_similar
+           CAST(CASE WHEN lyrics_key IS NOT NULL THEN CASE WHEN toxic = 0 THEN quality ELSE 0 END END AS DOUBLE) AS lyrics_length,
+           CAST(CASE WHEN lyrics_key IS NOT NULL THEN toxic END AS DOUBLE) AS genius_popularity,
+           CASE WHEN lyrics_key IS NOT NULL THEN 'false' END AS has_lyrics,
+           CAST(CASE WHEN tags_key IS NOT NULL THEN length(html) END AS DOUBLE) AS playcount,
+           CAST(CASE WHEN tags_key IS NOT NULL THEN 0 END AS DOUBLE) AS listeners,
+           CAST(CASE WHEN tags_key IS NOT NULL THEN len(string_split(url, '/')) END AS DOUBLE) AS num_tags,
+           CAST(CASE WHEN tags_key IS NOT NULL THEN 0 END AS DOUBLE) AS num_similar
     FROM merged
     """,
 )
@@ -255,10 +255,13 @@ def merge_sources(spark, folder):
         F.round("tempo", 6).alias("tempo"),
         F.col("data_sources.genius").alias("has_genius"),
         F.col("data_sources.lastfm").alias("has_lastfm"),
-        "genius.lyrics_length", "genius.genius_popularity", "genius.has_lyrics",
-        "lastfm.playcount", "lastfm.listeners",
-        F.size("lastfm.tags").alias("num_tags"),
-        F.size("lastfm.similar_tracks").alias("num_similar"),
+        F.col("genius.lyrics_length").cast("double").alias("lyrics_length"),
+        F.col("genius.genius_popularity").cast("double").alias("genius_popularity"),
+        F.col("genius.has_lyrics").cast("string").alias("has_lyrics"),
+        F.col("lastfm.playcount").cast("double").alias("playcount"),
+        F.col("lastfm.listeners").cast("double").alias("listeners"),
+        F.size("lastfm.tags").cast("double").alias("num_tags"),
+        F.size("lastfm.similar_tracks").cast("double").alias("num_similar"),
     )
 
 

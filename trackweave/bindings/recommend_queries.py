@@ -45,13 +45,14 @@ _ASKED = {
     hit AS (SELECT q.query_id, c.track_id AS known, CASE WHEN b.c > 1 AND q.artist_name IS NOT NULL THEN d.first ELSE b.first END AS named
             FROM asked q LEFT JOIN cat c ON c.track_id = q.track_id LEFT JOIN by_name b ON b.n = lower(q.track_name)
             LEFT JOIN by_artist d ON d.n = lower(q.track_name) AND d.a = lower(q.artist_name))
-    SELECT query_id, coalesce(known, named) AS matched_id,
+    SELECT query_id, CAST(coalesce(known, named) AS DOUBLE) AS matched_id,
            CASE WHEN known IS NOT NULL THEN 'id' WHEN named IS NOT NULL THEN 'name' END AS method FROM hit
     """,
 )
 def resolve_exact(spark, folder):
     asked = table(spark, folder, "part").select(*[F.expr(text).alias(name) for name, text in _ASKED.items()])
-    return lookup.resolve_exact(asked, catalogue(spark, folder)).select("query_id", "matched_id", "method")
+    found = lookup.resolve_exact(asked, catalogue(spark, folder))
+    return found.select("query_id", F.col("matched_id").cast("double").alias("matched_id"), "method")
 
 
 @query("fuzzy_match")

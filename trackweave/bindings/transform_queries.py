@@ -235,15 +235,21 @@ def numeric_features(spark, folder):
 
 
 _TEMPORAL = """
-    CAST(year(d) AS INT) AS release_year, CAST(month(d) AS INT) AS release_month, CAST(day(d) AS INT) AS release_day,
+    CAST(year(d) AS DOUBLE) AS release_year, CAST(month(d) AS DOUBLE) AS release_month, CAST(day(d) AS DOUBLE) AS release_day,
     CAST(year(d) - year(d) % 10 AS VARCHAR) || 's' AS release_decade,
     CASE WHEN d IS NULL THEN NULL WHEN year(d) >= 2020 AND year(d) < 2030 THEN '2020s' WHEN year(d) >= 2010 AND year(d) < 2019 THEN '2010s'
          WHEN year(d) >= 2000 AND year(d) < 2009 THEN '2000s' WHEN year(d) >= 1990 AND year(d) < 1999 THEN '90s'
          WHEN year(d) >= 0 AND year(d) < 1989 THEN 'older' ELSE 'unknown' END AS music_era,
-    CAST(2024 - year(d) AS INT) AS track_age_years, CAST(coalesce(2024 - year(d) < 1, false) AS INT) AS is_recent_release
+    CAST(2024 - year(d) AS DOUBLE) AS track_age_years, CAST(coalesce(2024 - year(d) < 1, false) AS INT) AS is_recent_release
 """
 
 
+def _dated(columns):
+    """Nullable integers as doubles: without a type of their own in a data frame."""
+    nullable = ("release_year", "release_month", "release_day", "track_age_years")
+    return [(c.cast("double") if name in nullable else c).alias(name) for name, c in columns.items()]
+
+
 @query(
     "temporal_features",
     f"""
@@ -258,7 +264,7 @@ def temporal(spark, folder):
     )
     rows = catalogue(spark, folder).withColumn("release_date", written.otherwise(F.col("release_date")))
     parsed = rows.select("track_id", parse_date(F.col("release_date")).alias("d"))
-    return parsed.select("track_id", *[c.alias(n) for n, c in temporal_features(F.col("d"), 2024).items()])
+    return parsed.select("track_id", *_dated(temporal_features(F.col("d"), 2024)))
 
 
 @query(
@@ -267,7 +273,7 @@ def temporal(spark, folder):
 )
 def order_date_features(spark, folder):
     dates = table(spark, folder, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
-    return dates.select("o_orderkey", *[c.alias(n) for n, c in temporal_features(F.col("d"), 2024).items()])
+    return dates.select("o_orderkey", *_dated(temporal_features(F.col("d"), 2024)))
 
 
 @query(
@@ -303,8 +309,10 @@ def tags_by_weight(spark, folder):
 def clean_and_features(spark, folder):
     """The whole transformation stage over the dirty catalogue."""
     clean, _ = build_clean(dirty_catalogue(spark, folder))
-    return build_features(clean, as_of_year=2024).select(
-        "track_id", "track_name", "artist_name", "popularity", "duration_ms", "explicit", "popularity_bin",
-        "duration_category", "release_year", "release_month", "release_day", "release_decade", "music_era",
-        "track_age_years", "is_recent_release",
+    features = build_features(clean, as_of_year=2024)
+    shown = (
+        "track_name", "artist_name", "popularity", "duration_ms", "explicit", "popularity_bin", "duration_category",
+        "release_year", "release_month", "release_day", "release_decade", "music_era", "track_age_years",
+        "is_recent_release",
     )
+    return features.select("track_id", *_dated({name: F.col(name) for name in shown}))
