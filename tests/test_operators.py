@@ -333,15 +333,35 @@ def test_fuzzy_threshold_is_inclusive_and_ties_take_the_lowest_id(spark):
 # --- enrichment ---------------------------------------------------------------------------------
 
 
-def test_attach_keeps_rows_without_key(spark):
-    base = spark.createDataFrame([(1,), (None,), (None,), (2,)], "track_id int")
-    side = spark.createDataFrame([(1, "a"), (None, "n")], "track_id int, v string")
-    got = enrichment.attach(base, side, "track_id", "s", {"v": F.col("v")})
-    assert sorted(map(str, got.collect())) == sorted(
-        ["Row(track_id=1, s=Row(v='a'))", "Row(track_id=2, s=None)", "Row(track_id=None, s=None)", "Row(track_id=None, s=None)"]
+@pytest.mark.parametrize("hot", [False, True])
+def test_attach_keeps_rows_without_key(spark, hot, monkeypatch):
+    if hot:
+        monkeypatch.setattr(enrichment, "HOT_SAMPLE", 1.0)
+        monkeypatch.setattr(enrichment, "HOT_SAMPLED_ROWS", 2)
+    base = spark.createDataFrame([(1,), (None,), (None,), (2,), (3,), (3,), (3,)], "track_id int")
+    side = spark.createDataFrame([(1, "a"), (None, "n"), (3, "c")], "track_id int, v string")
+    assert enrichment.hot_keys(base, "track_id") == ([3, None] if hot else [])
+    sides = [
+        enrichment.Side(side, "s", {"v": F.col("v")}),
+        enrichment.Side(side, "t", {"w": F.upper("v")}, only=F.col("track_id") == 3),
+    ]
+    got = [(r.track_id, r.s and r.s.v, r.t and r.t.w) for r in enrichment.attach(base, sides, "track_id").collect()]
+    assert sorted(got, key=str) == sorted(
+        [(1, "a", None), (2, None, None), (None, None, None), (None, None, None)] + [(3, "c", "C")] * 3, key=str
     )
 
 
+def test_one_shuffle_of_the_base_for_all_sides(spark):
+    base = spark.range(1000).withColumnRenamed("id", "track_id")
+    sides = [enrichment.Side(base.withColumn("v", F.lit(n)), f"s{n}", {"v": F.col("v")}) for n in range(3)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffles = plan(enrichment.attach(base, sides, "track_id")).count("Exchange hashpartitioning(track_id")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffles == 4
+
+
 def test_last_per_key(spark):
     df = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, 1, "x")], "track_id int, seq int, v string")
     assert sorted((r.track_id, r.v) for r in enrichment.last_per_key(df, "track_id", "seq").collect()) == [(1, "new"), (2, "x")]

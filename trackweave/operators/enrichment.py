@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +15,17 @@ from trackweave.functions.text import describe, trim_lyrics_tail
 from trackweave.operators.ranking import keep_first
 
 MIN_LYRICS = 50
+AUDIO = "_audio"
 
+# A key with a thousand rows in a sample of one per cent is worth its own treatment.
+HOT_SAMPLE = 0.01
+HOT_SAMPLED_ROWS = 1000
+HOT_KEYS = 100
 
-def lookup_candidates(base: DataFrame, name: str = "name", artist: str = "artist") -> DataFrame:
-    """Rows worth a lookup: neither name nor artist is missing or empty."""
-    return base.filter((F.coalesce(F.col(name), F.lit("")) != "") & (F.coalesce(F.col(artist), F.lit("")) != ""))
+
+def worth_a_lookup(name: str = "name", artist: str = "artist") -> Column:
+    """Neither name nor artist is missing or empty."""
+    return (F.coalesce(F.col(name), F.lit("")) != "") & (F.coalesce(F.col(artist), F.lit("")) != "")
 
 
 def lyrics_record(lyrics: Column, popularity: Column, description: Column) -> dict[str, Column]:
@@ -50,25 +57,67 @@ def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return keep_first(df, [key], [F.col(order).desc()])
 
 
-def attach(base: DataFrame, side: DataFrame, key: str, name: str, fields: Mapping[str, Column]) -> DataFrame:
-    """Left join; a match becomes a struct of the given fields, no match a NULL struct.
+@dataclass(frozen=True)
+class Side:
+    """An optional record to attach: one row per key, packed into a struct of the given fields."""
+
+    table: DataFrame
+    name: str
+    fields: Mapping[str, Column]
+    only: Column | None = None  # condition on the base row
+
 
-    ``side`` holds one row per key. It is broadcast only when Spark's own size check allows; otherwise
-    adaptive execution splits a hot key of the base over several tasks. Base rows without a key skip
-    the shuffle, so they do not pile up in one partition.
+def hot_keys(base: DataFrame, key: str) -> list:
+    """The most frequent keys, NULL included, seen often enough in a sample to unbalance a join.
+
+    A missed or a needless key changes the plan, never the result.
     """
-    packed = side.filter(F.col(key).isNotNull()).select(
-        key, F.struct(*[column.alias(field) for field, column in fields.items()]).alias(name)
-    )
-    if not base.schema[key].nullable:
-        return base.join(packed, key, "left")
-    keyless = base.filter(F.col(key).isNull()).withColumn(name, F.lit(None).cast(packed.schema[name].dataType))
-    keyed = base.filter(F.col(key).isNotNull()).join(packed, key, "left")
-    return keyed.unionByName(keyless)
+    sampled = base.select(key).sample(fraction=HOT_SAMPLE, seed=1).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    found = sampled.filter(F.col("n") >= HOT_SAMPLED_ROWS).orderBy(F.col("n").desc()).limit(HOT_KEYS)
+    return [row[0] for row in found.collect()]
+
 
+def attach(base: DataFrame, sides: Sequence[Side], key: str) -> DataFrame:
+    """Left joins on one key: a match becomes a struct, no match a NULL struct.
 
-def merge_sources(base: DataFrame, lyrics: DataFrame, tags: DataFrame, key: str = "track_id") -> DataFrame:
-    """Base rows with ``genius`` and ``lastfm`` structs, ``data_sources`` flags and ``merged_at``."""
+    Sides are broadcast only when Spark's own size check allows it; otherwise base and sides are
+    shuffled once by the key. Rows of hot keys would all meet in one task, so they stay where they
+    are and receive their few side rows (at most ``HOT_KEYS`` per side) by broadcast.
+    """
+    packed = []
+    for side in sides:
+        record = F.struct(*[column.alias(field) for field, column in side.fields.items()])
+        packed.append((side, side.table.filter(F.col(key).isNotNull()).select(key, record.alias(side.name))))
+
+    def joined(rows: DataFrame, keys: list | None) -> DataFrame:
+        for side, table in packed:
+            table = table if keys is None else F.broadcast(table.filter(F.col(key).isin(keys)))
+            rows = rows.join(table, key, "left")
+            if side.only is not None:
+                rows = rows.withColumn(side.name, F.when(side.only, F.col(side.name)))
+        return rows.select(*base.columns, *[side.name for side, _ in packed])
+
+    hot = hot_keys(base, key)
+    if not hot:
+        return joined(base, None)
+    values = [value for value in hot if value is not None]
+    is_hot = F.coalesce(F.col(key).isin(values), F.lit(None in hot))
+    return joined(base.filter(~is_hot), None).unionByName(joined(base.filter(is_hot), values))
+
+
+def merge_sources(
+    base: DataFrame,
+    lyrics: DataFrame,
+    tags: DataFrame,
+    audio: DataFrame | None = None,
+    key: str = "track_id",
+    only: Column | None = None,
+) -> DataFrame:
+    """Base rows with ``genius`` and ``lastfm`` structs, ``data_sources`` flags and ``merged_at``.
+
+    ``only`` limits both enrichments to base rows that were worth a lookup; ``audio`` adds its
+    columns in the same shuffle.
+    """
     lyric_fields = {
         "genius_id": F.col("genius_id"),
         "lyrics": F.col("lyrics"),
@@ -86,8 +135,10 @@ def merge_sources(base: DataFrame, lyrics: DataFrame, tags: DataFrame, key: str
         "listeners": F.coalesce("listeners", F.lit(0)),
         "lastfm_url": F.col("lastfm_url"),
     }
-    merged = attach(base, lyrics, key, "genius", lyric_fields)
-    merged = attach(merged, tags, key, "lastfm", tag_fields)
+    sides = [Side(lyrics, "genius", lyric_fields, only), Side(tags, "lastfm", tag_fields, only)]
+    if audio is not None:
+        sides.append(_audio_side(audio))
+    merged = _unpack_audio(attach(base, sides, key), base.columns)
     return merged.withColumn(
         "data_sources",
         F.struct(
@@ -103,11 +154,21 @@ def _or_empty(df: DataFrame, field: str) -> Column:
     return F.coalesce(F.col(field), empty)
 
 
+def _audio_side(audio: DataFrame) -> Side:
+    return Side(audio, AUDIO, {name: F.col(name) for name in schemas.AUDIO_FIELDS if name in audio.columns})
+
+
+def _unpack_audio(df: DataFrame, base_columns: Sequence[str]) -> DataFrame:
+    """Audio fields as columns next to those of the base."""
+    if AUDIO not in df.columns:
+        return df
+    others = [c for c in df.columns if c not in base_columns and c != AUDIO]
+    return df.select(*base_columns, f"{AUDIO}.*", *others)
+
+
 def attach_audio(base: DataFrame, audio: DataFrame, key: str = "track_id") -> DataFrame:
     """Optional audio columns by id, NULL where there is none."""
-    fields = [name for name in schemas.AUDIO_FIELDS if name in audio.columns]
-    joined = attach(base, audio, key, "_audio", {name: F.col(name) for name in fields})
-    return joined.select(*base.columns, *[F.col(f"_audio.{name}").alias(name) for name in fields])
+    return _unpack_audio(attach(base, [_audio_side(audio)], key), base.columns)
 
 
 def merge_statistics(merged: DataFrame) -> DataFrame:

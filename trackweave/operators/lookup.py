@@ -84,7 +84,9 @@ def resolve_exact(
         *[F.col(c).alias(f"_asked_{c}") for c in (key, name, artist)],
     )
     rows = catalogue.select(
-        F.col(key).alias("_item"), F.lower(F.col(name)).alias("_name"), F.lower(F.col(artist)).alias("_artist")
+        F.col(key).alias("_item"),
+        F.lower(F.col(name)).alias("_name"),
+        F.coalesce(F.lower(F.col(artist)), F.lit("")).alias("_artist"),
     )
     wanted_ids = asked.select(F.col("_id").alias("_item")).dropna().distinct()
     wanted_names = asked.select("_name").dropna().distinct()
@@ -92,7 +94,8 @@ def resolve_exact(
     named = rows.join(wanted_names, "_name", "left_semi")
     by_artist = named.groupBy("_name", "_artist").agg(F.count(F.lit(1)).alias("_rows"), F.min("_item").alias("_first"))
     by_name = by_artist.groupBy("_name").agg(F.sum("_rows").alias("_total"), F.min("_first").alias("_any"))
-    by_artist = by_artist.select("_name", "_artist", F.col("_first").alias("_exact"))
+    # Reads every column of the aggregate, as the one above does, so both share one scan and shuffle.
+    by_artist = by_artist.select("_name", "_artist", F.when(F.col("_rows") > 0, F.col("_first")).alias("_exact"))
 
     joined = (
         asked.join(by_id.withColumn("_known", F.lit(True)), "_id", "left")

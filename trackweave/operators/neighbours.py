@@ -31,11 +31,12 @@ def nearest(
     item_id: str = "track_id",
     item_vector: str = "vector",
     carry: Sequence[str] = (),
+    carry_query: Sequence[str] = (),
     exclude: Sequence[tuple[str, str]] = (),
     broadcast_rows: int = blocks.BROADCAST_ROWS,
     block_rows: int = blocks.CATALOGUE_BLOCK_ROWS,
 ) -> DataFrame:
-    """``query_id, item_id, carry..., score, rank`` of the k best items per query, ties by item id.
+    """``query_id, carry_query..., item_id, carry..., score, rank``: k best items per query, ties by id.
 
     ``exclude`` lists (query column, item column) pairs; an item is no candidate for a query when a
     pair is equal. Rows without a vector take no part. Each task keeps k rows per query, whatever the
@@ -45,7 +46,8 @@ def nearest(
         raise ValueError(f"unknown metric {metric!r}, expected one of {METRICS}")
     if k < 1:
         raise ValueError("k must be positive")
-    query_columns = list(dict.fromkeys([query_id, *[left for left, _ in exclude]]))
+    query_out = [query_id, *[c for c in carry_query if c != query_id]]
+    query_columns = list(dict.fromkeys([*query_out, *[left for left, _ in exclude]]))
     item_columns = list(dict.fromkeys([item_id, *carry, *[right for _, right in exclude]]))
     queries = queries.filter(F.col(query_vector).isNotNull()).select(
         *query_columns, as_vector(F.col(query_vector)).alias("_vector")
@@ -53,11 +55,11 @@ def nearest(
     items = items.filter(F.col(item_vector).isNotNull()).select(*item_columns, F.col(item_vector).alias("_vector"))
     out = [item_id, *[c for c in carry if c != item_id]]
     schema = T.StructType(
-        [T.StructField(query_id, queries.schema[query_id].dataType)]
+        [T.StructField(c, queries.schema[c].dataType) for c in query_out]
         + [T.StructField(c, items.schema[c].dataType) for c in out]
         + [T.StructField("score", T.DoubleType())]
     )
-    search = _Search(k, metric, query_id, item_id, out, tuple(exclude))
+    search = _Search(k, metric, query_out, item_id, out, tuple(exclude))
 
     small = blocks.small_table(queries, broadcast_rows)
     if small is not None:
@@ -84,9 +86,9 @@ def nearest(
 class _Search:
     """Task-side helper: block-wise products, then exact scores for the few rows that may win."""
 
-    def __init__(self, k, metric, query_id, item_id, out, exclude):
+    def __init__(self, k, metric, query_out, item_id, out, exclude):
         self.k, self.metric, self.exclude = k, metric, exclude
-        self.query_id, self.item_id, self.out = query_id, item_id, out
+        self.query_out, self.item_id, self.out = query_out, item_id, out
 
     def run(self, queries: pa.Table, chunks) -> pa.Table | None:
         if not queries.num_rows:
@@ -99,12 +101,14 @@ class _Search:
                 best, floor = self._add(queries, q, chunk.slice(start, step), best, floor)
         if best is None:
             return None
-        ids = queries.column(self.query_id).take(best.column("_q"))
-        return best.select([*self.out, "score"]).add_column(0, self.query_id, ids)
+        asked = queries.select(self.query_out).take(best.column("_q"))
+        found = best.select([*self.out, "score"])
+        return pa.table([*asked.columns, *found.columns], names=[*self.query_out, *found.column_names])
 
     def nothing(self, queries: pa.Table, items: pa.Table) -> pa.Table:
-        columns = [queries.column(self.query_id).slice(0, 0), *[items.column(c).slice(0, 0) for c in self.out]]
-        return pa.table([*columns, pa.array([], pa.float64())], names=[self.query_id, *self.out, "score"])
+        columns = [queries.column(c).slice(0, 0) for c in self.query_out]
+        columns += [items.column(c).slice(0, 0) for c in self.out]
+        return pa.table([*columns, pa.array([], pa.float64())], names=[*self.query_out, *self.out, "score"])
 
     def _matrix(self, table: pa.Table) -> np.ndarray:
         column = table.column("_vector").combine_chunks()

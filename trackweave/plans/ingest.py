@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.functions.dates import parse_date
-from trackweave.operators.enrichment import attach_audio, lookup_candidates, merge_sources
+from trackweave.operators.enrichment import merge_sources, worth_a_lookup
 from trackweave.operators.ranking import keep_first, union_sources
 
 TRACKS_PER_RUN = 500
@@ -33,9 +33,4 @@ def new_releases(landed: DataFrame, as_of_year: int, order: str, limit: int = 50
 
 def build_unified(tracks: DataFrame, audio: DataFrame, lyrics: DataFrame, tags: DataFrame) -> DataFrame:
     """Tracks with audio columns and both enrichments; only rows with name and artist are looked up."""
-    asked = lookup_candidates(tracks).select("track_id").distinct()
-    return merge_sources(
-        attach_audio(tracks, audio),
-        lyrics.join(asked, "track_id", "left_semi"),
-        tags.join(asked, "track_id", "left_semi"),
-    )
+    return merge_sources(tracks, lyrics, tags, audio, only=worth_a_lookup())

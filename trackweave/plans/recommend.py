@@ -74,17 +74,18 @@ def recommend(
     excluded = [("_own_id", "track_id")]
     if exclude_same_artist and refill:
         excluded.append(("_own_artist", "artist_name"))
+    shown = list(dict.fromkeys([*display, "artist_name"]))
     found = nearest(
         asked,
-        catalogue.select("track_id", *display, F.col(vector).alias("vector")),
+        catalogue.select("track_id", *shown, F.col(vector).alias("vector")),
         k if refill else k + 1,
         metric,
-        carry=display,
+        carry=shown,
+        carry_query=["_own_artist"],
         exclude=excluded,
     )
     if exclude_same_artist and not refill:
-        own = asked.select("query_id", "_own_artist")
-        found = found.join(own, "query_id").filter(~F.col("artist_name").eqNullSafe(F.col("_own_artist")))
+        found = found.filter(~F.col("artist_name").eqNullSafe(F.col("_own_artist")))
     found = found.filter(F.col("score") >= min_similarity).drop("rank")
     ranked = top_n_per_group(found, ["query_id"], [F.col("score").desc(), F.col("track_id")], k)
     return _present(ranked, display)
