@@ -40,12 +40,12 @@ def fragment_replicate(
     items: DataFrame,
     query_key: str,
     item_key: str,
+    n_items: int,
     query_rows: int = BROADCAST_ROWS,
     item_rows: int = CATALOGUE_BLOCK_ROWS,
 ):
-    """Cogroup of all (query block, item block) cells."""
-    n_queries, n_items = queries.count(), items.count()
-    query_blocks = max(1, math.ceil(n_queries / query_rows))
+    """Cogroup of all (query block, item block) cells; ``n_items`` may be an upper bound."""
+    query_blocks = max(1, math.ceil(queries.count() / query_rows))
     item_blocks = max(1, math.ceil(n_items / item_rows))
 
     def every(blocks: int) -> Column:

@@ -135,19 +135,22 @@ def fit_numeric_cleaner(
 ) -> NumericCleaner:
     """Learn median fill and outlier bounds field by field, each on the survivors of the former.
 
-    Per field two scans of one column: moments, then the exact median. Moments of the filled column
-    follow from the count of filled values, so they need no scan of their own.
+    Per field two scans of one column: moments, then the exact median; one for a small table. Moments
+    of the filled column follow from the count of filled values, so they need no scan of their own.
     """
     steps: list[FieldCleaning] = []
-    current = df
+    current, known_rows = df, None
     for valid in ranges:
         if valid.field not in current.columns:
             continue
         value = _valid_number(current, valid)
-        facts = summarize(current, {"value": value})["value"]
-        fill = None
-        if fill_missing and facts.filled:
+        facts = summarize(current, {"value": value}, known_rows)["value"]
+        known_rows = facts.rows
+        fill = facts.median
+        if fill is None and facts.filled and fill_missing:
             fill = medians(current, {"value": value}, {"value": facts.filled})["value"]
+        if not fill_missing:
+            fill = None
         bounded = outlier_fields is None or valid.field in outlier_fields
         step = FieldCleaning(valid, fill, *(_bounds(facts, fill, deviations) if bounded else (None, None)))
         steps.append(step)

@@ -70,7 +70,9 @@ def match_names(
 
         partial = pairs.mapInArrow(scan, schema)
     else:
-        cells = blocks.fragment_replicate(asked, pairs, "query_id", "_name", broadcast_rows, block_rows)
+        cells = blocks.fragment_replicate(
+            asked, pairs, "query_id", "_name", pairs.count(), broadcast_rows, block_rows
+        )
         partial = cells.applyInArrow(lambda left, right: _best(left, [right], threshold), schema)
     return keep_first(partial, ["query_id"], [F.col("score").desc(), F.col("matched_id")])
 

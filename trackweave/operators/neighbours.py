@@ -52,7 +52,8 @@ def nearest(
     queries = queries.filter(F.col(query_vector).isNotNull()).select(
         *query_columns, as_vector(F.col(query_vector)).alias("_vector")
     )
-    items = items.filter(F.col(item_vector).isNotNull()).select(*item_columns, F.col(item_vector).alias("_vector"))
+    table = items
+    items = table.filter(F.col(item_vector).isNotNull()).select(*item_columns, F.col(item_vector).alias("_vector"))
     out = [item_id, *[c for c in carry if c != item_id]]
     schema = T.StructType(
         [T.StructField(c, queries.schema[c].dataType) for c in query_out]
@@ -77,7 +78,9 @@ def nearest(
             found = search.run(left, [right])
             return search.nothing(left, right) if found is None else found
 
-        pairs = blocks.fragment_replicate(queries, items, query_id, item_id, broadcast_rows, block_rows)
+        # Counting the unfiltered table does not read its vectors.
+        n_items = table.count()
+        pairs = blocks.fragment_replicate(queries, items, query_id, item_id, n_items, broadcast_rows, block_rows)
         partial = pairs.applyInArrow(cell, schema)
     order = [F.col("score").desc(), F.col(item_id)]
     return top_n_per_group(partial, [query_id], order, k)

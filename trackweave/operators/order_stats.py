@@ -30,14 +30,19 @@ class ColumnSummary:
     deviation: float | None  # sum of squared deviations from the mean
     low: float | None
     high: float | None
+    median: float | None = None
 
     @property
     def missing(self) -> int:
         return self.rows - self.filled
 
 
-def summarize(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, ColumnSummary]:
-    """Counts, mean, squared deviation and range of all columns in a single scan."""
+def summarize(df: DataFrame, columns: Mapping[str, Column], known_rows: int | None = None) -> dict[str, ColumnSummary]:
+    """Counts, mean, squared deviation and range of all columns in a single scan.
+
+    With an upper bound of the row count that is small enough, the exact median comes along.
+    """
+    with_median = known_rows is not None and known_rows <= SMALL_COLUMN
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for name, column in columns.items():
         aggregates += [
@@ -47,6 +52,8 @@ def summarize(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, ColumnS
             F.min(column).alias(f"{name}|low"),
             F.max(column).alias(f"{name}|high"),
         ]
+        if with_median:
+            aggregates.append(F.median(column).alias(f"{name}|median"))
     row = df.agg(*aggregates).first().asDict()
     summaries = {}
     for name in columns:
@@ -58,6 +65,7 @@ def summarize(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, ColumnS
             deviation=None if spread is None else spread * filled,
             low=row[f"{name}|low"],
             high=row[f"{name}|high"],
+            median=row.get(f"{name}|median"),
         )
     return summaries
 

@@ -13,8 +13,9 @@ from trackweave.functions.dates import parse_date, temporal_features
 from trackweave.functions.numeric import duration_features, popularity_features
 from trackweave.functions.tags import clean_playcount, tag_features
 from trackweave.functions.text import build_document, text_shape
-from trackweave.operators.cleaning import NumericCleaner, clean_text, fit_numeric_cleaner
+from trackweave.operators.cleaning import RANGES, NumericCleaner, clean_text, fit_numeric_cleaner
 from trackweave.operators.quality import quality_report
+from trackweave.session import materialize
 
 
 def rename(df: DataFrame) -> DataFrame:
@@ -22,9 +23,15 @@ def rename(df: DataFrame) -> DataFrame:
 
 
 def build_clean(raw: DataFrame, outlier_fields: Sequence[str] | None = None) -> tuple[DataFrame, NumericCleaner]:
-    """Clean rows and the fitted cleaner (for its counters)."""
+    """Clean rows and the fitted cleaner (for its counters).
+
+    The cleaner scans its input several times, so it gets the few numbers of the surviving rows from
+    a checkpoint instead of cleaning all texts again for every scan.
+    """
     texts = clean_text(rename(raw))
-    cleaner = fit_numeric_cleaner(texts, outlier_fields=outlier_fields)
+    numbers = [valid.field for valid in RANGES if valid.field in texts.columns]
+    fitted_on = materialize(texts.select(*numbers)) if numbers else texts
+    cleaner = fit_numeric_cleaner(fitted_on, outlier_fields=outlier_fields)
     clean = cleaner.transform(texts)
     if "lastfm" in clean.columns:
         clean = clean.withColumn("lastfm_playcount", clean_playcount(F.col("lastfm.playcount")))
