@@ -67,6 +67,16 @@ def test_tables(spark, tmp_path):
     assert tables.run_sql(spark, "SELECT sum(id) AS s FROM some_rows", {"some_rows": df}).first().s == 1
 
 
+def test_named_tables(spark):
+    tables.create_database(spark, "landing_test")
+    tables.create_database(spark, "landing_test")
+    df = spark.createDataFrame([(1, "a")], "id int, v string")
+    tables.replace_table(df, "landing_test.rows")
+    tables.replace_table(df, "landing_test.rows")
+    assert tables.read_table(spark, "landing_test.rows", ["v"]).collect() == [("a",)]
+    spark.sql("DROP DATABASE landing_test CASCADE")
+
+
 def test_streamed_landing_takes_each_file_once(spark, tmp_path):
     landed, target, state = (str(tmp_path / name) for name in ("landed", "target", "state"))
     (tmp_path / "landed").mkdir()
@@ -104,7 +114,7 @@ def test_unified_table(unified):
     assert rows["t2"].data_sources.asDict() == {"spotify": True, "genius": False, "lastfm": True}
 
 
-def test_whole_chain(spark, unified):
+def test_whole_chain(spark, unified, tmp_path):
     done = transform.transform(unified, as_of_year=2024, outlier_fields=())
     features = done.features.collect()
     assert len(features) == 60
@@ -113,9 +123,11 @@ def test_whole_chain(spark, unified):
     assert done.report.filter("check = 'overall'").first().passed
 
     vectors = embed.build_vectors(done.features)
-    table = recommend.cached(vectors.vectors)
-    row = table.filter("track_id = 't4'").first()
+    path = str(tmp_path / "vectors")
+    tables.replace_table(vectors.vectors, path)
+    row = spark.read.parquet(path).filter("track_id = 't4'").first()
     assert row.document == "Song number 4 | Artist 4 | Album 1 | Tags: rock, mood0"
+    table = recommend.cached(tables.read_vectors(spark, path))
     assert (row.embedding_dimension, row.feature_dimension, row.combined_dimension) == (768, 14, 782)
 
     for kind in recommend.VECTOR_TYPES:
@@ -133,7 +145,7 @@ def test_whole_chain(spark, unified):
     best = min((r for r in found if r.query_id == 1), key=lambda r: r["rank"])
     assert best.track_id == "t17" and all(r.query_id == 1 for r in found)
 
-    wide = recommend.with_features(recommend.recommend_one(table, track_id="t4", k=2), table, ("popularity", "release_year"))
+    wide = recommend.with_features(recommend.recommend_one(table, track_id="t4", k=2), done.features, ("popularity", "release_year"))
     assert wide.count() == 2 and wide.filter("popularity IS NULL").count() == 0
     table.unpersist()
 

@@ -218,6 +218,41 @@ def result_pages(spark, folder):
     )
 
 
+@query(
+    "recommend_wide",
+    f"""
+    WITH {_ranked_sql('cosine')}
+    SELECT r.query_id, r.rank, r.track_id, round(r.score, 4) AS similarity_score, e.label AS popularity
+    FROM r JOIN embeddings e ON e.vec_id = r.track_id WHERE rank <= 3
+    """,
+)
+def recommend_wide(spark, folder):
+    """Results widened by a column of another table."""
+    rows = vectors(spark, folder)
+    features = table(spark, folder, "embeddings").select(F.col("vec_id").alias("track_id"), F.col("label").alias("popularity"))
+    found = recommend.recommend_batch(rows, rows, k=3, min_similarity=-1.0)
+    return recommend.with_features(found, features, ["popularity"]).select(
+        "query_id", "rank", "track_id", "similarity_score", "popularity"
+    )
+
+
+@query(
+    "recommend_by_name",
+    f"""
+    WITH {CHAIN_CTES},
+    target AS (SELECT min(track_id) AS id FROM fv WHERE lower(track_name) = 'red widget'),
+    s AS (SELECT c.track_id, list_cosine_similarity(q.v, c.v) AS score FROM target t JOIN fv q ON q.track_id = t.id JOIN fv c ON c.track_id <> t.id),
+    r AS (SELECT *, row_number() OVER (ORDER BY round(score, 10) DESC, track_id) AS rank FROM s)
+    SELECT rank, round(score, 4) AS similarity_score FROM r WHERE rank <= 20
+    """,
+)
+def recommend_by_name(spark, folder):
+    """Name to track to feature vector to neighbours."""
+    featured = feature_vectors(build_features(catalogue(spark, folder), as_of_year=2024))
+    found = recommend.recommend_one(featured, track_name="Red Widget", k=20, embedding_type="feature")
+    return found.select("rank", "similarity_score")
+
+
 @query(
     "recommend_by_features",
     f"""

@@ -12,6 +12,7 @@ from trackweave.functions.tags import clean_playcount, strong_tags
 from trackweave.functions.text import normalize_text, text_shape
 from trackweave.operators import quality
 from trackweave.operators.cleaning import Range, clean_text, fit_numeric_cleaner
+from trackweave.operators.ranking import top_n_per_group
 from trackweave.plans.transform import build_clean, build_features
 
 # --- text ---------------------------------------------------------------------------------------
@@ -36,6 +37,19 @@ def clean_documents(spark, folder):
     return clean_text(documents)
 
 
+@query(
+    "text_counters",
+    f"""
+    SELECT count(*) AS records_processed, count(CASE WHEN length(n) BETWEEN 1 AND 500 THEN 1 END) AS records_modified,
+           count(CASE WHEN length(n) BETWEEN 1 AND 500 THEN NULL ELSE 1 END) AS records_dropped
+    FROM (SELECT {_NORMALIZED} AS n FROM documents)
+    """,
+)
+def text_counters(spark, folder):
+    documents = texts(spark, folder).select(F.col("text").alias("track_name"), F.col("source").alias("artist_name"))
+    return quality.row_counters(documents, clean_text(documents))
+
+
 @query(
     "normalize_whole_text",
     f"SELECT doc_id, CASE WHEN length(n) >= 1 THEN n END AS normalized FROM (SELECT doc_id, {_NORMALIZED} AS n FROM documents)",
@@ -285,8 +299,9 @@ def order_date_features(spark, folder):
     """,
 )
 def tags_by_weight(spark, folder):
-    """Return flags of a part as weighted tags; a part has at most three of them."""
+    """Return flags of a part as weighted tags, the ten strongest at most."""
     counted = table(spark, folder, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    counted = top_n_per_group(counted, ["l_partkey"], [F.col("n").desc(), F.col("l_returnflag")], 10)
     entry = F.struct(F.col("l_returnflag").alias("name"), F.col("n").alias("weight"))
     tags = counted.groupBy("l_partkey").agg(F.sort_array(F.collect_list(entry)).alias("tags"))
     named = tags.withColumn("tags", strong_tags(F.col("tags"), 5.0))

@@ -46,15 +46,17 @@ def fragment_replicate(
 ):
     """Cogroup of all (query block, item block) cells; ``n_items`` may be an upper bound."""
     query_blocks = max(1, math.ceil(queries.count() / query_rows))
-    item_blocks = max(1, math.ceil(n_items / item_rows))
+    # Small tables are cut further, so that every core finds a cell.
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    item_blocks = max(1, math.ceil(n_items / item_rows), math.ceil(2 * cores / query_blocks))
 
     def every(blocks: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
     left = queries.withColumn(QUERY, even_block(F.col(query_key), query_blocks)).withColumn(ITEM, every(item_blocks))
     right = items.withColumn(ITEM, even_block(F.col(item_key), item_blocks)).withColumn(QUERY, every(query_blocks))
-    # A stated number of partitions: adaptive execution would merge cells that are small in bytes but
-    # long in work.
-    tasks = min(MAX_TASKS, query_blocks * item_blocks)
+    # A stated number of partitions, some more than cells: adaptive execution would merge cells that
+    # are small in bytes but long in work.
+    tasks = min(MAX_TASKS, 2 * query_blocks * item_blocks)
     left, right = (side.repartition(tasks, QUERY, ITEM) for side in (left, right))
     return left.groupBy(QUERY, ITEM).cogroup(right.groupBy(QUERY, ITEM))

@@ -35,11 +35,13 @@ def match_names(
 
     With an artist the score is 0.7 name + 0.3 artist. Equal scores: lowest id. The catalogue is first
     reduced to distinct (name, artist) pairs with their lowest id, so copies are scored once, and to
-    names whose length can reach the threshold at all; every task returns one row per query.
+    names whose length can reach the threshold at all. Equal queries are answered once; every task
+    returns one row per distinct query.
     """
     asked = queries.select(
-        "query_id", F.lower(F.col(name)).alias("_name"), F.lower(F.col(artist)).alias("_artist")
-    ).filter(F.coalesce(F.col("_name"), F.lit("")) != "")
+        "query_id", F.lower(F.col(name)).alias("_name"), F.coalesce(F.lower(F.col(artist)), F.lit("")).alias("_artist")
+    ).filter(F.col("_name") != "")
+    wanted = asked.select(F.col("_name").alias("asked_name"), F.col("_artist").alias("asked_artist")).distinct()
     pairs = (
         catalogue.select(
             F.col(key).alias("matched_id"),
@@ -52,29 +54,30 @@ def match_names(
     )
     schema = T.StructType(
         [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("asked_name", T.StringType()),
+            T.StructField("asked_artist", T.StringType()),
             T.StructField("matched_id", catalogue.schema[key].dataType),
             T.StructField("score", T.DoubleType()),
         ]
     )
-    small = blocks.small_table(asked, broadcast_rows)
+    small = blocks.small_table(wanted, broadcast_rows)
     if small is not None:
-        shared = queries.sparkSession.sparkContext.broadcast(small)
-        if not small.num_rows:
-            return queries.sparkSession.createDataFrame([], schema)
         # Comparing is long work on few bytes, so the number of tasks is stated.
-        pairs = pairs.filter(_reachable_length(small, threshold)).repartition(_tasks(queries.sparkSession))
+        reachable = _reachable_length(small, threshold) if small.num_rows else F.lit(False)
+        shared = queries.sparkSession.sparkContext.broadcast(small)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _best(shared.value, (pa.Table.from_batches([b]) for b in batches), threshold).to_batches()
 
-        partial = pairs.mapInArrow(scan, schema)
+        partial = pairs.filter(reachable).repartition(_tasks(queries.sparkSession)).mapInArrow(scan, schema)
     else:
         cells = blocks.fragment_replicate(
-            asked, pairs, "query_id", "_name", pairs.count(), broadcast_rows, block_rows
+            wanted, pairs, "asked_name", "_name", pairs.count(), broadcast_rows, block_rows
         )
         partial = cells.applyInArrow(lambda left, right: _best(left, [right], threshold), schema)
-    return keep_first(partial, ["query_id"], [F.col("score").desc(), F.col("matched_id")])
+    found = keep_first(partial, ["asked_name", "asked_artist"], [F.col("score").desc(), F.col("matched_id")])
+    same = (F.col("_name") == F.col("asked_name")) & (F.col("_artist") == F.col("asked_artist"))
+    return asked.join(found, same).select("query_id", "matched_id", "score")
 
 
 def _tasks(spark) -> int:
@@ -83,9 +86,9 @@ def _tasks(spark) -> int:
 
 def _reachable_length(queries: pa.Table, threshold: float):
     """Candidate lengths that can still score: the ratio is at most 2 min(a, b) / (a + b)."""
-    with_artist = any(queries.column("_artist").to_pylist())
+    with_artist = any(queries.column("asked_artist").to_pylist())
     least = (threshold - ARTIST_WEIGHT) / NAME_WEIGHT if with_artist else threshold
-    lengths = [len(text) for text in queries.column("_name").to_pylist()]
+    lengths = [len(text) for text in queries.column("asked_name").to_pylist()]
     if least <= 0:
         return F.lit(True)
     return F.length("_name").between(
@@ -118,7 +121,7 @@ def _best(queries: pa.Table, chunks, threshold: float) -> pa.Table:
     """Best pair per query of this task. Names are compared once per distinct pair of names."""
     asked: dict[str, list[tuple[int, str | None]]] = {}
     for place, (name, artist) in enumerate(
-        zip(queries.column("_name").to_pylist(), queries.column("_artist").to_pylist())
+        zip(queries.column("asked_name").to_pylist(), queries.column("asked_artist").to_pylist())
     ):
         asked.setdefault(name, []).append((place, artist))
     names = {name: _Ratios(name) for name in asked}
@@ -155,9 +158,9 @@ def _best(queries: pa.Table, chunks, threshold: float) -> pa.Table:
     hits = sorted(best)
     return pa.table(
         [
-            queries.column("query_id").take(pa.array(hits, pa.int64())),
+            *queries.select(["asked_name", "asked_artist"]).take(pa.array(hits, pa.int64())).columns,
             pa.array([best[place][1] for place in hits], id_type),
             pa.array([best[place][0] for place in hits], pa.float64()),
         ],
-        names=["query_id", "matched_id", "score"],
+        names=["asked_name", "asked_artist", "matched_id", "score"],
     )

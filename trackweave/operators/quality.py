@@ -61,6 +61,16 @@ def quality_report(
     return measured.select(F.inline(F.concat(checks, F.array(overall))))
 
 
+def row_counters(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows a step received, kept and dropped, as one row."""
+    received = before.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return after.agg(F.count(F.lit(1)).alias("records_modified")).select(
+        received.alias("records_processed"),
+        "records_modified",
+        (received - F.col("records_modified")).alias("records_dropped"),
+    )
+
+
 def retention(raw: DataFrame, clean: DataFrame, features: DataFrame) -> DataFrame:
     """Rows in and out of cleaning and the number of columns the features added."""
     rows_in = raw.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,11 +127,7 @@ def fit_projection(df: DataFrame, vector: str, dimension: int = PCA_DIMENSION) -
     model = PCA(k=dimension, inputCol="_in", outputCol="_out").fit(vectors)
     loadings = model.pc.toArray()
     # ML's projection does not centre; subtract the projected mean instead of centring every row.
-    width = loadings.shape[0]
-    means = vectors.select(vector_to_array("_in").alias("v")).agg(
-        *[F.avg(F.get("v", F.lit(i))).alias(str(i)) for i in range(width)]
-    )
-    shift = np.array(means.first(), dtype=float) @ loadings
+    shift = vectors.select(Summarizer.mean(F.col("_in"))).first()[0].toArray() @ loadings
     peaks = loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])]
     return Projection(model, tuple(map(float, shift)), tuple(1.0 if p >= 0 else -1.0 for p in peaks))
 

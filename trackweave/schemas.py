@@ -39,11 +39,6 @@ FLAT_TRACK = (
     "spotify_url string, isrc string, track_number long, disc_number long"
 )
 
-RECOMMENDATION = (
-    "query_id string, rank int, track_id string, track_name string, artist_name string, "
-    "album_name string, similarity_score double"
-)
-
 # Column names the downstream tables use for the display fields of the landed record.
 RENAMED = {"name": "track_name", "artist": "artist_name", "album": "album_name"}
 REQUIRED_FIELDS = ("track_id", "track_name", "artist_name")

@@ -6,45 +6,68 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Output column -> path in the nested record, type, and whether the key must be present; a present
-# but null value passes.
+RECORD = (
+    "id string, name string, popularity long, duration_ms long, explicit boolean, preview_url string, "
+    "artists array<struct<id: string, name: string>>, "
+    "album struct<id: string, name: string, release_date: string>, "
+    "external_urls struct<spotify: string>, external_ids struct<isrc: string>, "
+    "track_number long, disc_number long"
+)
+
+# Output column -> path in the nested record, and whether the key must be present; a present but null
+# value passes.
 PATHS = {
-    "track_id": ("$.id", "string", True),
-    "name": ("$.name", "string", True),
-    "artist": ("$.artists[0].name", "string", True),
-    "artist_id": ("$.artists[0].id", "string", True),
-    "album": ("$.album.name", "string", True),
-    "album_id": ("$.album.id", "string", True),
-    "release_date": ("$.album.release_date", "string", True),
-    "popularity": ("$.popularity", "long", True),
-    "duration_ms": ("$.duration_ms", "long", True),
-    "explicit": ("$.explicit", "boolean", True),
-    "preview_url": ("$.preview_url", "string", False),
-    "spotify_url": ("$.external_urls.spotify", "string", True),
-    "isrc": ("$.external_ids.isrc", "string", False),
-    "track_number": ("$.track_number", "long", True),
-    "disc_number": ("$.disc_number", "long", True),
+    "track_id": ("$.id", True),
+    "name": ("$.name", True),
+    "artist": ("$.artists[0].name", True),
+    "artist_id": ("$.artists[0].id", True),
+    "album": ("$.album.name", True),
+    "album_id": ("$.album.id", True),
+    "release_date": ("$.album.release_date", True),
+    "popularity": ("$.popularity", True),
+    "duration_ms": ("$.duration_ms", True),
+    "explicit": ("$.explicit", True),
+    "preview_url": ("$.preview_url", False),
+    "spotify_url": ("$.external_urls.spotify", True),
+    "isrc": ("$.external_ids.isrc", False),
+    "track_number": ("$.track_number", True),
+    "disc_number": ("$.disc_number", True),
 }
-# Objects that must exist although only optional members are read from them.
-REQUIRED_OBJECTS = ("$.external_ids",)
+# An object that must exist although only an optional member is read from it.
+REQUIRED_OBJECT = "$.external_ids"
+
+
+def _value(record: Column, path: str) -> Column:
+    for step in path.removeprefix("$.").split("."):
+        name, first = step.removesuffix("[0]"), step.endswith("[0]")
+        record = F.get(record[name], F.lit(0)) if first else record[name]
+    return record
 
 
 def flatten_records(df: DataFrame, raw: str = "raw", source: str = "spotify") -> DataFrame:
     """Flat rows from JSON strings. Bad JSON, a missing required key or no artist drops the record.
 
-    VARIANT keeps a JSON null apart from an absent key, which a schema-based parse does not.
+    One schema-based parse yields the values. It cannot tell a JSON null from an absent key, so a
+    record with a NULL where a key is required is looked at once more as VARIANT, which can.
     """
-    required = [*REQUIRED_OBJECTS, *[path for path, _, needed in PATHS.values() if needed]]
 
-    def flat(record: Column) -> Column:
-        complete = F.lit(True)
-        for path in required:
-            complete = complete & F.try_variant_get(record, path, "variant").isNotNull()
-        fields = [F.try_variant_get(record, path, kind).alias(name) for name, (path, kind, _) in PATHS.items()]
-        return F.struct(complete.alias("_complete"), *fields)
+    def flat(parsed: Column) -> Column:
+        record, text = parsed["record"], parsed["text"]
+
+        def present(path: str) -> Column:
+            return F.try_variant_get(F.try_parse_json(text), path, "variant").isNotNull()
+
+        complete = _value(record, REQUIRED_OBJECT).isNotNull() | present(REQUIRED_OBJECT)
+        for path, needed in PATHS.values():
+            if needed:
+                complete = complete & (_value(record, path).isNotNull() | present(path))
+        return F.struct(
+            complete.alias("_complete"), *[_value(record, path).alias(name) for name, (path, _) in PATHS.items()]
+        )
 
+    parsed = F.struct(F.from_json(F.col(raw), RECORD).alias("record"), F.col(raw).alias("text"))
     # Zero or one struct per record; the lambda binds the parsed record, so it is parsed once.
-    rows = F.filter(F.transform(F.array(F.try_parse_json(F.col(raw))), flat), lambda row: row["_complete"])
+    rows = F.filter(F.transform(F.array(parsed), flat), lambda row: row["_complete"])
     return (
         df.select(F.inline(rows))
         .drop("_complete")
