@@ -17,9 +17,9 @@ from trackweave.operators.ranking import keep_first
 MIN_LYRICS = 50
 AUDIO = "_audio"
 
-# A key with a thousand rows in a sample of one per cent is worth its own treatment.
+# A key with ten thousand rows in a sample of one per cent is worth its own treatment.
 HOT_SAMPLE = 0.01
-HOT_SAMPLED_ROWS = 1000
+HOT_SAMPLED_ROWS = 10_000
 HOT_KEYS = 100
 
 

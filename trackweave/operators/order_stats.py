@@ -15,9 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Columns with at most this many values go to the built-in exact percentile in one task.
-SMALL_COLUMN = 1_000_000
-ACCURACY = 10_000
+# Columns with at most this many values go to the built-in exact percentile in one task. Its hash map
+# of values is slower than narrowing well before it becomes too large.
+SMALL_COLUMN = 100_000
+# Sketch size. All partial sketches merge in one task, so they stay small; another pass costs less.
+ACCURACY = 1000
 
 
 @dataclass(frozen=True)
@@ -145,10 +147,13 @@ def _select_ranks(df, columns, targets, counts, small, accuracy) -> dict[tuple[s
         finishing = [s for s in open_searches if s.inside <= small]
         narrowing = [s for s in open_searches if s.inside > small]
         if finishing:
-            # At most ``small`` values per search are sorted in one place.
-            row = df.agg(
+            # At most ``small`` values per interval are sorted in one place.
+            lists = {(s.name, s.low, s.high): F.sort_array(F.collect_list(_inside(columns[s.name], s))) for s in finishing}
+            place = {interval: str(i) for i, interval in enumerate(lists)}
+            sorted_once = df.agg(*[values.alias(place[interval]) for interval, values in lists.items()])
+            row = sorted_once.select(
                 *[
-                    F.get(F.sort_array(F.collect_list(_inside(columns[s.name], s))), F.lit(s.rank - s.below)).alias(str(i))
+                    F.get(F.col(place[s.name, s.low, s.high]), F.lit(s.rank - s.below)).alias(f"r{i}")
                     for i, s in enumerate(finishing)
                 ]
             ).first()
@@ -167,40 +172,55 @@ def _inside(column: Column, search: _Search) -> Column:
 
 
 def _narrow(df, columns, searches, found, accuracy) -> list[_Search]:
-    # The sketch's rank error is at most 1/accuracy of what it has seen; two such steps to either
-    # side of the wanted rank always enclose it.
-    brackets = []
-    for i, s in enumerate(searches):
-        place, step = (s.rank - s.below) / s.inside, 2.0 / accuracy
-        ends = F.array(F.lit(max(0.0, place - step)), F.lit(min(1.0, place + step)))
-        brackets.append(F.percentile_approx(_inside(columns[s.name], s), ends, accuracy).alias(str(i)))
-    edges = df.agg(*brackets).first()
-    tallies = []
-    for i, s in enumerate(searches):
-        column, (low, high) = _inside(columns[s.name], s), edges[i]
-        tallies += [
-            F.count_if(column < low).alias(f"{i}|under"),
-            F.count_if(column == low).alias(f"{i}|low"),
-            F.count_if((column > low) & (column < high)).alias(f"{i}|between"),
-            F.count_if(column == high).alias(f"{i}|high"),
-        ]
-    row = df.agg(*tallies).first().asDict()
+    edges = _edges(df, columns, searches, accuracy)
+    tallies = {}
+    for s, (low, high) in zip(searches, edges):
+        column = _inside(columns[s.name], s)
+        tallies[s.name, s.low, s.high, low, high] = F.struct(
+            F.count_if(column < low), F.count_if(column == low), F.count_if((column > low) & (column < high)), F.count_if(column == high)
+        )
+    counted = dict(zip(tallies, df.agg(*[t.alias(str(i)) for i, t in enumerate(tallies.values())]).first()))
     still_open = []
-    for i, s in enumerate(searches):
-        low, high = edges[i]
-        under = s.below + row[f"{i}|under"]
-        upto_low = under + row[f"{i}|low"]
-        upto_between = upto_low + row[f"{i}|between"]
-        upto_high = upto_between + (row[f"{i}|high"] if high > low else 0)
+    for s, (low, high) in zip(searches, edges):
+        n_under, n_low, n_between, n_high = counted[s.name, s.low, s.high, low, high]
+        under = s.below + n_under
+        upto_low = under + n_low
+        upto_between = upto_low + n_between
+        upto_high = upto_between + (n_high if high > low else 0)
         if s.rank < under:
-            still_open.append(_Search(s.name, s.rank, s.low, low, s.below, row[f"{i}|under"]))
+            still_open.append(_Search(s.name, s.rank, s.low, low, s.below, n_under))
         elif s.rank < upto_low:
             found[s.name, s.rank] = low
         elif s.rank < upto_between:
-            still_open.append(_Search(s.name, s.rank, low, high, upto_low, row[f"{i}|between"]))
+            still_open.append(_Search(s.name, s.rank, low, high, upto_low, n_between))
         elif s.rank < upto_high:
             found[s.name, s.rank] = high
         else:
             rest = s.inside - (upto_high - s.below)
             still_open.append(_Search(s.name, s.rank, high, s.high, upto_high, rest))
     return still_open
+
+
+def _edges(df, columns, searches, accuracy) -> list[tuple[float, float]]:
+    """Bracket around every wanted rank; searches in the same interval share one sketch.
+
+    The sketch's rank error is at most 1/accuracy of what it has seen; two such steps to either side
+    of the wanted rank always enclose it.
+    """
+    shared: dict[tuple, list[int]] = {}
+    for i, s in enumerate(searches):
+        shared.setdefault((s.name, s.low, s.high), []).append(i)
+    sketches = []
+    for members in shared.values():
+        ends, step = [], 2.0 / accuracy
+        for s in (searches[i] for i in members):
+            place = (s.rank - s.below) / s.inside
+            ends += [F.lit(max(0.0, place - step)), F.lit(min(1.0, place + step))]
+        first = searches[members[0]]
+        sketches.append(F.percentile_approx(_inside(columns[first.name], first), F.array(*ends), accuracy))
+    row = df.agg(*[sketch.alias(str(n)) for n, sketch in enumerate(sketches)]).first()
+    edges: list = [None] * len(searches)
+    for values, members in zip(row, shared.values()):
+        for n, i in enumerate(members):
+            edges[i] = (values[2 * n], values[2 * n + 1])
+    return edges

@@ -106,17 +106,30 @@ def recommend_one(
 ) -> DataFrame:
     """Recommendations for one item named by id, or by name and artist."""
     check_request(k, embedding_type, track_id, track_name)
-    spark = catalogue.sparkSession
+    found = locate(catalogue, track_id, track_name, artist_name)
     id_type = catalogue.schema["track_id"].dataType.simpleString()
-    if track_id is not None and find_by_id(catalogue, track_id).select("track_id").take(1):
-        targets = spark.createDataFrame([(0, track_id)], f"query_id int, matched_id {id_type}")
-    else:
-        asked = [(0, None, track_name, artist_name)]
-        columns = f"query_id int, track_id {id_type}, track_name string, artist_name string"
-        targets = resolve(spark.createDataFrame(asked, columns), catalogue)
+    targets = catalogue.sparkSession.createDataFrame(
+        [] if found is None else [(0, found)], f"query_id int, matched_id {id_type}"
+    )
     return recommend(catalogue, targets, k, embedding_type, **options)
 
 
+def locate(catalogue: DataFrame, track_id=None, track_name: str | None = None, artist_name: str | None = None):
+    """Id of one item by id, exact name or fuzzy name, whichever hits first; None without a hit."""
+    if track_id is not None and find_by_id(catalogue, track_id).select("track_id").take(1):
+        return track_id
+    if not track_name:
+        return None
+    id_type = catalogue.schema["track_id"].dataType.simpleString()
+    asked = catalogue.sparkSession.createDataFrame(
+        [(0, None, track_name, artist_name)],
+        f"query_id int, track_id {id_type}, track_name string, artist_name string",
+    )
+    hit = resolve(asked, catalogue, fuzzy=False).select("matched_id").take(1)
+    hit = hit or match_names(asked, catalogue).select("matched_id").take(1)
+    return hit[0][0] if hit else None
+
+
 def recommend_batch(catalogue: DataFrame, track_ids: DataFrame, k: int = 10, embedding_type: str = "combined", **options) -> DataFrame:
     """Recommendations for every id in ``track_ids.track_id``."""
     targets = track_ids.select("track_id").distinct().select(F.col("track_id").alias("query_id"), F.col("track_id").alias("matched_id"))
