@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from trackweave.operators import blocks
 from trackweave.operators.ranking import keep_first
+from trackweave.session import ship_package
 
 THRESHOLD = 0.8
 NAME_WEIGHT = 0.7
@@ -60,6 +61,7 @@ def match_names(
             T.StructField("score", T.DoubleType()),
         ]
     )
+    ship_package(queries.sparkSession)
     small = blocks.small_table(wanted, broadcast_rows)
     if small is not None:
         # Comparing is long work on few bytes, so the number of tasks is stated.

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from trackweave.functions.vectors import METRICS, as_vector
 from trackweave.operators import blocks
 from trackweave.operators.ranking import top_n_per_group
+from trackweave.session import ship_package
 
 # Scores closer than this are ties and ordered by id; well above the noise of double arithmetic.
 TIE_DIGITS = 12
@@ -62,6 +63,7 @@ def nearest(
     )
     search = _Search(k, metric, query_out, item_id, out, tuple(exclude))
 
+    ship_package(queries.sparkSession)
     small = blocks.small_table(queries, broadcast_rows)
     if small is not None:
         shared = queries.sparkSession.sparkContext.broadcast(small)

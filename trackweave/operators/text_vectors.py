@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackweave.session import ship_package
+
 DIMENSION = 768
 BATCH_SIZE = 25
 
@@ -70,6 +72,7 @@ def embed_with(
             column = pa.array(vectors, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, output])
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema).withColumn("embedding_dimension", F.lit(dimension))
 
 

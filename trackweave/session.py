@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -37,3 +41,16 @@ def materialize(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python tasks this package, as ``--py-files`` would; once per application."""
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    if context.applicationId in _shipped or not os.path.isdir(package):
+        return
+    root, name = os.path.split(package)
+    # Built on the driver, handed to the executors by Spark.
+    archive = os.path.join(tempfile.mkdtemp(prefix="trackweave-"), name)
+    context.addPyFile(shutil.make_archive(archive, "zip", root_dir=root, base_dir=name))
+    _shipped.add(context.applicationId)
