@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.bindings.registry import Registered
-from trackweave.llm import exact_dedup
+from trackweave.llm import exact_dedup, line_dedup
 
 QUERIES: dict[str, Registered] = {}
 
@@ -37,3 +37,28 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     decided = exact_dedup.exact_dedup(documents(spark, folder))
     return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query(
+    "op10_line_dedup",
+    rf"""
+    WITH lines AS (
+        SELECT doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS line
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+    ), keyed AS (
+        SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key
+        FROM lines
+    ), frequent AS (
+        SELECT key, max(doc_id) AS keep_id FROM keyed WHERE length(key) >= 20
+        GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+    ), judged AS (
+        SELECT k.*, keep_id IS NOT NULL AND doc_id <> keep_id AS dropped FROM keyed k LEFT JOIN frequent USING (key)
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id
+    """,
+)
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.drop_repeated_lines(documents(spark, folder))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
