@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from trackweave.llm.common import ascii_lower, join_hot, located, scanned, stored, utf8_bytes, working_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-BOUNDED = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+# Bounded memory over all state partitions of an executor, and no disk reserved ahead for small ones.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 # Digests with a hit are looked up by this many buckets: the broadcast holds a number per bucket at most.
 HIT_BUCKETS = 1 << 18
 
@@ -60,9 +64,9 @@ class DedupStore:
         # Ids order before locators; a null id is the smallest.
         stays = F.max(F.struct("_id", "_file", "_row", "_bytes"))
         keyed = landing.groupBy("_digest").agg(stays.alias("stays"), F.count(F.lit(1)).alias("n"))
-        conf, wanted = self.spark.conf, {PROVIDER: ROCKSDB, BOUNDED: "true"}
-        before = {key: conf.get(key, None) for key in wanted}
-        for key, value in wanted.items():
+        conf = self.spark.conf
+        before = {key: conf.get(key, None) for key in STATE_CONF}
+        for key, value in STATE_CONF.items():
             conf.set(key, value)
         try:
             stream = (
