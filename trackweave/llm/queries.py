@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.bindings.registry import Registered
-from trackweave.llm import exact_dedup, line_dedup
+from trackweave.llm import exact_dedup, line_dedup, packing, sharding
 
 QUERIES: dict[str, Registered] = {}
 
@@ -62,3 +62,14 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_dedup.drop_repeated_lines(documents(spark, folder))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_kd_sharding")
+def op7_kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.kd_shards(documents(spark, folder), shards=24)
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query("op1_packing")
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder))
