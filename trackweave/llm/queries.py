@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.bindings.registry import Registered
-from trackweave.llm import exact_dedup, line_dedup, packing, sharding
+from trackweave.llm import exact_dedup, line_dedup, packing, quality_rules, sharding, simhash
 
 QUERIES: dict[str, Registered] = {}
 
@@ -73,3 +73,13 @@ def op7_kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_packing")
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
+
+
+@query("op4_suffix_array_repetition")
+def op4_suffix_array_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judged(documents(spark, folder), carry=["doc_id"])
+
+
+@query("op5_vantage_simhash")
+def op5_vantage_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder))
