@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.bindings.registry import Registered
-from trackweave.llm import exact_dedup, line_dedup, packing, quality_rules, sharding, simhash
+from trackweave.llm import exact_dedup, line_dedup, packing, quality_rules, sharding, simhash, token_counts, word_codec
 
 QUERIES: dict[str, Registered] = {}
 
@@ -83,3 +84,20 @@ def op4_suffix_array_repetition(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_vantage_simhash")
 def op5_vantage_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op8_word_table_bpe")
+def op8_word_table_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = word_codec.encode_and_decode(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
