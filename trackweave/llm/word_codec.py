@@ -1,9 +1,9 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Spark cuts the texts into words and keeps each distinct word once, encodes it, and joins its identifiers to their pieces.
-Texts stay in blocks of neighbouring rows: each block asks the table for its own distinct words, so what is shuffled
-besides the texts is a row for each block and distinct word, not for each word. In its block every text looks its
-words up in their order.
+Texts stay in blocks of neighbouring rows. Each block asks the table for its distinct words, so what is shuffled besides
+the texts grows with the distinct words of the blocks, not with the words. The table is dealt by the hash of the word: its
+buckets encode each distinct word once and answer every block. In its block every text looks its words up by
+position, and its identifiers are joined to their pieces.
 """
 
 from __future__ import annotations
@@ -15,17 +15,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackweave.llm.bpe import merge
-from trackweave.llm.common import join_hot, located, stored
+from trackweave.llm.common import located
 from trackweave.session import ship_package
 
 # The pattern that cuts texts before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -76,23 +77,77 @@ def codec(path: str) -> WordCodec:
     return WordCodec(path)
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """``word, ids, bytes``: each word of ``words`` (one a row) encoded, and decoded again through its identifiers' pieces."""
-    spark = words.sparkSession
+def ship(words: list[str]) -> tuple[str, np.ndarray]:
+    return "".join(words), np.array([len(word) for word in words], dtype=np.int32)
+
+
+def unship(letters: str, lengths: list[int]) -> list[str]:
+    ends = np.cumsum(lengths).tolist()
+    return [letters[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def bucket_of(word: str, buckets: int) -> int:
+    return xxhash.xxh32_intdigest(word.encode()) % buckets
+
+
+def block_words(content: DataFrame, path: str, buckets: int) -> DataFrame:
+    """``bucket, block, letters, lengths``: the distinct words of each block of rows, in order, by the hash of the word."""
+
+    def rows_of(block: int, found: set[str]) -> pa.RecordBatch:
+        dealt: dict[int, list[str]] = {}
+        for word in sorted(found):
+            dealt.setdefault(bucket_of(word, buckets), []).append(word)
+        shipped = [ship(words) for words in dealt.values()]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(dealt), pa.int32()),
+                pa.array([block] * len(dealt), pa.int64()),
+                pa.array([letters for letters, _ in shipped], pa.string()),
+                pa.array([lengths for _, lengths in shipped], pa.list_(pa.int32())),
+            ],
+            ["bucket", "block", "letters", "lengths"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = codec(path)
+        used, found, current = codec(path), set(), None
         for batch in batches:
-            ids = [used.encode(word) for word in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            for block, text in zip(batch.column("block").to_pylist(), batch.column("_text"), strict=True):
+                if block != current and found:
+                    yield rows_of(current, found)
+                    found = set()
+                current = block
+                found.update(used.words(text.as_py()))
+        if found:
+            yield rows_of(current, found)
+
+    schema = "bucket int, block long, letters string, lengths array<int>"
+    return content.select("block", "_text").mapInArrow(run, schema)
 
-    encoded = stored(words.select("word").mapInArrow(run, "word string, ids array<int>"), "encoded-words")
-    # As many rows as the vocabulary has entries.
-    pieces = F.broadcast(spark.createDataFrame(codec(path).pieces(), "id int, piece binary"))
-    placed = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(pieces, "id")
-    in_order = F.array_sort(F.collect_list(F.struct("at", "piece")))
-    joined = F.aggregate(in_order, F.lit(b""), lambda text, x: F.concat(text, x["piece"]))
-    return encoded.join(placed.groupBy("word").agg(joined.alias("bytes")), "word")
+
+def encoded_words(asked: DataFrame, path: str) -> DataFrame:
+    """The word table, bucket by bucket: each distinct word is encoded once, and every block that asked gets its answer.
+
+    A bucket holds a row for each block, however frequent a word is.
+    """
+
+    def encode(table):
+        used, known = codec(path), {}
+        ids, counts = [], []
+        for letters, lengths in zip(table.column("letters").to_pylist(), table.column("lengths").to_pylist(), strict=True):
+            row, sizes = [], []
+            for word in unship(letters, lengths):
+                if word not in known:
+                    known[word] = used.encode(word)
+                row += known[word]
+                sizes.append(len(known[word]))
+            ids.append(row)
+            counts.append(sizes)
+        kept = [table.column(name).combine_chunks() for name in ("bucket", "block", "letters", "lengths")]
+        arrays = [*kept, pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
+        return pa.table(arrays, names=["bucket", "block", "letters", "lengths", "ids", "counts"])
+
+    schema = "bucket int, block long, letters string, lengths array<int>, ids array<int>, counts array<int>"
+    return asked.groupBy("bucket").applyInArrow(encode, schema)
 
 
 def encode_and_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -100,46 +155,22 @@ def encode_and_decode(docs: DataFrame, path: str, id_column: str = "doc_id", tex
 
     ``path`` is a byte-level vocabulary that the executors can read. Its special tokens are recognised in texts. A null or
     empty text has no identifiers and decodes to an empty text; repeated rows are encoded each; an empty table gives no
-    rows. A block of rows is as large as gives about ``BLOCK_BYTES``, a longer text is one block.
+    rows. Blocks hold about ``BLOCK_BYTES`` of text, and as many buckets as there are blocks hold the words.
     """
     spark = docs.sparkSession
     ship_package(spark)
     content = located(docs, {"_id": F.col(id_column), "_text": F.coalesce(F.col(text_column), F.lit(""))})
-    mean = content.agg(F.avg(F.octet_length("_text"))).first()[0] or 1.0
-    rows_a_block = max(1, min(4096, int(BLOCK_BYTES / max(1.0, mean))))
+    rows, size = content.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
+    rows_a_block = max(1, int(BLOCK_BYTES * rows / max(1, size)))
     # Neighbouring rows of a file, whatever splits it is read in.
     block = F.xxhash64("_file", F.floor(F.col("_row") / rows_a_block))
-    content = content.select(block.alias("_block"), "_id", "_text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = codec(path)
-
-        def out(block: int, found: set[str]) -> pa.RecordBatch:
-            words = pa.array(sorted(found), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), words], ["_block", "word"])
-
-        found: set[str] = set()
-        current = None
-        for batch in batches:
-            for block, text in zip(batch.column("_block").to_pylist(), batch.column("_text"), strict=True):
-                if block != current and found:
-                    yield out(current, found)
-                    found = set()
-                current = block
-                found.update(used.words(text.as_py()))
-        if found:
-            yield out(current, found)
-
-    asked = content.select("_block", "_text").mapInArrow(cut, "_block long, word string").distinct()
-    asked = stored(asked, "block-words")
-    counted = asked.groupBy("word").agg(F.count(F.lit(1)).alias("blocks"))
-    counted = stored(counted, "distinct-words")
-    table = counted.join(word_table(counted, path), "word")
-    answers = join_hot(asked, table, ["word"], "blocks", asked.count(), "inner").drop("blocks")
-    id_type = docs.schema[id_column].dataType
+    content = content.select(block.alias("block"), "_id", "_text")
+    answers = encoded_words(block_words(content, path, max(1, -(-size // BLOCK_BYTES))), path)
+    # A piece for each identifier of the vocabulary; decoding joins them by identifier.
+    pieces = spark.sparkContext.broadcast(codec(path).pieces())
     schema = T.StructType(
         [
-            T.StructField("_id", id_type),
+            T.StructField("_id", docs.schema[id_column].dataType),
             T.StructField("ids", T.ArrayType(T.IntegerType())),
             T.StructField("decoded", T.StringType()),
         ]
@@ -147,27 +178,33 @@ def encode_and_decode(docs: DataFrame, path: str, id_column: str = "doc_id", tex
 
     def look_up(texts, answers):
         used = codec(path)
-        number = {word: i for i, word in enumerate(answers.column("word").to_pylist())}
-        ids = answers.column("ids").combine_chunks()
-        flat = ids.flatten().to_numpy()
-        length = np.diff(ids.offsets.to_numpy()) if len(ids) else np.zeros(0, dtype=np.int64)
+        words: list[str] = []
+        for letters, lengths in zip(answers.column("letters").to_pylist(), answers.column("lengths").to_pylist(), strict=True):
+            words += unship(letters, lengths)
+        # A block read in two splits asks twice for some words; either answer will do.
+        number = {word: i for i, word in enumerate(words)}
+        length = answers.column("counts").combine_chunks().flatten().to_numpy().astype(np.int64)
+        flat = answers.column("ids").combine_chunks().flatten().to_numpy()
         start = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
-        pieces = answers.column("bytes").to_pylist()
+        piece = dict(pieces.value)
+        size = max(piece, default=-1) + 1
+        by_id = [piece.get(i, b"") for i in range(size)]
         all_ids, sizes, decoded = [], [], []
         for text in texts.column("_text"):
-            codes = [number[word] for word in used.words(text.as_py())]
-            decoded.append(b"".join([pieces[c] for c in codes]).decode(errors="replace"))
-            at = np.array(codes, dtype=np.int64)
+            at = np.array([number[word] for word in used.words(text.as_py())], dtype=np.int64)
             n = length[at]
             # Identifiers of the words one after another.
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
-            all_ids.append(flat[np.repeat(start[at] - (ends - n), n) + np.arange(total)])
+            ids = flat[np.repeat(start[at] - (ends - n), n) + np.arange(total)]
+            all_ids.append(ids)
             sizes.append(total)
+            decoded.append(b"".join([by_id[i] for i in ids.tolist()]).decode(errors="replace"))
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
         values = pa.array(np.concatenate(all_ids) if all_ids else np.zeros(0, dtype=np.int32), pa.int32())
         arrays = [texts.column("_id").combine_chunks(), pa.ListArray.from_arrays(offsets, values), pa.array(decoded, pa.string())]
         return pa.table(arrays, names=schema.names)
 
-    both = content.groupBy("_block").cogroup(answers.groupBy("_block"))
+    both = content.groupBy("block").cogroup(answers.select("block", "letters", "lengths", "ids", "counts").groupBy("block"))
     return both.applyInArrow(look_up, schema).withColumnRenamed("_id", id_column)
+
