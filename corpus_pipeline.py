@@ -5,20 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackweave.bindings.registry import Registered
-from trackweave.llm import exact_dedup
+from trackweave.llm import exact_dedup, packing, quality_rules, simhash, substring_dedup
 from trackweave.llm.common import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def unrepetitive(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the repetition rules reject go."""
+    return quality_rules.judged(docs).filter("kept").select(*docs.columns)
+
+
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.keep_one(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", distinct_texts)]
+def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by their fingerprints the one with the smallest doc_id stays."""
+    groups = simhash.near_duplicates(docs)
+    gone = groups.filter("component_id <> doc_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that several documents hold stay in one of them; the others lose them, not their row."""
+    cut = substring_dedup.without_repeated_passages(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's place in the padded batches."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", unrepetitive),
+    ("exact_dedup", distinct_texts),
+    ("near_dedup", no_near_duplicates),
+    ("substring_dedup", no_repeated_passages),
+    ("packing", packed),
+]
 
 # Suffix arrays, Hamming distances and rolling hashes are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None

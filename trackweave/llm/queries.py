@@ -7,7 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.bindings.registry import Registered
-from trackweave.llm import exact_dedup, line_dedup, packing, quality_rules, sharding, simhash, token_counts, word_codec
+from trackweave.llm import (
+    exact_dedup,
+    line_dedup,
+    ngram_quality,
+    packing,
+    quality_rules,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_counts,
+    word_codec,
+)
 
 QUERIES: dict[str, Registered] = {}
 
@@ -101,3 +112,15 @@ def op8_word_table_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op3_chunk_dedup")
+def op3_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substring_dedup.without_repeated_passages(documents(spark, folder).select("doc_id", "text"))
+    return cut.select("doc_id", "text", "removed_words", "removed_spans", "held_by")
+
+
+@query("op9_kneser_ney_quality")
+def op9_kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return ngram_quality.judged(documents(spark, folder), labels)
