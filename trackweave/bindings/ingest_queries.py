@@ -188,7 +188,8 @@ def lyrics_records(spark, folder):
 # --- enrichment ---------------------------------------------------------------------------------
 
 
-def _merged(spark, folder):
+def _sources(spark, folder):
+    """Base, audio, lyrics and tags; some lyrics and tags landed twice, and the last one counts."""
     documents = table(spark, folder, "documents")
     base = documents.select(
         F.col("doc_id").alias("track_id"),
@@ -206,7 +207,10 @@ def _merged(spark, folder):
         F.lit("l").alias("url"),
         F.col("toxic").cast("long").alias("genius_popularity"),
         F.lit(None).cast("boolean").alias("has_lyrics"),
+        F.lit(1).alias("landed"),
     )
+    again = lyrics.filter("track_id % 5 = 0").withColumns({"lyrics_length": F.lit(7), "landed": F.lit(2)})
+    lyrics = again.unionByName(lyrics)
     tags = table(spark, folder, "pages").select(
         F.col("page_id").alias("track_id"),
         F.split("url", "/").alias("tags"),
@@ -215,10 +219,16 @@ def _merged(spark, folder):
         F.length("html").cast("long").alias("playcount"),
         F.lit(None).cast("long").alias("listeners"),
         F.col("url").alias("lastfm_url"),
+        F.lit(1).alias("landed"),
     )
-    lyrics = enrichment.last_per_key(lyrics, "track_id", "genius_id")
-    tags = enrichment.last_per_key(tags, "track_id", "lastfm_url")
-    return ingest.build_unified(base, audio, lyrics, tags)
+    older = tags.filter("track_id % 4 = 0").withColumns({"playcount": F.lit(-1).cast("long"), "landed": F.lit(0)})
+    tags = older.unionByName(tags)
+    return base, audio, lyrics, tags
+
+
+def _merged(spark, folder, chosen=lambda base: base):
+    base, audio, lyrics, tags = _sources(spark, folder)
+    return ingest.build_unified(chosen(base), audio, lyrics, tags, lyrics_order="landed", tags_order="landed")
 
 
 _MERGED_SQL = """
@@ -239,7 +249,7 @@ _MERGED_SQL = """
     f"""
     WITH {_MERGED_SQL}
     SELECT track_id, name, artist, popularity, round(tempo, 6) AS tempo, lyrics_key IS NOT NULL AS has_genius, tags_key IS NOT NULL AS has_lastfm,
-           CAST(CASE WHEN lyrics_key IS NOT NULL THEN CASE WHEN toxic = 0 THEN quality ELSE 0 END END AS DOUBLE) AS lyrics_length,
+           CAST(CASE WHEN lyrics_key IS NOT NULL THEN CASE WHEN lyrics_key % 5 = 0 THEN 7 WHEN toxic = 0 THEN quality ELSE 0 END END AS DOUBLE) AS lyrics_length,
            CAST(CASE WHEN lyrics_key IS NOT NULL THEN toxic END AS DOUBLE) AS genius_popularity,
            CASE WHEN lyrics_key IS NOT NULL THEN 'false' END AS has_lyrics,
            CAST(CASE WHEN tags_key IS NOT NULL THEN length(html) END AS DOUBLE) AS playcount,
@@ -277,7 +287,8 @@ def merge_sources(spark, folder):
 )
 def merge_statistics(spark, folder):
     rates = ("lyrics_rate", "tags_rate", "complete_rate")
-    found = enrichment.merge_statistics(_merged(spark, folder))
+    base, _, lyrics, tags = _sources(spark, folder)
+    found = enrichment.hit_statistics(base, lyrics, tags, only=enrichment.worth_a_lookup())
     return found.withColumns({name: F.round(name, 6) for name in rates})
 
 
@@ -291,7 +302,7 @@ def merge_statistics(spark, folder):
     """,
 )
 def verification_report(spark, folder):
-    return enrichment.verification_report(_merged(spark, folder))
+    return enrichment.verification_report(_merged(spark, folder, enrichment.most_popular))
 
 
 # --- source union -------------------------------------------------------------------------------
@@ -408,3 +419,76 @@ def ad_hoc_sql(spark, folder):
            FROM orders_view JOIN customer_view ON o_custkey = c_custkey GROUP BY c_mktsegment""",
         {"orders_view": table(spark, folder, "orders"), "customer_view": table(spark, folder, "customer")},
     )
+
+
+# --- tables and files by name -------------------------------------------------------------------
+
+
+@query(
+    "record_files",
+    """
+    SELECT r_name AS region, count(*) AS n_rows, string_agg(n_name, ',' ORDER BY n_nationkey) AS names, 1 AS n_files
+    FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
+    """,
+)
+def record_files(spark, folder):
+    """Nations written as one JSON array per region, listed, and read back."""
+    base = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    nations = table(spark, folder, "nation").join(
+        table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    arrays = nations.groupBy("r_name").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "r_name"))).alias("value"))
+    arrays.repartition("r_name").write.partitionBy("r_name").text(base)
+    rows = records.read_records(spark, f"{base}/*", "n_nationkey int, n_name string, r_name string")
+    listed = records.list_files(spark, base, "*.txt").select(F.regexp_extract("path", "r_name=([^/]+)/", 1).alias("folder"))
+    files = listed.groupBy(F.url_decode("folder").alias("r_name")).agg(F.count(F.lit(1)).alias("n_files"))
+    ordered = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
+    found = rows.groupBy("r_name").agg(F.count(F.lit(1)).alias("n_rows"), ordered.alias("ordered"))
+    names = F.array_join(F.transform("ordered", lambda nation: nation["n_name"]), ",")
+    return found.join(files, "r_name").select(F.col("r_name").alias("region"), "n_rows", names.alias("names"), "n_files")
+
+
+@query(
+    "table_by_name",
+    "SELECT count(*) AS rows, 1 AS files, 'o_orderkey,o_orderstatus' AS columns, count(*) AS read_back FROM orders",
+)
+def table_by_name(spark, folder):
+    """A database created, a table saved in it by name, described and read back by name."""
+    database = f"landing_{uuid.uuid4().hex}"
+    tables.create_database(spark, database)
+    try:
+        orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+        tables.replace_table(orders.coalesce(1), f"{database}.orders")
+        info = tables.table_info(spark, f"{database}.orders").select("rows", "files", F.array_join("columns", ",").alias("columns"))
+        again = tables.read_table(spark, f"{database}.orders", ["o_orderkey"])
+        found = info.first(), again.count()
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+    row = [(*found[0], found[1])]
+    return spark.createDataFrame(row, "rows long, files long, columns string, read_back long")
+
+
+@query(
+    "vector_table_scan",
+    """
+    SELECT vec_id AS track_id, 'vector ' || vec_id AS track_name, 48 AS text_size, 16 AS feature_size, 64 AS combined_size FROM embeddings
+    """,
+)
+def vector_table_scan(spark, folder):
+    """The recommender's seven columns out of a wider stored table."""
+    base = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    whole = F.col("embedding")
+    rows = table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("track_id"),
+        F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("track_name"),
+        F.col("label").cast("string").alias("artist_name"),
+        F.lit("embeddings").alias("album_name"),
+        F.slice(whole, 1, 48).alias("text_embedding"),
+        F.slice(whole, 49, 16).alias("feature_embedding"),
+        whole.alias("combined_embedding"),
+        F.lit("not needed").alias("lyrics"),
+    )
+    tables.replace_table(rows, base)
+    read = tables.read_vectors(spark, base)
+    sizes = {"text_size": "text_embedding", "feature_size": "feature_embedding", "combined_size": "combined_embedding"}
+    return read.select("track_id", "track_name", *[F.size(column).alias(name) for name, column in sizes.items()])

@@ -96,8 +96,8 @@ def search_regex(spark, folder):
 @query(
     "autocomplete",
     f"""
-    WITH {_CAT}, pool AS (SELECT * FROM cat ORDER BY track_id LIMIT 100)
-    SELECT track_id, track_name, artist_name, album_name FROM pool
+    WITH {_CAT}
+    SELECT track_id, track_name, artist_name, album_name FROM cat
     WHERE contains(lower(track_name), 'ri') OR contains(lower(artist_name), 'ri') ORDER BY track_id LIMIT 5
     """,
 )
@@ -122,6 +122,16 @@ def deep_page(spark, folder):
     return page(table(spark, folder, "orders"), "o_orderkey", offset=12_000, limit=100).select("o_orderkey", "o_custkey")
 
 
+@query(
+    "deep_page_by_text",
+    "SELECT 'order ' || o_orderkey AS order_id, o_custkey FROM orders ORDER BY order_id LIMIT 100 OFFSET 12000",
+)
+def deep_page_by_text(spark, folder):
+    """The same by a string id."""
+    orders = table(spark, folder, "orders").select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("order_id"), "o_custkey")
+    return page(orders, "order_id", offset=12_000, limit=100)
+
+
 # --- neighbours ---------------------------------------------------------------------------------
 
 _VECTORS = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
@@ -183,6 +193,46 @@ def recommend_refilled(spark, folder):
     return found.select("query_id", "rank", "track_id", "artist_name", "similarity_score")
 
 
+@query(
+    "recommend_cached",
+    f"""
+    WITH {_ranked_sql('dot', 'q.vec_id IN (1, 2)')}
+    SELECT query_id, rank, track_id, round(score, 4) AS similarity_score FROM r WHERE rank <= 5
+    """,
+)
+def recommend_cached(spark, folder):
+    """Two requests on a catalogue kept in memory."""
+    rows = recommend.cached(vectors(spark, folder))
+    found = [
+        recommend.recommend_one(rows, track_id=i, k=5, metric="dot", min_similarity=-1e9).withColumn("query_id", F.lit(i))
+        for i in (1, 2)
+    ]
+    return found[0].unionByName(found[1]).select("query_id", "rank", "track_id", "similarity_score")
+
+
+_REQUEST = {
+    "k": "CAST(p_size - 2 AS INT)",
+    "kind": "CASE WHEN p_partkey % 7 = 0 THEN 'lyrics' WHEN p_partkey % 7 = 1 THEN 'text' ELSE 'combined' END",
+    "id": "CASE WHEN p_partkey % 3 = 0 THEN p_partkey END",
+    "asked_name": "CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 <> 1 THEN p_name END",
+}
+
+
+@query(
+    "request_checks",
+    f"""
+    SELECT p_partkey, CASE WHEN id IS NULL AND coalesce(asked_name, '') = '' THEN 'a track id or a track name is needed'
+        WHEN kind = 'lyrics' THEN 'unknown embedding_type' WHEN k NOT BETWEEN 1 AND 50 THEN 'k must lie between 1 and 50' END AS problem
+    FROM (SELECT p_partkey, {', '.join(f'{text} AS {name}' for name, text in _REQUEST.items())} FROM part)
+    """,
+)
+def request_checks(spark, folder):
+    """What is wrong with each of a table of requests."""
+    asked = table(spark, folder, "part").select("p_partkey", *[F.expr(text).alias(name) for name, text in _REQUEST.items()])
+    problem = recommend.request_problem(F.col("k"), F.col("kind"), F.col("id"), F.col("asked_name"))
+    return asked.select("p_partkey", problem.alias("problem"))
+
+
 def _neighbours(metric: str):
     def run(spark, folder):
         rows = table(spark, folder, "embeddings")

@@ -89,6 +89,26 @@ def pca_full_rotation(spark, folder):
     return turned.select("vec_id", F.round(squared, 6).alias("squared_length"))
 
 
+@query(
+    "pca_two_to_one",
+    """
+    WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+    m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM p),
+    e AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS first FROM m),
+    u AS (SELECT *, CASE WHEN b = 0 THEN CASE WHEN a >= c THEN 1 ELSE 0 END ELSE b END AS ux,
+                 CASE WHEN b = 0 THEN CASE WHEN a >= c THEN 0 ELSE 1 END ELSE first - a END AS uy FROM e),
+    n AS (SELECT *, sqrt(ux * ux + uy * uy) * CASE WHEN CASE WHEN abs(ux) >= abs(uy) THEN ux ELSE uy END < 0 THEN -1 ELSE 1 END AS norm FROM u)
+    SELECT vec_id, round(((x - mx) * ux + (y - my) * uy) / norm, 6) AS projected, round(first / (a + c), 6) AS explained FROM p, n
+    """,
+)
+def pca_two_to_one(spark, folder):
+    """Two dimensions projected to one, where axis and explained share have a closed form."""
+    rows = table(spark, folder, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("pair"))
+    fitted = fit_projection(rows, "pair", 1)
+    projected = fitted.transform(rows, "pair", "reduced").select("vec_id", F.round(F.get("reduced", F.lit(0)), 6).alias("projected"))
+    return projected.withColumn("explained", F.lit(round(fitted.explained_variance_ratio[0], 6)))
+
+
 # --- documents and text vectors -----------------------------------------------------------------
 
 _DOCUMENT = """concat_ws(' | ', CASE WHEN p_partkey % 3 <> 0 THEN p_name END, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END, p_type,
@@ -144,9 +164,11 @@ def _turn(x: str, bits: int) -> str:
     return f"(((({x}) << {bits}) | (({x}) >> {32 - bits})) & {_M32})"
 
 
-_BLOCK = " + ".join(f"ascii(w[4 * i + {b + 1}])::UBIGINT * {256**b}::UBIGINT" for b in range(4))
+# y: the UTF-8 bytes of a word.
+_BYTES = "list_transform(range(0, octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::UBIGINT)"
+_BLOCK = " + ".join(f"y[4 * i + {b + 1}] * {256**b}::UBIGINT" for b in range(4))
 _TAIL = " + ".join(
-    f"CASE WHEN length(w) % 4 > {b} THEN ascii(w[4 * (length(w) // 4) + {b + 1}])::UBIGINT * {256**b}::UBIGINT ELSE 0::UBIGINT END"
+    f"CASE WHEN len(y) % 4 > {b} THEN y[4 * (len(y) // 4) + {b + 1}] * {256**b}::UBIGINT ELSE 0::UBIGINT END"
     for b in range(3)
 )
 
@@ -154,14 +176,14 @@ _TAIL = " + ".join(
 def tfidf_ctes(texts: str, dimension: int) -> str:
     """CTEs up to ``buckets(w, b)`` and ``tf(id, b, n)`` for a relation ``texts(id, text)``."""
     return rf"""
-    words AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM {texts}),
-    h0 AS (SELECT DISTINCT w FROM words),
-    h1 AS (SELECT w, list_transform(range(0, length(w) // 4), lambda i: {_BLOCK}) AS bs, {_TAIL} AS tail FROM h0),
-    h2 AS (SELECT w, list_transform(list_transform(list_transform(bs, lambda x: {_times('x', 3432918353)}), lambda x: {_turn('x', 15)}),
+    words AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS w FROM {texts}),
+    h0 AS (SELECT w, {_BYTES} AS y FROM (SELECT DISTINCT w FROM words)),
+    h1 AS (SELECT w, len(y) AS size, list_transform(range(0, len(y) // 4), lambda i: {_BLOCK}) AS bs, {_TAIL} AS tail FROM h0),
+    h2 AS (SELECT w, size, list_transform(list_transform(list_transform(bs, lambda x: {_times('x', 3432918353)}), lambda x: {_turn('x', 15)}),
                                     lambda x: {_times('x', 461845907)}) AS bs, {_times('tail', 3432918353)} AS tail FROM h1),
-    h3 AS (SELECT w, list_reduce(bs, lambda h, x: ({_turn('xor(h, x)', 13)} * 5::UBIGINT + 3864292196::UBIGINT) & {_M32}, 42::UBIGINT) AS h,
+    h3 AS (SELECT w, size, list_reduce(bs, lambda h, x: ({_turn('xor(h, x)', 13)} * 5::UBIGINT + 3864292196::UBIGINT) & {_M32}, 42::UBIGINT) AS h,
                   {_times(_turn('tail', 15), 461845907)} AS tail FROM h2),
-    h4 AS (SELECT w, xor(xor(h, tail), length(w)::UBIGINT) AS h FROM h3),
+    h4 AS (SELECT w, xor(xor(h, tail), size::UBIGINT) AS h FROM h3),
     h5 AS (SELECT w, {_times('xor(h, h >> 16)', 2246822507)} AS h FROM h4),
     h6 AS (SELECT w, {_times('xor(h, h >> 13)', 3266489909)} AS h FROM h5),
     h7 AS (SELECT w, CAST(xor(h, h >> 16) AS BIGINT) AS h FROM h6),
@@ -190,8 +212,10 @@ def text_vectors(spark, folder):
     """Non-zero entries of every document's 768-d text vector."""
     documents = texts(spark, folder).select("doc_id", "text")
     vectors = fit_hashed_text(documents, "text").transform(documents, "text")
-    entries = vectors.select("doc_id", F.posexplode("text_embedding").alias("position", "weight"))
-    return entries.filter("weight != 0").withColumn("weight", F.round("weight", 6))
+    # Only the entries that hold something become rows.
+    numbered = F.transform("text_embedding", lambda x, i: F.struct(i.alias("position"), F.round(x, 6).alias("weight"), x.alias("x")))
+    entries = vectors.select("doc_id", F.inline(F.filter(numbered, lambda entry: entry["x"] != 0)))
+    return entries.drop("x")
 
 
 @query(

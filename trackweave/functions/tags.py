@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackweave.functions.numeric import DECIMAL
+
 TOP_TAGS = 10
 TOP_SIMILAR = 5
 TAG_COLUMNS = 3
@@ -43,8 +45,10 @@ def strong_tags(tags: Column, min_weight: float = 0.0, limit: int = TOP_TAGS) ->
 
 
 def clean_playcount(playcount: Column) -> Column:
-    """Play count as a non-negative double; missing or non-numeric counts as 0."""
-    return F.greatest(F.coalesce(F.nanvl(playcount.try_cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    """Play count as a non-negative double; missing, non-numeric or without end counts as 0."""
+    number = F.regexp_extract(playcount.cast("string"), DECIMAL, 0).try_cast("double")
+    finite = F.when(number < F.lit(float("inf")), number)
+    return F.greatest(F.coalesce(finite, F.lit(0.0)), F.lit(0.0))
 
 
 def tag_features(df: DataFrame, source: str = "lastfm", prefix: str = "lastfm") -> dict[str, Column]:

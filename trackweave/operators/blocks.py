@@ -12,6 +12,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 # 4096 queries of 832 doubles are 27 MB.
 BROADCAST_ROWS = 4096
@@ -22,9 +23,18 @@ QUERY, ITEM = "_query_block", "_item_block"
 
 
 def small_table(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> pa.Table | None:
-    """The rows, if they fit both bounds; None otherwise. Never fetches more than the bound."""
-    table = df.limit(max_rows + 1).toArrow()
-    return table if table.num_rows <= max_rows and table.nbytes <= max_bytes else None
+    """The rows, if they fit both bounds; None otherwise. The frame is computed once and measured before any row moves."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        arrays = [F.size(c) * 8 for c, kind in df.dtypes if kind.startswith("array")]
+        texts = [F.octet_length(c) for c, kind in df.dtypes if kind == "string"]
+        row_bytes = F.lit(8 * len(df.columns))
+        for part in arrays + texts:
+            row_bytes = row_bytes + F.coalesce(part, F.lit(0))
+        rows, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
+        return kept.toArrow() if rows <= max_rows and size <= max_bytes else None
+    finally:
+        kept.unpersist()
 
 
 def even_block(key: Column, blocks: int) -> Column:

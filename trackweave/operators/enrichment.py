@@ -59,12 +59,26 @@ def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Side:
-    """An optional record to attach: one row per key, packed into a struct of the given fields."""
+    """An optional record to attach, packed into a struct of the given fields.
+
+    Of several rows with one key the last by ``order`` counts; without an order, the largest record.
+    """
 
     table: DataFrame
     name: str
     fields: Mapping[str, Column]
     only: Column | None = None  # condition on the base row
+    order: str | None = None
+
+    def per_key(self, key: str) -> DataFrame:
+        """One row per key, combined before it is shuffled."""
+        record = F.struct(*[column.alias(field) for field, column in self.fields.items()])
+        rows = self.table.filter(F.col(key).isNotNull())
+        if self.order is None:
+            return rows.select(key, record.alias("_record")).groupBy(key).agg(F.max("_record").alias(self.name))
+        rows = rows.select(key, F.struct(F.col(self.order).alias("_order"), record.alias("_record")).alias("_last"))
+        last = rows.groupBy(key).agg(F.max("_last").alias("_last"))
+        return last.select(key, F.col("_last._record").alias(self.name))
 
 
 def hot_keys(base: DataFrame, key: str) -> list:
@@ -78,16 +92,13 @@ def hot_keys(base: DataFrame, key: str) -> list:
 
 
 def attach(base: DataFrame, sides: Sequence[Side], key: str) -> DataFrame:
-    """Left joins on one key: a match becomes a struct, no match a NULL struct.
+    """Left joins on one key: a match becomes a struct, no match a NULL struct; the base's rows stay as many as they are.
 
     Sides are broadcast only when Spark's own size check allows it; otherwise base and sides are
     shuffled once by the key. Rows of hot keys would all meet in one task, so they stay where they
     are and receive their few side rows (at most ``HOT_KEYS`` per side) by broadcast.
     """
-    packed = []
-    for side in sides:
-        record = F.struct(*[column.alias(field) for field, column in side.fields.items()])
-        packed.append((side, side.table.filter(F.col(key).isNotNull()).select(key, record.alias(side.name))))
+    packed = [(side, side.per_key(key)) for side in sides]
 
     def joined(rows: DataFrame, keys: list | None) -> DataFrame:
         for side, table in packed:
@@ -112,11 +123,13 @@ def merge_sources(
     audio: DataFrame | None = None,
     key: str = "track_id",
     only: Column | None = None,
+    lyrics_order: str | None = None,
+    tags_order: str | None = None,
 ) -> DataFrame:
     """Base rows with ``genius`` and ``lastfm`` structs, ``data_sources`` flags and ``merged_at``.
 
     ``only`` limits both enrichments to base rows that were worth a lookup; ``audio`` adds its
-    columns in the same shuffle.
+    columns in the same shuffle. Of repeated records of a key the last by its order column counts.
     """
     lyric_fields = {
         "genius_id": F.col("genius_id"),
@@ -135,7 +148,10 @@ def merge_sources(
         "listeners": F.coalesce("listeners", F.lit(0)),
         "lastfm_url": F.col("lastfm_url"),
     }
-    sides = [Side(lyrics, "genius", lyric_fields, only), Side(tags, "lastfm", tag_fields, only)]
+    sides = [
+        Side(lyrics, "genius", lyric_fields, only, lyrics_order),
+        Side(tags, "lastfm", tag_fields, only, tags_order),
+    ]
     if audio is not None:
         sides.append(_audio_side(audio))
     merged = _unpack_audio(attach(base, sides, key), base.columns)
@@ -171,6 +187,18 @@ def attach_audio(base: DataFrame, audio: DataFrame, key: str = "track_id") -> Da
     return _unpack_audio(attach(base, [_audio_side(audio)], key), base.columns)
 
 
+def hit_statistics(
+    base: DataFrame, lyrics: DataFrame, tags: DataFrame, key: str = "track_id", only: Column | None = None
+) -> DataFrame:
+    """``merge_statistics`` of a merge that need not be made: only keys are read and joined."""
+    asked = base.select(key, (F.lit(True) if only is None else only).alias("_asked"))
+    for name, side in (("genius", lyrics), ("lastfm", tags)):
+        keys = side.select(key).dropna().distinct().withColumn("_hit", F.lit(True))
+        hit = F.when(F.col("_asked"), F.col("_hit")).alias(name)
+        asked = asked.join(keys, key, "left").select(*asked.columns, hit)
+    return merge_statistics(asked)
+
+
 def merge_statistics(merged: DataFrame) -> DataFrame:
     """Totals and hit rates in per cent, as one row."""
     total = F.count(F.lit(1))
@@ -192,6 +220,11 @@ def merge_statistics(merged: DataFrame) -> DataFrame:
     )
 
 
+def most_popular(base: DataFrame, limit: int = 5, order: str = "track_id") -> DataFrame:
+    """The rows that the report shows. A merge keeps each base row, so they can be chosen before it."""
+    return base.orderBy(F.col("popularity").desc_nulls_last(), order).limit(limit)
+
+
 def verification_report(merged: DataFrame, limit: int = 5, order: str = "track_id") -> DataFrame:
     """Most popular rows with a lyrics mark and the number of tags."""
     return (

@@ -31,13 +31,15 @@ def match_names(
     artist: str = "artist_name",
     broadcast_rows: int = blocks.BROADCAST_ROWS,
     block_rows: int = blocks.CATALOGUE_BLOCK_ROWS,
+    autojunk: bool = False,
 ) -> DataFrame:
     """``query_id, matched_id, score``: the best catalogue row at or above the threshold.
 
     With an artist the score is 0.7 name + 0.3 artist. Equal scores: lowest id. The catalogue is first
     reduced to distinct (name, artist) pairs with their lowest id, so copies are scored once, and to
     names whose length can reach the threshold at all. Equal queries are answered once; every task
-    returns one row per distinct query.
+    returns one row per distinct query. ``autojunk`` leaves frequent characters of candidates of 200 or more
+    characters out of the comparison, as difflib does by default.
     """
     asked = queries.select(
         "query_id", F.lower(F.col(name)).alias("_name"), F.coalesce(F.lower(F.col(artist)), F.lit("")).alias("_artist")
@@ -69,14 +71,15 @@ def match_names(
         shared = queries.sparkSession.sparkContext.broadcast(small)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _best(shared.value, (pa.Table.from_batches([b]) for b in batches), threshold).to_batches()
+            yield from _best(shared.value, (pa.Table.from_batches([b]) for b in batches), threshold, autojunk).to_batches()
 
         partial = pairs.filter(reachable).repartition(_tasks(queries.sparkSession)).mapInArrow(scan, schema)
     else:
-        cells = blocks.fragment_replicate(
-            wanted, pairs, "asked_name", "_name", pairs.count(), broadcast_rows, block_rows
-        )
-        partial = cells.applyInArrow(lambda left, right: _best(left, [right], threshold), schema)
+        # One popular name with many artists is dealt to many blocks.
+        wanted = wanted.withColumn("_deal", F.struct("asked_name", "asked_artist"))
+        pairs = pairs.withColumn("_deal", F.struct("_name", "_artist"))
+        cells = blocks.fragment_replicate(wanted, pairs, "_deal", "_deal", pairs.count(), broadcast_rows, block_rows)
+        partial = cells.applyInArrow(lambda left, right: _best(left, [right], threshold, autojunk), schema)
     found = keep_first(partial, ["asked_name", "asked_artist"], [F.col("score").desc(), F.col("matched_id")])
     same = (F.col("_name") == F.col("asked_name")) & (F.col("_artist") == F.col("asked_artist"))
     return asked.join(found, same).select("query_id", "matched_id", "score")
@@ -101,8 +104,8 @@ def _reachable_length(queries: pa.Table, threshold: float):
 class _Ratios:
     """Ratios of one query text to candidates, each distinct candidate compared at most once."""
 
-    def __init__(self, text: str):
-        self.text, self.known = text, {}
+    def __init__(self, text: str, autojunk: bool):
+        self.text, self.known, self.autojunk = text, {}, autojunk
 
     def of(self, candidate: str, floor: float) -> float:
         """The ratio, or -1 when an upper bound already lies below the floor."""
@@ -110,7 +113,7 @@ class _Ratios:
             total = len(self.text) + len(candidate)
             if total and 2.0 * min(len(self.text), len(candidate)) / total < floor - EPSILON:
                 return -1.0
-            matcher = SequenceMatcher(None, self.text, candidate)
+            matcher = SequenceMatcher(None, self.text, candidate, self.autojunk)
             if matcher.quick_ratio() < floor - EPSILON:
                 return -1.0
             if len(self.known) > 100_000:
@@ -119,15 +122,15 @@ class _Ratios:
         return self.known[candidate]
 
 
-def _best(queries: pa.Table, chunks, threshold: float) -> pa.Table:
+def _best(queries: pa.Table, chunks, threshold: float, autojunk: bool) -> pa.Table:
     """Best pair per query of this task. Names are compared once per distinct pair of names."""
     asked: dict[str, list[tuple[int, str | None]]] = {}
     for place, (name, artist) in enumerate(
         zip(queries.column("asked_name").to_pylist(), queries.column("asked_artist").to_pylist())
     ):
         asked.setdefault(name, []).append((place, artist))
-    names = {name: _Ratios(name) for name in asked}
-    artists = {artist: _Ratios(artist) for group in asked.values() for _, artist in group if artist}
+    names = {name: _Ratios(name, autojunk) for name in asked}
+    artists = {artist: _Ratios(artist, autojunk) for group in asked.values() for _, artist in group if artist}
     least_name = (threshold - ARTIST_WEIGHT) / NAME_WEIGHT
     best: dict[int, tuple] = {}
     id_type = pa.null()

@@ -45,18 +45,18 @@ def search(
 def autocomplete(
     catalogue: DataFrame,
     typed: str,
-    pool: int = 100,
+    pool: int | None = None,
     limit: int = 5,
     name: str = "track_name",
     artist: str = "artist_name",
     order: str = "track_id",
 ) -> DataFrame:
-    """First hits within the first ``pool`` rows of the catalogue; nothing below two characters."""
+    """First hits in table order; nothing below two characters. ``pool`` looks at the first rows only."""
     text = typed.strip()
     if len(text) < 2:
         return catalogue.limit(0)
-    first_page = top_n(catalogue, [F.col(order)], pool)
-    hits = first_page.filter(_holds(name, text, False) | _holds(artist, text, False))
+    searched = catalogue if pool is None else top_n(catalogue, [F.col(order)], pool)
+    hits = searched.filter(_holds(name, text, False) | _holds(artist, text, False))
     return top_n(hits, [F.col(order)], limit)
 
 
@@ -97,11 +97,14 @@ def resolve_exact(
     # Reads every column of the aggregate, as the one above does, so both share one scan and shuffle.
     by_artist = by_artist.select("_name", "_artist", F.when(F.col("_rows") > 0, F.col("_first")).alias("_exact"))
 
-    joined = (
-        asked.join(by_id.withColumn("_known", F.lit(True)), "_id", "left")
-        .join(by_name, "_name", "left")
-        .join(by_artist, ["_name", "_artist"], "left")
-    )
+    def spread_nulls(rows: DataFrame, column: str) -> DataFrame:
+        """A missing key meets nothing, so it need not travel to where all the others are."""
+        return rows.withColumn("_lane", F.when(F.col(column).isNull(), F.xxhash64("query_id")).otherwise(F.lit(0)))
+
+    lane = F.lit(0).cast("long").alias("_lane")
+    joined = spread_nulls(asked, "_id").join(by_id.select("_id", lane, F.lit(True).alias("_known")), ["_id", "_lane"], "left")
+    joined = spread_nulls(joined, "_name").join(by_name.select("*", lane), ["_name", "_lane"], "left")
+    joined = joined.join(by_artist.select("*", lane), ["_name", "_lane", "_artist"], "left")
     given_artist = F.coalesce(F.col("_artist"), F.lit("")) != ""
     named_hit = F.when((F.col("_total") > 1) & given_artist, F.col("_exact")).otherwise(F.col("_any"))
     return joined.select(

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from trackweave.operators.order_stats import value_at_rank
 
-SALTS = 64
 PLAIN_OFFSET = 10_000
 
 
@@ -25,8 +24,8 @@ def top_n_per_group(
     """
     threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if n >= threshold:
-        # The partition number is part of the salt: it is the same when a task is run again.
-        salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+        # One salt a partition, so there are the more of them the larger the table is.
+        salted = df.withColumn("_salt", F.spark_partition_id())
         first = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = salted.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= n).drop("_n", "_salt")
     window = Window.partitionBy(*keys).orderBy(*order)
@@ -38,10 +37,15 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return top_n_per_group(df, keys, order, 1, "_first").drop("_first")
 
 
-def union_sources(sources: Sequence[DataFrame], quota: int, order: str) -> DataFrame:
-    """Concatenate result lists, at most ``quota`` rows from each, remembering list and position."""
+def union_sources(sources: Sequence[DataFrame], quota: int | None, order: str) -> DataFrame:
+    """Concatenate result lists, at most ``quota`` rows from each, remembering list and position.
+
+    Without a quota all rows come and the position is the value of the order column.
+    """
     numbered = [frame.withColumn("source_order", F.lit(place)) for place, frame in enumerate(sources)]
     merged = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), numbered)
+    if quota is None:
+        return merged.withColumn("position", F.col(order))
     return take_quota(merged, "source_order", quota, order)
 
 
@@ -57,16 +61,20 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 def page(df: DataFrame, order: str, offset: int = 0, limit: int = 50) -> DataFrame:
     """Rows ``offset .. offset + limit`` by a unique numeric or string order column.
 
-    A plain offset makes Spark keep ``offset + limit`` rows in one place, so deep pages of a numeric
-    order column start at the exact order statistic instead and read only their own rows.
+    A plain offset makes Spark keep ``offset + limit`` rows in one place, so deep pages start at the exact
+    order statistic of a numeric order column, or at the prefix of a string one, and keep few rows before their own.
     """
     if not 1 <= limit <= 100:
         raise ValueError("limit must lie between 1 and 100")
     if offset < 0:
         raise ValueError("offset must not be negative")
     numeric = df.schema[order].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")
-    if offset <= PLAIN_OFFSET or not numeric:
+    if offset <= PLAIN_OFFSET:
         return df.orderBy(order).offset(offset).limit(limit)
+    if not numeric:
+        prefix, before = _prefix_at(df, order, offset)
+        rest = df if prefix is None else df.filter(F.col(order) >= prefix)
+        return rest.orderBy(order).offset(offset - before).limit(limit)
     start = value_at_rank(df, order, offset)
     if start is None:
         return df.limit(0)
@@ -74,6 +82,29 @@ def page(df: DataFrame, order: str, offset: int = 0, limit: int = 50) -> DataFra
     return df.filter(F.col(order) >= start).orderBy(order).offset(offset - before).limit(limit)
 
 
+def _prefix_at(df: DataFrame, order: str, offset: int) -> tuple[str | None, int]:
+    """A prefix that at most ``PLAIN_OFFSET`` rows or equal strings have, and how many rows come before it.
+
+    Every round counts the rows by one character more; the driver sees a row per character that follows.
+    """
+    prefix, before, kind = "", df.filter(F.col(order).isNull()).count(), df.schema[order].dataType.typeName()
+    if kind != "string" or offset < before:
+        return None, 0
+    while True:
+        inside = df.filter(F.col(order).startswith(prefix))
+        counts = inside.groupBy(F.substring(F.col(order), 1, len(prefix) + 1).alias("p")).count().collect()
+        for row in sorted(counts, key=lambda r: r["p"].encode()):
+            if before + row["count"] > offset:
+                break
+            before += row["count"]
+        else:
+            return prefix, before - sum(r["count"] for r in counts)
+        # Rows that are the prefix itself are equal.
+        if row["count"] <= PLAIN_OFFSET or row["p"] == prefix:
+            return row["p"], before
+        prefix = row["p"]
+
+
 def with_total(rows: DataFrame, table: DataFrame, name: str = "total") -> DataFrame:
     """Attach the row count of the whole table; an uncorrelated scalar subquery, not a join."""
     return rows.withColumn(name, table.agg(F.count(F.lit(1)).alias(name)).scalar())

@@ -109,16 +109,17 @@ class Projection:
         return [float(x) for x in self.model.explainedVariance.toArray()]
 
     def transform(self, df: DataFrame, vector: str, output: str) -> DataFrame:
-        """Centred projection; every component's largest loading is positive."""
-        prepared = df.withColumn("_in", F.when(F.col(vector).isNotNull(), array_to_vector(as_vector(F.col(vector)))))
-        known = self.model.setInputCol("_in").setOutputCol("_out").transform(prepared.filter(F.col("_in").isNotNull()))
+        """Centred projection; every component's largest loading is positive. A NULL vector stays NULL."""
+        zero = F.array(*[F.lit(0.0)] * self.model.pc.numRows)
+        prepared = df.withColumn("_in", array_to_vector(F.coalesce(as_vector(F.col(vector)), zero)))
+        known = self.model.setInputCol("_in").setOutputCol("_out").transform(prepared)
         turned = F.array(
             *[
                 (F.get(F.col("_raw"), F.lit(i)) - F.lit(shift)) * F.lit(sign)
                 for i, (shift, sign) in enumerate(zip(self.shift, self.signs))
             ]
         )
-        projected = known.withColumn("_raw", vector_to_array("_out")).withColumn(output, turned)
+        projected = known.withColumn("_raw", vector_to_array("_out")).withColumn(output, F.when(F.col(vector).isNotNull(), turned))
         return projected.drop("_in", "_out", "_raw")
 
 

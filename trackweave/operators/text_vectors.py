@@ -16,11 +16,12 @@ from trackweave.session import ship_package
 
 DIMENSION = 768
 BATCH_SIZE = 25
+ERROR = "embedding_error"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased words of ASCII letters and digits, whatever separates them."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda word: word != "")
+    """Lower-cased words of letters and digits of any alphabet, whatever separates them."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda word: word != "")
 
 
 @dataclass(frozen=True)
@@ -58,28 +59,51 @@ def embed_with(
     batch_size: int = BATCH_SIZE,
     output: str = "text_embedding",
 ) -> DataFrame:
-    """Call ``embed`` on batches of texts inside the tasks; a failing batch leaves NULL vectors.
+    """Call ``embed`` on batches of texts inside the tasks; a failing batch leaves NULL vectors and says why.
 
-    Adds the vector and ``embedding_dimension``. Count the successes with ``vector_coverage``.
+    Adds the vector, ``embedding_error`` (NULL where all went well) and ``embedding_dimension``. ``require_embedded``
+    raises when too many rows failed.
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(output, T.ArrayType(T.DoubleType()))])
+    added = [T.StructField(output, T.ArrayType(T.DoubleType())), T.StructField(ERROR, T.StringType())]
+    schema = T.StructType([field for field in df.schema.fields if field.name not in (output, ERROR)] + added)
+    kept = [field.name for field in schema.fields[:-2]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, vectors = [value or "" for value in batch.column(text).to_pylist()], []
+            texts, vectors, errors = [value or "" for value in batch.column(text).to_pylist()], [], []
             for start in range(0, len(texts), batch_size):
-                vectors += _guarded(embed, texts[start : start + batch_size])
-            column = pa.array(vectors, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, output])
+                some = texts[start : start + batch_size]
+                found, error = _guarded(embed, some)
+                vectors += found
+                errors += [error] * len(some)
+            new = [pa.array(vectors, pa.list_(pa.float64())), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], schema.names)
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema).withColumn("embedding_dimension", F.lit(dimension))
 
 
-def _guarded(embed, texts: list[str]) -> list[list[float] | None]:
-    """The model's failure, whatever it is, costs this batch only."""
+def _guarded(embed, texts: list[str]) -> tuple[list[list[float] | None], str | None]:
+    """The model's failure, whatever it is, costs this batch only, and is told."""
     try:
         vectors = [[float(x) for x in vector] for vector in embed(texts)]
-    except Exception:
-        return [None] * len(texts)
-    return vectors if len(vectors) == len(texts) else [None] * len(texts)
+    except Exception as failure:
+        return [None] * len(texts), f"{type(failure).__name__}: {failure}"
+    if len(vectors) != len(texts):
+        return [None] * len(texts), f"{len(vectors)} vectors for {len(texts)} texts"
+    return vectors, None
+
+
+def embedding_counts(embedded: DataFrame, vector: str = "text_embedding") -> DataFrame:
+    """Texts processed, vectors made and texts whose batch failed, as one row."""
+    return embedded.agg(
+        F.count(F.lit(1)).alias("texts"), F.count(vector).alias("vectors"), F.count(ERROR).alias("failed")
+    )
+
+
+def require_embedded(embedded: DataFrame, max_failed_share: float = 0.0) -> None:
+    """Raise if more than this share of the texts has no vector because its batch failed."""
+    texts, _, failed = embedding_counts(embedded).first()
+    if failed > max_failed_share * texts:
+        example = embedded.filter(F.col(ERROR).isNotNull()).select(ERROR).first()[0]
+        raise RuntimeError(f"{failed} of {texts} texts were not embedded, such as by {example}")

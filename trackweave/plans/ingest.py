@@ -11,26 +11,35 @@ from trackweave.functions.dates import parse_date
 from trackweave.operators.enrichment import merge_sources, worth_a_lookup
 from trackweave.operators.ranking import keep_first, union_sources
 
-TRACKS_PER_RUN = 500
-
 
 def collect_tracks(
-    sources: Sequence[DataFrame], order: str, total: int = TRACKS_PER_RUN, key: str = "track_id"
+    sources: Sequence[DataFrame], order: str, total: int | None, key: str = "track_id"
 ) -> DataFrame:
-    """Equal quota from every result list, then the first occurrence of each id."""
-    merged = union_sources(sources, total // len(sources), order)
+    """Equal quota of ``total`` from every result list, all rows without one; then the first occurrence of each id."""
+    merged = union_sources(sources, None if total is None else total // len(sources), order)
     return keep_first(merged, [key], [F.col("source_order"), F.col("position")])
 
 
-def by_genre(landed: DataFrame, genre: str, order: str, limit: int = 50) -> DataFrame:
-    return landed.filter(F.col("genre") == genre).orderBy(order).limit(limit)
+def by_genre(landed: DataFrame, genre: str, order: str, limit: int | None = 50) -> DataFrame:
+    """The first ``limit`` tracks of a genre, all of them without one."""
+    hits = landed.filter(F.col("genre") == genre)
+    return hits if limit is None else hits.orderBy(order).limit(limit)
 
 
-def new_releases(landed: DataFrame, as_of_year: int, order: str, limit: int = 50) -> DataFrame:
+def new_releases(landed: DataFrame, as_of_year: int, order: str, limit: int | None = 50) -> DataFrame:
     released = parse_date(F.col("release_date").cast("string"))
-    return landed.filter(F.year(released) == as_of_year).orderBy(order).limit(limit)
+    hits = landed.filter(F.year(released) == as_of_year)
+    return hits if limit is None else hits.orderBy(order).limit(limit)
 
 
-def build_unified(tracks: DataFrame, audio: DataFrame, lyrics: DataFrame, tags: DataFrame) -> DataFrame:
+def build_unified(
+    tracks: DataFrame,
+    audio: DataFrame,
+    lyrics: DataFrame,
+    tags: DataFrame,
+    lyrics_order: str | None = None,
+    tags_order: str | None = None,
+) -> DataFrame:
     """Tracks with audio columns and both enrichments; only rows with name and artist are looked up."""
-    return merge_sources(tracks, lyrics, tags, audio, only=worth_a_lookup())
+    orders = {"lyrics_order": lyrics_order, "tags_order": tags_order}
+    return merge_sources(tracks, lyrics, tags, audio, only=worth_a_lookup(), **orders)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -14,6 +14,7 @@ from trackweave.operators.lookup import find_by_id, resolve_exact
 from trackweave.operators.neighbours import nearest
 from trackweave.operators.ranking import keep_first, top_n_per_group
 from trackweave.operators.text_vectors import HashedTextModel
+from trackweave.session import materialize
 
 VECTOR_TYPES = ("text", "feature", "combined")
 DISPLAY = ("track_name", "artist_name", "album_name")
@@ -34,9 +35,22 @@ def check_request(k: int, embedding_type: str, track_id=None, track_name: str |
         raise ValueError("k must lie between 1 and 50")
 
 
+def request_problem(k: Column, embedding_type: Column, track_id: Column, track_name: Column) -> Column:
+    """What is wrong with a request, NULL if nothing; for tables of requests, as ``check_request`` is for one."""
+    nameless = track_id.isNull() & (F.coalesce(track_name, F.lit("")) == "")
+    return (
+        F.when(nameless, F.lit("a track id or a track name is needed"))
+        .when(~F.coalesce(embedding_type.isin(*VECTOR_TYPES), F.lit(False)), F.lit("unknown embedding_type"))
+        .when(~F.coalesce(k.between(1, 50), F.lit(False)), F.lit("k must lie between 1 and 50"))
+    )
+
+
 def resolve(queries: DataFrame, catalogue: DataFrame, fuzzy: bool = True, threshold: float = 0.8) -> DataFrame:
     """``query_id, matched_id, method`` by id, exact name or fuzzy name; unresolved queries drop out."""
     exact = resolve_exact(queries, catalogue)
+    if fuzzy:
+        # Both halves and the search read it.
+        exact = materialize(exact)
     found = exact.filter(F.col("matched_id").isNotNull()).select("query_id", "matched_id", "method")
     if not fuzzy:
         return found
@@ -69,7 +83,7 @@ def recommend(
     if few is not None:
         # A short id list reaches the Parquet scan, so only its row groups are read for the queries.
         rows = rows.filter(F.col("track_id").isin(few.column(0).unique().to_pylist()))
-    asked = keep_first(wanted.join(rows, "track_id"), ["query_id"], [F.col("track_id"), F.col("artist_name")])
+    asked = keep_first(wanted.join(rows, "track_id"), ["query_id"], [F.col("track_id"), F.col("artist_name"), F.col("vector")])
     asked = asked.withColumnsRenamed({"track_id": "_own_id", "artist_name": "_own_artist"})
     excluded = [("_own_id", "track_id")]
     if exclude_same_artist and refill:

@@ -9,6 +9,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own_folders: dict[str, str] = {}
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -30,9 +31,18 @@ def get_session(app: str = "trackweave", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. A machine-local one is used only where none is named (tests)."""
+    """The shared folder that ``spark.checkpoint.dir`` names. Only a session of one machine may do without: it gets one
+    of its own, as in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="trackweave-")
+    if configured:
+        return configured
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="trackweave-")
+    return _own_folders[application]
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -96,6 +96,18 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def read_pages(
+    spark: SparkSession, path: str, schema: T.StructType | str, order: str | None = None, total: int | None = None
+) -> DataFrame:
+    """All page files of a folder as one result; with ``total`` only its first rows by ``order``."""
+    rows = read_lines(spark, path, schema)
+    if total is None:
+        return rows
+    if order is None:
+        raise ValueError("a total needs an order")
+    return rows.orderBy(order).limit(total)
+
+
 def write_records(df: DataFrame, base: str, prefix: str, run_ts: str) -> str:
     """Add one run's records as JSON under ``base/prefix/run_ts=...``; returns the prefix path."""
     path = f"{base}/{prefix}"

@@ -47,10 +47,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def append_table(df: DataFrame, name: str) -> None:
-    """Append, stamping ``loaded_at`` unless the rows already carry it."""
-    if "loaded_at" not in df.columns:
-        df = df.withColumn("loaded_at", F.current_timestamp())
-    _write(df, name, "append")
+    """Append, stamping ``loaded_at`` in the rows that do not carry it."""
+    now = F.current_timestamp()
+    stamp = F.coalesce(F.col("loaded_at"), now) if "loaded_at" in df.columns else now
+    _write(df.withColumn("loaded_at", stamp), name, "append")
 
 
 def replace_table(df: DataFrame, name: str) -> None:
@@ -66,15 +66,16 @@ def create_database(spark: SparkSession, name: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
 
 
-def table_info(spark: SparkSession, path: str) -> DataFrame:
-    """``rows, size_bytes, files, columns, created, modified`` of a Parquet folder, as one row."""
+def table_info(spark: SparkSession, name: str) -> DataFrame:
+    """``rows, size_bytes, files, columns, created, modified`` of a table by name or a Parquet folder by path, as one row."""
+    path = name if "/" in name else _location(spark, name)
     files = list_files(spark, path, "*.parquet").agg(
         F.sum("length").alias("size_bytes"),
         F.count(F.lit(1)).alias("files"),
         F.min("modificationTime").alias("created"),
         F.max("modificationTime").alias("modified"),
     )
-    table = read_table(spark, path)
+    table = read_table(spark, name)
     rows = table.agg(F.count(F.lit(1)).alias("rows")).scalar()
     return files.select(
         rows.alias("rows"),
@@ -86,6 +87,11 @@ def table_info(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _location(spark: SparkSession, name: str) -> str:
+    described = spark.sql(f"DESCRIBE FORMATTED {name}").filter(F.col("col_name") == "Location")
+    return described.select("data_type").first()[0]
+
+
 def run_sql(spark: SparkSession, sql: str, views: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Ad-hoc SQL over tables and the given frames."""
     for name, frame in (views or {}).items():
