@@ -161,3 +161,13 @@ def test_hybrid_cosine_identity(spark):
     parts = (0.49 * vectors.similarity(F.col("t"), F.col("u")) + 0.09 * vectors.similarity(F.col("f"), F.col("g"))) / 0.58
     left, right = df.select(whole, parts).first()
     assert left == pytest.approx(right)
+
+
+@pytest.mark.parametrize("raw", ["12d", "Infinity", "-Infinity", "NaN", "0x1p3", "many", "-4", None])
+def test_bad_playcounts_are_zero(values, raw):
+    assert values(tags.clean_playcount, [raw]) == [0.0]
+
+
+def test_good_playcounts(values):
+    assert values(tags.clean_playcount, ["12", " 1e3 ", "7.5"]) == [12.0, 1000.0, 7.5]
+    assert values(tags.clean_playcount, [12, 0], "long") == [12.0, 0.0]

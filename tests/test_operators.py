@@ -296,9 +296,9 @@ def test_search_and_autocomplete(tracks):
             lookup.search(tracks, **bad)
 
 
-def difflib_best(query, rows, threshold=0.8):
+def difflib_best(query, rows, threshold=0.8, autojunk=False):
     name, artist = query
-    ratio = lambda a, b: difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a.lower(), b.lower(), autojunk).ratio()
     best = None
     for track_id, n, a in sorted(rows):
         score = ratio(name, n)
@@ -309,7 +309,7 @@ def difflib_best(query, rows, threshold=0.8):
     return best
 
 
-@pytest.mark.parametrize("limits", [{}, dict(broadcast_rows=10, block_rows=16)])
+@pytest.mark.parametrize("limits", [{}, dict(broadcast_rows=10, block_rows=16), dict(autojunk=True)])
 def test_fuzzy_equals_difflib(spark, limits):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdE ") for _ in range(rng.randint(1, 9)))
@@ -320,7 +320,7 @@ def test_fuzzy_equals_difflib(spark, limits):
     catalogue = spark.createDataFrame(rows, "track_id int, track_name string, artist_name string")
     asked = spark.createDataFrame(queries, "query_id int, track_name string, artist_name string")
     got = {r.query_id: (r.matched_id, r.score) for r in fuzzy.match_names(asked, catalogue, **limits).collect()}
-    expected = {i: difflib_best((n, a), rows) for i, n, a in queries}
+    expected = {i: difflib_best((n, a), rows, autojunk=limits.get("autojunk", False)) for i, n, a in queries}
     assert got == {i: e for i, e in expected.items() if e}
 
 
@@ -371,3 +371,80 @@ def test_statistics_of_an_empty_merge(spark):
     df = spark.createDataFrame([], "genius struct<a:int>, lastfm struct<a:int>")
     row = enrichment.merge_statistics(df).first()
     assert (row.total, row.lyrics_rate) == (0, None)
+
+
+def test_repeated_side_records_do_not_multiply_the_base(spark):
+    base = spark.createDataFrame([(1, "n", "a"), (1, "m", "a"), (2, "o", "b")], "track_id int, name string, artist string")
+    lyrics = spark.createDataFrame(
+        [(1, 10, "old", 1), (1, 11, "new", 2), (None, 12, "none", 3)], "track_id int, genius_id int, lyrics string, landed int"
+    )
+    for column, kind in {"lyrics_length": "int", "description": "string", "url": "string", "genius_popularity": "long", "has_lyrics": "boolean"}.items():
+        lyrics = lyrics.withColumn(column, F.lit(None).cast(kind))
+    tags = spark.createDataFrame(
+        [(1, ["x"], None, None, 5, 1, "u"), (1, ["y"], None, None, 6, 1, "u")],
+        "track_id int, tags array<string>, tags_detailed array<struct<name:string>>, similar_tracks array<struct<name:string>>, playcount long, listeners long, lastfm_url string",
+    )
+    rows = enrichment.merge_sources(base, lyrics, tags, lyrics_order="landed").collect()
+    assert sorted((r.track_id, r.name, r.genius and r.genius.lyrics, r.lastfm and r.lastfm.tags) for r in rows) == [
+        (1, "m", "new", ["y"]), (1, "n", "new", ["y"]), (2, "o", None, None)
+    ]
+    assert enrichment.hit_statistics(base, lyrics, tags).first().with_lyrics == 2
+
+
+def test_statistics_read_only_keys(spark, tmp_path):
+    frame = spark.range(10).select(F.col("id").alias("track_id"), F.lit("long").alias("html"))
+    frame.write.parquet(str(tmp_path / "side"))
+    side = spark.read.parquet(str(tmp_path / "side"))
+    assert "html" not in plan(enrichment.hit_statistics(frame.select("track_id"), side, side))
+
+
+@pytest.mark.parametrize("offset", [0, 3, 40, 990, 2500])
+def test_pages_by_text(spark, offset, monkeypatch):
+    monkeypatch.setattr(ranking, "PLAIN_OFFSET", 2)
+    words = [None, None, ""] + [f"{'ä' if i % 3 else 'zz'}{i * 7919 % 1000}" for i in range(1000)] + ["same"] * 20
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    expected = sorted(words, key=lambda w: (w is not None, (w or "").encode()))[offset : offset + 10]
+    assert [r.w for r in ranking.page(df, "w", offset, 10).collect()] == expected
+
+
+def test_projection_keeps_rows_without_a_vector(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0]), (3, None), (4, [0.0, 5.0])], "id int, v array<double>")
+    got = {r.id: r.out for r in scaling.fit_projection(df, "v", 1).transform(df, "v", "out").collect()}
+    assert set(got) == {1, 2, 3, 4} and got[3] is None and len(got[1]) == 1
+
+
+def test_words_of_other_alphabets_find_their_text(spark):
+    texts = spark.createDataFrame([(1, "Música mañana café"), (2, "Привет мир"), (3, "plain words")], "id int, text string")
+    found = [r[0] for r in texts.select(text_vectors.tokens(F.col("text"))).collect()]
+    assert found == [["música", "mañana", "café"], ["привет", "мир"], ["plain", "words"]]
+    rows = text_vectors.fit_hashed_text(texts, "text").transform(texts, "text").collect()
+    assert all(sum(x * x for x in r.text_embedding) == pytest.approx(1) for r in rows)
+
+
+def test_failed_embeddings_are_told_and_bounded(spark):
+    def embed(texts):
+        raise ImportError("no model here")
+
+    embedded = text_vectors.embed_with(spark.createDataFrame([("a",), ("b",)], "text string"), "text", embed, 1)
+    assert tuple(text_vectors.embedding_counts(embedded).first()) == (2, 0, 2)
+    with pytest.raises(RuntimeError, match="no model here"):
+        text_vectors.require_embedded(embedded, 0.5)
+    text_vectors.require_embedded(embedded, 1.0)
+
+
+def test_autocomplete_reads_the_whole_catalogue(spark):
+    rows = spark.range(500).select(F.col("id").alias("track_id"), F.concat(F.lit("t"), F.col("id")).alias("track_name"), F.lit("a").alias("artist_name"))
+    assert [r.track_id for r in lookup.autocomplete(rows, "t499").collect()] == [499]
+    assert lookup.autocomplete(rows, "t499", pool=100).count() == 0
+
+
+def test_small_table_computes_its_frame_once(spark):
+    counter = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    frame = spark.range(0, 50, 1, 5).mapInArrow(count, "id long")
+    assert blocks.small_table(frame, 100).num_rows == 50 and counter.value == 50
