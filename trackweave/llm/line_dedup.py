@@ -45,14 +45,14 @@ class LineRuns:
     written: int = 0
 
     def __post_init__(self) -> None:
-        self.database = f"line_runs_{self.name}"
-        self.spark.sql(f"CREATE DATABASE {self.database} LOCATION '{working_folder(self.spark, 'line-runs')}'")
+        self.database, self.folder = f"line_runs_{self.name}", working_folder(self.spark, "line-runs")
+        self.spark.sql(f"CREATE DATABASE {self.database} LOCATION '{self.folder}'")
 
     def _write(self, rows: DataFrame, level: int) -> None:
+        """``rows`` are dealt to the buckets already."""
         table = f"{self.database}.run_{level}_{self.written}"
         self.written += 1
-        dealt = rows.repartition(self.buckets, "_line")
-        dealt.write.format("parquet").bucketBy(self.buckets, "_line").sortBy("_line").saveAsTable(table)
+        rows.write.format("parquet").bucketBy(self.buckets, "_line").sortBy("_line").saveAsTable(table)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(table)
@@ -95,10 +95,13 @@ class LineRuns:
             self.spark.sql(f"DROP TABLE {table}")
 
     def _merged(self, tables: list[str]) -> DataFrame:
-        rows = self.spark.table(tables[0])
-        for table in tables[1:]:
-            rows = rows.unionByName(self.spark.table(table))
-        return rows.groupBy("_line").agg(F.sum("_documents").alias("_documents"), F.max("_keep").alias("_keep"))
+        # Read as plain files: a union of bucketed tables claims their buckets, which adaptive execution may have
+        # given up, and then equal lines stay apart.
+        schema = self.spark.table(tables[0]).schema
+        folders = [f"{self.folder}/{table.split('.')[1]}" for table in tables]
+        rows = self.spark.read.schema(schema).parquet(*folders)
+        merged = rows.groupBy("_line").agg(F.sum("_documents").alias("_documents"), F.max("_keep").alias("_keep"))
+        return merged.repartition(self.buckets, "_line")
 
     def frequent(self) -> DataFrame:
         """``_line, _documents, _keep`` of lines in enough documents. ``_documents`` counts every document for
