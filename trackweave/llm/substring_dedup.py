@@ -64,7 +64,7 @@ def chunks(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = (text or "").encode()
     ends, words = chunk_ends(data)
     stops = ends.tolist()
-    digests = [xxhash.xxh3_128_digest(b" ".join(data[a:b].split())) for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+    digests = [xxhash.xxh3_128_digest(b" ".join(data[a:b].split())) for a, b in zip([0, *stops], stops)]
     seen: set[bytes] = set()
     first = [not (d in seen or seen.add(d)) for d in digests]
     halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
