@@ -56,12 +56,18 @@ def scanned(docs: DataFrame) -> DataFrame:
 def located(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``columns`` next to ``_file`` and ``_row``: where each row lies in the Parquet files.
 
-    The locator is the same at every scan and differs between repeated rows.
+    The locator is the same at every scan and differs between repeated rows. ``_split`` is where the split starts in
+    which a scan reads the row.
     """
     docs = scanned(docs)
     lies = docs.metadataColumn("_metadata")
     named = [column.alias(name) for name, column in columns.items()]
-    return docs.select(*named, lies["file_path"].alias("_file"), lies["row_index"].alias("_row"))
+    return docs.select(
+        *named,
+        lies["file_path"].alias("_file"),
+        lies["row_index"].alias("_row"),
+        lies["file_block_start"].alias("_split"),
+    )
 
 
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "left") -> DataFrame:

@@ -9,6 +9,7 @@ position, and its identifiers are joined to their pieces.
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,8 @@ from trackweave.session import ship_package
 # The pattern that cuts texts before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_BYTES = 16 << 20
+PART_BYTES = 4 << 20
+SIGNED = {"uint16": "int16", "int32": "int32"}
 
 
 def byte_alphabet() -> list[str]:
@@ -46,6 +50,7 @@ class WordCodec:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in told["model"]["merges"]]
         self.ranks = {pair: rank for rank, pair in enumerate(merges)}
         self.special = {token["content"]: token["id"] for token in told["added_tokens"]}
+        self.id_type = "uint16" if max([*self.ids.values(), *self.special.values()]) < 1 << 16 else "int32"
         self.letters = byte_alphabet()
         self.word = regex.compile(PATTERN)
         names = sorted(self.special, key=len, reverse=True)
@@ -127,8 +132,10 @@ def block_words(content: DataFrame, path: str, buckets: int) -> DataFrame:
 def encoded_words(asked: DataFrame, path: str) -> DataFrame:
     """The word table, bucket by bucket: each distinct word is encoded once, and every block that asked gets its answer.
 
-    A bucket holds a row for each block, however frequent a word is.
+    A bucket holds a row for each block, however frequent a word is. An answer has the identifiers of the asked words in
+    their order, two bytes each if the vocabulary allows.
     """
+    kind = codec(path).id_type
 
     def encode(table):
         used, known = codec(path), {}
@@ -140,14 +147,59 @@ def encoded_words(asked: DataFrame, path: str) -> DataFrame:
                     known[word] = used.encode(word)
                 row += known[word]
                 sizes.append(len(known[word]))
-            ids.append(row)
-            counts.append(sizes)
-        kept = [table.column(name).combine_chunks() for name in ("bucket", "block", "letters", "lengths")]
-        arrays = [*kept, pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
-        return pa.table(arrays, names=["bucket", "block", "letters", "lengths", "ids", "counts"])
+            ids.append(np.array(row, dtype=kind).view(SIGNED[kind]))
+            counts.append(np.array(sizes, dtype=np.int32))
+        return pa.table(
+            [
+                *[table.column(name).combine_chunks() for name in ("bucket", "block")],
+                pa.array(ids, pa.list_(pa.from_numpy_dtype(SIGNED[kind]))),
+                pa.array(counts, pa.list_(pa.int32())),
+            ],
+            names=["bucket", "block", "ids", "counts"],
+        )
+
+    shipped = "short" if kind == "uint16" else "int"
+    return asked.groupBy("bucket").applyInArrow(encode, f"bucket int, block long, ids array<{shipped}>, counts array<int>")
+
+
+def squeezed(content: DataFrame) -> DataFrame:
+    """``block, ids, lengths, texts``: the texts of a block in compressed parts of bounded size."""
+    id_type = content.schema["_id"].dataType
+    schema = T.StructType(
+        [
+            T.StructField("block", T.LongType()),
+            T.StructField("ids", T.ArrayType(id_type)),
+            T.StructField("lengths", T.ArrayType(T.IntegerType())),
+            T.StructField("texts", T.BinaryType()),
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, held, size, current, id_kind = zstandard.ZstdCompressor(), [], 0, None, None
+
+        def out() -> pa.RecordBatch:
+            ids, texts = zip(*held, strict=True)
+            arrays = [
+                pa.array([current], pa.int64()),
+                pa.array([list(ids)], pa.list_(id_kind)),
+                pa.array([[len(text) for text in texts]], pa.list_(pa.int32())),
+                pa.array([press.compress(b"".join(texts))], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    schema = "bucket int, block long, letters string, lengths array<int>, ids array<int>, counts array<int>"
-    return asked.groupBy("bucket").applyInArrow(encode, schema)
+        for batch in batches:
+            id_kind = batch.column("_id").type
+            for block, own, text in zip(batch.column("block").to_pylist(), batch.column("_id").to_pylist(), batch.column("_text"), strict=True):
+                if held and (block != current or size >= PART_BYTES):
+                    yield out()
+                    held, size = [], 0
+                current = block
+                held.append((own, text.as_py().encode()))
+                size += len(held[-1][1])
+        if held:
+            yield out()
+
+    return content.select("block", "_id", "_text").mapInArrow(run, schema)
 
 
 def encode_and_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -161,11 +213,11 @@ def encode_and_decode(docs: DataFrame, path: str, id_column: str = "doc_id", tex
     ship_package(spark)
     content = located(docs, {"_id": F.col(id_column), "_text": F.coalesce(F.col(text_column), F.lit(""))})
     rows, size = content.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
-    rows_a_block = max(1, int(BLOCK_BYTES * rows / max(1, size)))
-    # Neighbouring rows of a file, whatever splits it is read in.
-    block = F.xxhash64("_file", F.floor(F.col("_row") / rows_a_block))
+    rows_a_block, buckets = max(1, int(BLOCK_BYTES * rows / max(1, size))), max(1, -(-size // BLOCK_BYTES))
+    # Neighbouring rows of a split.
+    block = F.xxhash64("_file", "_split", F.floor(F.col("_row") / rows_a_block))
     content = content.select(block.alias("block"), "_id", "_text")
-    answers = encoded_words(block_words(content, path, max(1, -(-size // BLOCK_BYTES))), path)
+    answers = encoded_words(block_words(content, path, buckets), path)
     # A piece for each identifier of the vocabulary; decoding joins them by identifier.
     pieces = spark.sparkContext.broadcast(codec(path).pieces())
     schema = T.StructType(
@@ -176,35 +228,58 @@ def encode_and_decode(docs: DataFrame, path: str, id_column: str = "doc_id", tex
         ]
     )
 
-    def look_up(texts, answers):
-        used = codec(path)
-        words: list[str] = []
-        for letters, lengths in zip(answers.column("letters").to_pylist(), answers.column("lengths").to_pylist(), strict=True):
-            words += unship(letters, lengths)
-        # A block read in two splits asks twice for some words; either answer will do.
-        number = {word: i for i, word in enumerate(words)}
-        length = answers.column("counts").combine_chunks().flatten().to_numpy().astype(np.int64)
-        flat = answers.column("ids").combine_chunks().flatten().to_numpy()
-        start = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    def look_up(parts, answers):
+        used, expand = codec(path), zstandard.ZstdDecompressor()
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        codes: list[np.ndarray] = []
+        for lengths, texts in zip(parts.column("lengths").to_pylist(), parts.column("texts").to_pylist(), strict=True):
+            data, end = expand.decompress(texts), 0
+            for length in lengths:
+                text = data[end : end + length].decode()
+                codes.append(np.array([number[word] for word in used.words(text)], dtype=np.int32))
+                end += length
+        start, length, flat = _table(answers, number, buckets, used.id_type)
         piece = dict(pieces.value)
-        size = max(piece, default=-1) + 1
-        by_id = [piece.get(i, b"") for i in range(size)]
-        all_ids, sizes, decoded = [], [], []
-        for text in texts.column("_text"):
-            at = np.array([number[word] for word in used.words(text.as_py())], dtype=np.int64)
+        by_id = [piece.get(i, b"") for i in range(max(piece, default=-1) + 1)]
+        all_ids, decoded = [], []
+        for at in codes:
             n = length[at]
             # Identifiers of the words one after another.
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
             ids = flat[np.repeat(start[at] - (ends - n), n) + np.arange(total)]
             all_ids.append(ids)
-            sizes.append(total)
             decoded.append(b"".join([by_id[i] for i in ids.tolist()]).decode(errors="replace"))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        offsets = pa.array(np.cumsum([0, *[len(ids) for ids in all_ids]]), pa.int32())
         values = pa.array(np.concatenate(all_ids) if all_ids else np.zeros(0, dtype=np.int32), pa.int32())
-        arrays = [texts.column("_id").combine_chunks(), pa.ListArray.from_arrays(offsets, values), pa.array(decoded, pa.string())]
-        return pa.table(arrays, names=schema.names)
+        own = parts.column("ids").combine_chunks().flatten()
+        return pa.table([own, pa.ListArray.from_arrays(offsets, values), pa.array(decoded, pa.string())], names=schema.names)
 
-    both = content.groupBy("block").cogroup(answers.select("block", "letters", "lengths", "ids", "counts").groupBy("block"))
+    both = squeezed(content).groupBy("block").cogroup(answers.groupBy("block"))
     return both.applyInArrow(look_up, schema).withColumnRenamed("_id", id_column)
 
+
+def _table(answers: pa.Table, number: dict[str, int], buckets: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By the number of a word: where its identifiers start, how many they are; and all identifiers.
+
+    The words are dealt as they were when the block asked for them, so the answers need not repeat them.
+    """
+    dealt: dict[int, list[str]] = {}
+    for word in sorted(number):
+        dealt.setdefault(bucket_of(word, buckets), []).append(word)
+    start, length = np.zeros(len(number), dtype=np.int64), np.zeros(len(number), dtype=np.int64)
+    flat: list[np.ndarray] = []
+    before = 0
+    counts, ids = answers.column("counts").combine_chunks(), answers.column("ids").combine_chunks()
+    for row, bucket in enumerate(answers.column("bucket").to_pylist()):
+        words, n = dealt.pop(bucket, []), counts[row].values.to_numpy()
+        if len(n) != len(words):
+            raise RuntimeError("a block was read in other splits the second time; its answers do not fit")
+        order = np.array([number[word] for word in words], dtype=np.int64)
+        length[order], start[order] = n, before + np.cumsum(n) - n
+        flat.append(ids[row].values.to_numpy().view(kind).astype(np.int32))
+        before += len(flat[-1])
+    if dealt:
+        raise RuntimeError("a block has words that it did not ask for")
+    return start, length, np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
