@@ -160,16 +160,18 @@ def judged(docs: DataFrame, text_column: str = "text", limits: RepetitionLimits
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in (*COLUMNS.names, "base_failed", "kept")]
     fields = [*docs.select(*[F.col(f"`{c}`") for c in carry]).schema.fields, *COLUMNS.fields]
-    names, min_words = COLUMNS.names, limits.min_words
+    names, min_words, measured_text = COLUMNS.names, limits.min_words, "_measured"
+    while measured_text in carry:
+        measured_text += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = measure(batch.column("_measured").to_pylist(), min_words)
+            found = measure(batch.column(measured_text).to_pylist(), min_words)
             kept = [batch.column(c) for c in carry]
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array(found[n], pa.int64()) for n in names]], [*carry, *names])
 
     ship_package(docs.sparkSession)
-    source = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_column).alias("_measured"))
+    source = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_column).alias(measured_text))
     measured = source.mapInArrow(run, T.StructType(fields))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     repetitive = (F.col("n_covered_words") > limits.covered_fraction * F.col("n_words")) | (F.col("longest_repeat") > limits.longest)
