@@ -36,26 +36,65 @@ _ASKED = {
 }
 
 
-@query(
-    "resolve_exact",
-    f"""
-    WITH {_CAT}, asked AS ({select_sql(_ASKED)}),
+_RESOLVED = f"""
+    {_CAT}, asked AS ({select_sql(_ASKED)}),
     by_name AS (SELECT lower(track_name) AS n, count(*) AS c, min(track_id) AS first FROM cat GROUP BY 1),
     by_artist AS (SELECT lower(track_name) AS n, lower(artist_name) AS a, min(track_id) AS first FROM cat GROUP BY 1, 2),
-    hit AS (SELECT q.query_id, c.track_id AS known, CASE WHEN b.c > 1 AND q.artist_name IS NOT NULL THEN d.first ELSE b.first END AS named
+    hit AS (SELECT q.query_id, c.track_id AS known, CASE WHEN b.c > 1 AND q.artist_name IS NOT NULL THEN d.first ELSE b.first END AS named,
+                   lower(q.track_name) AS n, coalesce(lower(q.artist_name), '') AS a
             FROM asked q LEFT JOIN cat c ON c.track_id = q.track_id LEFT JOIN by_name b ON b.n = lower(q.track_name)
-            LEFT JOIN by_artist d ON d.n = lower(q.track_name) AND d.a = lower(q.artist_name))
-    SELECT query_id, CAST(coalesce(known, named) AS DOUBLE) AS matched_id,
-           CASE WHEN known IS NOT NULL THEN 'id' WHEN named IS NOT NULL THEN 'name' END AS method FROM hit
-    """,
-)
+            LEFT JOIN by_artist d ON d.n = lower(q.track_name) AND d.a = lower(q.artist_name)),
+    exact AS (SELECT query_id, coalesce(known, named) AS matched_id,
+                     CASE WHEN known IS NOT NULL THEN 'id' WHEN named IS NOT NULL THEN 'name' END AS method, n, a FROM hit)
+"""
+
+# The longest common block of the open parts, earliest first: its length in millions, less a thousand times its place in
+# the query and its place in the candidate.
+_BLOCK = """list_max(list_transform(range({alo}, {ahi}), lambda i: list_max(list_transform(range({blo}, {bhi}), lambda j:
+    len(list_filter(range(1, least({ahi} - i, {bhi} - j) + 1), lambda k: substr(x, i + 1, k) = substr(y, j + 1, k))) * 1000000 - i * 1000 - j))))"""
+_LENGTH = "(best + 999999) // 1000000"
+
+# The Ratcliff-Obershelp ratio by its definition: what is left and right of the longest block is matched likewise.
+# ``wanted(n, a)`` are the queries, ``fuzzy(n, a, id, score)`` the best row for each.
+_FUZZY = f"""
+    items AS (SELECT lower(track_name) AS n, lower(artist_name) AS a, min(track_id) AS id FROM cat GROUP BY 1, 2),
+    pairs AS (SELECT q.n AS x, c.n AS y FROM (SELECT DISTINCT n FROM wanted) q, (SELECT DISTINCT n FROM items) c
+              UNION SELECT q.a, c.a FROM (SELECT DISTINCT a FROM wanted) q, (SELECT DISTINCT a FROM items) c),
+    work AS (
+        SELECT x, y, 0::BIGINT AS alo, length(x) AS ahi, 0::BIGINT AS blo, length(y) AS bhi,
+               {_BLOCK.format(alo=0, ahi='length(x)', blo=0, bhi='length(y)')} AS best FROM pairs WHERE x <> '' AND y <> ''
+        UNION ALL
+        SELECT x, y, part.alo, part.ahi, part.blo, part.bhi, {_BLOCK.format(alo='part.alo', ahi='part.ahi', blo='part.blo', bhi='part.bhi')}
+        FROM (SELECT x, y, unnest([{{'alo': alo, 'ahi': i, 'blo': blo, 'bhi': j}}, {{'alo': i + k, 'ahi': ahi, 'blo': j + k, 'bhi': bhi}}]) AS part
+              FROM (SELECT *, {_LENGTH} AS k, ({_LENGTH} * 1000000 - best) // 1000 AS i, ({_LENGTH} * 1000000 - best) % 1000 AS j FROM work)
+              WHERE k > 0)
+        WHERE part.alo < part.ahi AND part.blo < part.bhi),
+    ratio AS (SELECT x, y, 2.0::DOUBLE * sum({_LENGTH}) / (length(x) + length(y)) AS r FROM work GROUP BY x, y),
+    scored AS (SELECT w.n, w.a, c.id, CASE WHEN w.a = '' THEN n.r ELSE n.r * 0.7::DOUBLE + coalesce(a.r, 0) * 0.3::DOUBLE END AS score
+               FROM (SELECT DISTINCT n, a FROM wanted) w JOIN ratio n ON n.x = w.n JOIN items c ON c.n = n.y
+               LEFT JOIN ratio a ON a.x = w.a AND a.y = c.a),
+    fuzzy AS (SELECT n, a, id, score FROM scored WHERE score >= 0.8
+              QUALIFY row_number() OVER (PARTITION BY n, a ORDER BY score DESC, id) = 1)
+"""
+
+
+@query("resolve_exact", f"WITH {_RESOLVED} SELECT query_id, CAST(matched_id AS DOUBLE) AS matched_id, method FROM exact")
 def resolve_exact(spark, folder):
     asked = table(spark, folder, "part").select(*[F.expr(text).alias(name) for name, text in _ASKED.items()])
     found = lookup.resolve_exact(asked, catalogue(spark, folder))
     return found.select("query_id", F.col("matched_id").cast("double").alias("matched_id"), "method")
 
 
-@query("fuzzy_match")
+@query(
+    "fuzzy_match",
+    f"""
+    WITH RECURSIVE {_CAT},
+    asked AS (SELECT lower(regexp_replace(track_name, '.$', '')) AS n, lower(artist_name) AS a, min(track_id) AS query_id
+              FROM cat GROUP BY track_name, artist_name),
+    wanted AS (SELECT n, a FROM asked), {_FUZZY}
+    SELECT query_id, id AS matched_id, round(score, 6) AS score FROM asked JOIN fuzzy USING (n, a)
+    """,
+)
 def fuzzy_match(spark, folder):
     """Every distinct name and artist of the catalogue, misspelt by its last letter."""
     parts = catalogue(spark, folder)
@@ -64,7 +103,15 @@ def fuzzy_match(spark, folder):
     return match_names(misspelt, parts).withColumn("score", F.round("score", 6))
 
 
-@query("resolve_with_fuzzy")
+@query(
+    "resolve_with_fuzzy",
+    f"""
+    WITH RECURSIVE {_RESOLVED}, wanted AS (SELECT n, a FROM exact WHERE matched_id IS NULL), {_FUZZY}
+    SELECT query_id, matched_id, method FROM exact WHERE matched_id IS NOT NULL
+    UNION ALL
+    SELECT query_id, id, 'fuzzy' FROM exact JOIN fuzzy USING (n, a) WHERE matched_id IS NULL
+    """,
+)
 def resolve_with_fuzzy(spark, folder):
     """Ids, exact names and misspelt names in one go."""
     asked = table(spark, folder, "part").select(*[F.expr(text).alias(name) for name, text in _ASKED.items()])
