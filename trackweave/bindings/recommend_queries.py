@@ -16,6 +16,7 @@ from trackweave.operators.scaling import feature_vectors
 from trackweave.operators.text_vectors import fit_hashed_text
 from trackweave.plans import recommend
 from trackweave.plans.transform import build_features
+from trackweave.session import materialize
 
 _CAT = f"cat AS ({select_sql(CATALOGUE)})"
 _SHOWN = ("track_id", "track_name", "artist_name", "album_name")
@@ -345,7 +346,7 @@ def recommend_wide(spark, folder):
 )
 def recommend_by_name(spark, folder):
     """Name to track to feature vector to neighbours."""
-    featured = feature_vectors(build_features(catalogue(spark, folder), as_of_year=2024))
+    featured = materialize(feature_vectors(build_features(catalogue(spark, folder), as_of_year=2024)))
     found = recommend.recommend_one(featured, track_name="Red Widget", k=20, embedding_type="feature")
     return found.select("rank", "similarity_score")
 
@@ -362,7 +363,7 @@ def recommend_by_name(spark, folder):
 )
 def recommend_by_features(spark, folder):
     """Catalogue to features to scaled vectors to neighbours of every track."""
-    featured = feature_vectors(build_features(catalogue(spark, folder), as_of_year=2024))
+    featured = materialize(feature_vectors(build_features(catalogue(spark, folder), as_of_year=2024)))
     found = recommend.recommend_batch(featured, featured, embedding_type="feature", min_similarity=-1.0)
     return found.select("query_id", "rank", "similarity_score")
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from trackweave.operators import blocks
 from trackweave.operators.ranking import keep_first
-from trackweave.session import ship_package
+from trackweave.session import materialize, ship_package
 
 THRESHOLD = 0.8
 NAME_WEIGHT = 0.7
@@ -76,8 +76,8 @@ def match_names(
         partial = pairs.filter(reachable).repartition(_tasks(queries.sparkSession)).mapInArrow(scan, schema)
     else:
         # One popular name with many artists is dealt to many blocks.
-        wanted = wanted.withColumn("_deal", F.struct("asked_name", "asked_artist"))
-        pairs = pairs.withColumn("_deal", F.struct("_name", "_artist"))
+        wanted = materialize(wanted).withColumn("_deal", F.struct("asked_name", "asked_artist"))
+        pairs = materialize(pairs).withColumn("_deal", F.struct("_name", "_artist"))
         cells = blocks.fragment_replicate(wanted, pairs, "_deal", "_deal", pairs.count(), broadcast_rows, block_rows)
         partial = cells.applyInArrow(lambda left, right: _best(left, [right], threshold, autojunk), schema)
     found = keep_first(partial, ["asked_name", "asked_artist"], [F.col("score").desc(), F.col("matched_id")])

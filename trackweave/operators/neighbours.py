@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from trackweave.functions.vectors import METRICS, as_vector
 from trackweave.operators import blocks
 from trackweave.operators.ranking import top_n_per_group
-from trackweave.session import ship_package
+from trackweave.session import materialize, ship_package
 
 # Scores closer than this are ties and ordered by id; well above the noise of double arithmetic.
 TIE_DIGITS = 12
@@ -80,6 +80,8 @@ def nearest(
             found = search.run(left, [right])
             return search.nothing(left, right) if found is None else found
 
+        # Counted, then dealt to cells: computed once.
+        queries = materialize(queries)
         # Counting the unfiltered table does not read its vectors.
         n_items = table.count()
         pairs = blocks.fragment_replicate(queries, items, query_id, item_id, n_items, broadcast_rows, block_rows)
