@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Audio columns and their types.
 AUDIO_FIELDS = {
     "danceability": "double",
     "energy": "double",
@@ -39,7 +40,7 @@ FLAT_TRACK = (
     "spotify_url string, isrc string, track_number long, disc_number long"
 )
 
-# Column names the downstream tables use for the display fields of the landed record.
+# Column names that the downstream tables have.
 RENAMED = {"name": "track_name", "artist": "artist_name", "album": "album_name"}
 REQUIRED_FIELDS = ("track_id", "track_name", "artist_name")
 TEXT_FIELDS = ("track_name", "artist_name", "album_name")
