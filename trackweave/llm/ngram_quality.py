@@ -34,6 +34,8 @@ MIN_HELD_OUT = 50
 TRAVELLING_GRAMS = 4_000_000
 TRAVELLING_IDS = 1_000_000
 BLOCK_BYTES = 16 << 20
+# Grams that a task holds before it counts them, and distinct ones before it passes them on.
+PENDING_GRAMS, KNOWN_GRAMS = 2_000_000, 1_000_000
 
 
 def codes(text: str | None) -> np.ndarray:
@@ -51,20 +53,47 @@ def grams(text: str | None) -> np.ndarray:
     return packed
 
 
-def _mapped(rows: DataFrame, count: bool) -> DataFrame:
-    """``gram, n``: grams of the texts, summed per batch."""
+class _Gathered:
+    """Distinct grams with their counts, in bounded memory: ``add`` gives back what must be passed on."""
+
+    def __init__(self) -> None:
+        self.pending: list[np.ndarray] = []
+        self.waiting = 0
+        self.known = pd.Series(dtype=np.int64)
+
+    def add(self, some: np.ndarray) -> pa.RecordBatch | None:
+        self.pending.append(some)
+        self.waiting += len(some)
+        if self.waiting < PENDING_GRAMS:
+            return None
+        self.merge()
+        return self.rows() if len(self.known) >= KNOWN_GRAMS else None
+
+    def merge(self) -> None:
+        if self.pending:
+            counts = pd.Series(np.concatenate(self.pending)).value_counts(sort=False)
+            both = pd.concat([self.known, counts]) if len(self.known) else counts
+            self.known = both.groupby(level=0, sort=False).sum()
+            self.pending, self.waiting = [], 0
+
+    def rows(self) -> pa.RecordBatch:
+        self.merge()
+        gram, n = self.known.index.to_numpy(dtype=np.int64), self.known.to_numpy(dtype=np.int64)
+        self.known = pd.Series(dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
+
+
+def _mapped(rows: DataFrame) -> DataFrame:
+    """``gram, n``: grams of the texts, counted within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = _Gathered()
         for batch in batches:
-            every = [grams(text.as_py()) for text in batch.column("_text")]
-            every = np.concatenate(every) if every else np.zeros(0, np.int64)
-            if count:
-                found = pd.Series(every).value_counts(sort=False)
-                gram, n = found.index.to_numpy(dtype=np.int64), found.to_numpy(dtype=np.int64)
-            else:
-                gram = pd.unique(every)
-                n = np.ones(len(gram), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
+            for text in batch.column("_text"):
+                full = gathered.add(grams(text.as_py()))
+                if full is not None:
+                    yield full
+        yield gathered.rows()
 
     return rows.select("_text").mapInArrow(run, "gram long, n long")
 
@@ -87,7 +116,7 @@ class KneserNey:
     @staticmethod
     def train(texts: DataFrame) -> KneserNey:
         """From ``_text``. Without texts every character is equally likely."""
-        counts = stored(_mapped(texts, True).groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
+        counts = stored(_mapped(texts).groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
         shares, weights = {}, {}
         for order in range(ORDER, 0, -1):
             discounts = _discounts(counts)
@@ -140,9 +169,8 @@ def _discounts(counts: DataFrame) -> list[float]:
     return found
 
 
-def _sums(texts, gram: np.ndarray, score: np.ndarray) -> tuple[list[int], list[float]]:
-    """Per text its characters and the sum of their scores; ``gram`` holds all their grams."""
-    index = pd.Index(gram)
+def _sums(texts, index: pd.Index, score: np.ndarray) -> tuple[list[int], list[float]]:
+    """Per text its characters and the sum of their scores; ``index`` holds all their grams."""
     counts, sums = [], []
     for text in texts:
         own = grams(text.as_py())
@@ -165,14 +193,17 @@ def perplexities(content: DataFrame, asked: DataFrame, scores: DataFrame, travel
         shared = spark.sparkContext.broadcast((table.column("gram").to_numpy(), table.column("score").to_numpy()))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gram, score = shared.value
+            index = pd.Index(gram)
             for batch in batches:
-                yield pa.RecordBatch.from_arrays(out(batch, *_sums(batch.column("_text"), *shared.value)), schema.names)
+                yield pa.RecordBatch.from_arrays(out(batch, *_sums(batch.column("_text"), index, score)), schema.names)
 
         summed = content.select("_id", "_lang", "_text").mapInArrow(scan, schema)
     else:
 
         def look_up(texts, answers):
-            found = _sums(texts.column("_text"), answers.column("gram").to_numpy(), answers.column("score").to_numpy())
+            index = pd.Index(answers.column("gram").to_numpy())
+            found = _sums(texts.column("_text"), index, answers.column("score").to_numpy())
             return pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out(texts, *found)], names=schema.names)
 
         pairs = stored(_block_grams(content), "block-grams")
@@ -233,7 +264,7 @@ def judged(
     held_out = F.pmod(F.xxhash64("_id"), F.lit(HELD_OUT)) == 0
     trusted = _trusted(content, labels, id_column)
     model = KneserNey.train(trusted.filter(~held_out))
-    asked = stored(_mapped(content, False).select("gram").distinct(), "asked-grams")
+    asked = stored(_mapped(content).select("gram").distinct(), "asked-grams")
     scored = stored(perplexities(content, asked, model.scored(asked), travelling), "perplexities")
     calibration = _trusted(scored.filter(held_out), labels, id_column).filter(F.col("perplexity").isNotNull())
     value = F.percentile_approx("perplexity", quantile, 10_000)
