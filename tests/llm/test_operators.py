@@ -423,6 +423,25 @@ def test_perplexity_equals_brute_force(spark, travelling):
     assert not any(got[i].kept for i in [*range(1000, 1020), 2000, 2001]) and got[2002].kept
 
 
+def test_every_language_has_its_own_threshold(spark):
+    rng = random.Random(21)
+    rare = lambda: "".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω ") for _ in range(200))
+    rows = [(i, prose(rng, 30), "en") for i in range(300)] + [(i, rare(), "el") for i in range(300, 330)]
+    rows += [(400, prose(rng, 30), "xx"), (401, rare(), "xx"), (402, "", "xx"), (403, "", "yy"), (404, rare(), "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = [*range(290), *range(300, 309), 403]
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in ngram_quality.judged(docs, labels).collect()}
+    fold = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(ngram_quality.HELD_OUT))).collect()}
+    texts = {i: t for i, t, _ in rows}
+    without = {k: [texts[i] for i in trusted if fold[i] != k] for k in set(fold.values())}
+    highest = max(brute.perplexity(without[fold[i]], texts[i], ngram_quality.codes) for i in range(300, 309))
+    assert all(got[i].threshold == pytest.approx(ngram_quality.MARGIN * highest, rel=1e-4) for i in range(300, 330))
+    # Clean texts of the rare language stay; those of a language that nobody vouched for are judged by no other one.
+    assert all(got[i].kept for i in range(300, 330)) and got[0].threshold < got[300].threshold / 2
+    assert [(got[i].threshold, got[i].kept) for i in range(400, 405)] == [(None, True), (None, True), (None, False), (None, False), (None, True)]
+
+
 def test_language_model_on_awkward_rows(spark, awkward, nothing):
     labels = spark.createDataFrame([(5, 1, 0), (14, 1, None), (22, 1, 0)], "doc_id long, quality int, toxic int")
     assert ngram_quality.judged(awkward, labels).count() == len(ROWS)

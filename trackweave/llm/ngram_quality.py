@@ -4,6 +4,9 @@ Grams are packed into one number, ``CODE_BITS`` bits a character, so that a gram
 shifts and masks, and all counts are aggregations and joins on numbers, dealt by the gram. Lower orders count the
 different characters in front of a gram. Only grams that occur in the corpus are scored, each once: order by order, a
 join adds the discounted count, one the weight of the context, and one the probability of the next lower order.
+
+Models that each leave out one fold of the trusted text are trained together: the bits above a gram name the model, at
+every order, so that counts, contexts and scores of different models never meet.
 """
 
 from __future__ import annotations
@@ -24,12 +27,13 @@ from trackweave.session import ship_package
 ORDER = 5
 CODE_BITS = 12
 CODES = 1 << CODE_BITS
-# One trusted document in so many is kept from training and gives the thresholds.
+# Folds of the trusted documents, as many as models. Model 0, which judges, is trained without fold 0; each other one
+# scores the fold that it is trained without, so that every trusted document counts for its language's threshold.
 HELD_OUT = 5
+MODEL_SHIFT = CODE_BITS * ORDER
+MODEL_BITS = 7 << MODEL_SHIFT
 QUANTILE = 0.995
 MARGIN = 1.1
-# Languages with fewer held-out documents use the threshold of all.
-MIN_HELD_OUT = 50
 # Scored grams up to this number (12 bytes each) travel to the tasks; more are sent to the blocks that ask for them.
 TRAVELLING_GRAMS = 4_000_000
 TRAVELLING_IDS = 1_000_000
@@ -83,27 +87,43 @@ class _Gathered:
         return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
 
 
+def _grams_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Per row its text's grams, marked with the row's model if it has one."""
+    models = batch.column("_model").to_pylist() if "_model" in batch.schema.names else [0] * batch.num_rows
+    for text, model in zip(batch.column("_text"), models, strict=True):
+        yield grams(text.as_py()) | (model << MODEL_SHIFT)
+
+
 def _mapped(rows: DataFrame) -> DataFrame:
-    """``gram, n``: grams of the texts, counted within the task."""
+    """``gram, n``: marked grams of the texts, counted within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered = _Gathered()
         for batch in batches:
-            for text in batch.column("_text"):
-                full = gathered.add(grams(text.as_py()))
+            for own in _grams_of(batch):
+                full = gathered.add(own)
                 if full is not None:
                     yield full
         yield gathered.rows()
 
-    return rows.select("_text").mapInArrow(run, "gram long, n long")
+    return rows.select(*_text_columns(rows)).mapInArrow(run, "gram long, n long")
+
+
+def _text_columns(rows: DataFrame) -> list[str]:
+    return [name for name in ("_model", "_text") if name in rows.columns]
+
+
+def model_of(gram: str) -> Column:
+    return F.shiftright(gram, MODEL_SHIFT)
 
 
 def suffix(gram: str, order: int) -> Column:
-    return F.col(gram).bitwiseAND(F.lit((1 << (CODE_BITS * order)) - 1))
+    return F.col(gram).bitwiseAND(F.lit(MODEL_BITS | ((1 << (CODE_BITS * order)) - 1)))
 
 
 def context(gram: str) -> Column:
-    return F.shiftright(gram, CODE_BITS)
+    own = F.shiftright(F.col(gram).bitwiseAND(F.lit((1 << MODEL_SHIFT) - 1)), CODE_BITS)
+    return own.bitwiseOR(F.col(gram).bitwiseAND(F.lit(MODEL_BITS)))
 
 
 @dataclass(frozen=True)
@@ -114,13 +134,27 @@ class KneserNey:
     weights: dict[int, DataFrame]
 
     @staticmethod
-    def train(texts: DataFrame) -> KneserNey:
-        """From ``_text``. Without texts every character is equally likely."""
-        counts = stored(_mapped(texts).groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
+    def train(by_fold: DataFrame) -> KneserNey:
+        """From ``gram, n`` with the fold in the place of the model: model k is trained on all folds but k.
+
+        A model without texts finds every character equally likely.
+        """
+        fold = model_of("gram")
+        own = [F.sum(F.when(fold == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(HELD_OUT)]
+        bare = F.col("gram").bitwiseAND(F.lit((1 << MODEL_SHIFT) - 1))
+        summed = by_fold.groupBy(bare.alias("_gram")).agg(*own, F.sum("n").alias("total"))
+        marked = [
+            F.struct(F.col("_gram").bitwiseOR(F.lit(k << MODEL_SHIFT)).alias("gram"), (F.col("total") - F.col(f"n{k}")).alias("n"))
+            for k in range(HELD_OUT)
+        ]
+        counts = stored(summed.select(F.inline(F.array(*marked))).filter("n > 0"), "gram-counts")
         shares, weights = {}, {}
         for order in range(ORDER, 0, -1):
             discounts = _discounts(counts)
-            limits = F.when(F.col("n") == 1, discounts[0]).when(F.col("n") == 2, discounts[1]).otherwise(discounts[2])
+            limits = F.lit(None).cast("double")
+            for model, (one, two, more) in discounts.items():
+                limit = F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)
+                limits = F.when(model_of("gram") == model, limit).otherwise(limits)
             of_context = counts.groupBy(context("gram").alias("context")).agg(
                 F.sum("n").alias("total"),
                 F.sum(limits).alias("taken"),
@@ -156,31 +190,32 @@ class KneserNey:
         return lower.select("gram", F.ln("p").cast("float").alias("score"))
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """Discounts of counts of 1, 2 and more, from how many grams were counted once to four times."""
-    n = counts.agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
-    found = []
-    for i in (1, 2, 3):
-        if n[i - 1] and n[0]:
-            y = n[0] / (n[0] + 2 * n[1])
-            found.append(min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05))
-        else:
-            found.append(0.5 * i)
+def _discounts(counts: DataFrame) -> dict[int, list[float]]:
+    """Per model the discounts of counts of 1, 2 and more, from how many grams were counted once to four times."""
+    counted = [F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    found: dict[int, list[float]] = {}
+    for model, *n in counts.groupBy(model_of("gram").alias("model")).agg(*counted).collect():  # a row a model
+        found[model] = []
+        for i in (1, 2, 3):
+            if n[i - 1] and n[0]:
+                y = n[0] / (n[0] + 2 * n[1])
+                found[model].append(min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05))
+            else:
+                found[model].append(0.5 * i)
     return found
 
 
-def _sums(texts, index: pd.Index, score: np.ndarray) -> tuple[list[int], list[float]]:
-    """Per text its characters and the sum of their scores; ``index`` holds all their grams."""
+def _sums(rows, index: pd.Index, score: np.ndarray) -> tuple[list[int], list[float]]:
+    """Per row its text's characters and the sum of their scores; ``index`` holds all their grams."""
     counts, sums = [], []
-    for text in texts:
-        own = grams(text.as_py())
+    for own in _grams_of(rows):
         counts.append(len(own))
         sums.append(float(score[index.get_indexer(own)].sum(dtype=np.float64)) if len(own) else 0.0)
     return counts, sums
 
 
-def perplexities(content: DataFrame, asked: DataFrame, scores: DataFrame, travelling: int = TRAVELLING_GRAMS) -> DataFrame:
-    """``_id, lang, n_chars, perplexity`` per row of ``content``."""
+def perplexities(content: DataFrame, scores: DataFrame, travelling: int = TRAVELLING_GRAMS) -> DataFrame:
+    """``_id, lang, n_symbols, perplexity`` per row of ``content``, by its ``_model`` or by model 0."""
     spark = content.sparkSession
     fields = [content.schema["_id"], content.schema["_lang"], T.StructField("n", T.LongType()), T.StructField("sum", T.DoubleType())]
     schema = T.StructType(fields)
@@ -196,20 +231,20 @@ def perplexities(content: DataFrame, asked: DataFrame, scores: DataFrame, travel
             gram, score = shared.value
             index = pd.Index(gram)
             for batch in batches:
-                yield pa.RecordBatch.from_arrays(out(batch, *_sums(batch.column("_text"), index, score)), schema.names)
+                yield pa.RecordBatch.from_arrays(out(batch, *_sums(batch, index, score)), schema.names)
 
-        summed = content.select("_id", "_lang", "_text").mapInArrow(scan, schema)
+        summed = content.select("_id", "_lang", *_text_columns(content)).mapInArrow(scan, schema)
     else:
 
         def look_up(texts, answers):
             index = pd.Index(answers.column("gram").to_numpy())
-            found = _sums(texts.column("_text"), index, answers.column("score").to_numpy())
+            found = _sums(texts, index, answers.column("score").to_numpy())
             return pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out(texts, *found)], names=schema.names)
 
         pairs = stored(_block_grams(content), "block-grams")
         frequent = pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("blocks")).join(scores, "gram")
         answers = join_hot(pairs, frequent, ["gram"], "blocks", pairs.count(), "inner").drop("blocks")
-        summed = content.select("block", "_id", "_lang", "_text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(look_up, schema)
+        summed = content.select("block", "_id", "_lang", *_text_columns(content)).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(look_up, schema)
     perplexity = F.when(F.col("n") > 0, F.exp(-F.col("sum") / F.col("n")))
     return summed.select("_id", F.col("_lang").alias("lang"), F.col("n").alias("n_symbols"), perplexity.alias("perplexity"))
 
@@ -221,11 +256,10 @@ def _block_grams(content: DataFrame) -> DataFrame:
         for batch in batches:
             blocks = batch.column("block").to_numpy()
             for block in np.unique(blocks):
-                texts = batch.column("_text").filter(pa.array(blocks == block))
-                gram = pd.unique(np.concatenate([grams(text.as_py()) for text in texts]))
+                gram = pd.unique(np.concatenate(list(_grams_of(batch.filter(pa.array(blocks == block))))))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), block)), pa.array(gram)], ["block", "gram"])
 
-    return content.select("block", "_text").mapInArrow(run, "block long, gram long").distinct()
+    return content.select("block", *_text_columns(content)).mapInArrow(run, "block long, gram long").distinct()
 
 
 def _trusted(content: DataFrame, labels: DataFrame, id_column: str) -> DataFrame:
@@ -248,11 +282,12 @@ def judged(
 ) -> DataFrame:
     """``doc_id, lang, n_symbols, perplexity, threshold, kept``: one row per row of ``docs``.
 
-    The model is trained on all documents that ``labels`` (id, quality, toxic) call good and not toxic but one in ``HELD_OUT``,
-    chosen by the hash of the id; those give, per language, the quantile of the perplexity which times ``margin`` is the
-    threshold. Null languages are one language. A null or empty text has no symbols and no perplexity and is not
-    kept. Without trusted documents there are no thresholds and every text with symbols is kept. Repeated rows are
-    judged alike; an empty table gives no rows; of the other columns none is read.
+    Trusted documents are those that ``labels`` (id, quality, toxic) call good and not toxic, dealt to ``HELD_OUT`` folds by the
+    hash of the id. The model is trained on all of them but fold 0. The threshold of a language is ``margin`` times the
+    quantile of the perplexities of all its own trusted documents, each scored by a model trained without its fold, however
+    few they are. A language without a trusted document that has symbols has no threshold, and all its texts with symbols
+    are kept; it is not judged by other languages. Null languages are one language. A null or empty text has no symbols and no
+    perplexity and is not kept. Repeated rows are judged alike; an empty table gives no rows; of the other columns none is read.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -261,19 +296,19 @@ def judged(
     rows, size = content.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
     block = F.xxhash64("_file", F.floor(F.col("_row") / max(1, int(BLOCK_BYTES * rows / max(1, size)))))
     content = content.withColumn("block", block)
-    held_out = F.pmod(F.xxhash64("_id"), F.lit(HELD_OUT)) == 0
-    trusted = _trusted(content, labels, id_column)
-    model = KneserNey.train(trusted.filter(~held_out))
-    asked = stored(_mapped(content).select("gram").distinct(), "asked-grams")
-    scored = stored(perplexities(content, asked, model.scored(asked), travelling), "perplexities")
-    calibration = _trusted(scored.filter(held_out), labels, id_column).filter(F.col("perplexity").isNotNull())
+    trusted = _trusted(content, labels, id_column).withColumn("_model", F.pmod(F.xxhash64("_id"), F.lit(HELD_OUT)).cast("int"))
+    trusted = stored(trusted.filter(F.length("_text") > 0), "trusted")
+    by_fold = stored(_mapped(trusted).groupBy("gram").agg(F.sum("n").alias("n")), "fold-counts")
+    asked = stored(_mapped(content).select("gram").union(by_fold.select("gram")).distinct(), "asked-grams")
+    scores = KneserNey.train(by_fold).scored(asked)
+    scored = perplexities(content, scores.filter(model_of("gram") == 0), travelling)
+    of_trusted = perplexities(trusted, scores.join(by_fold, "gram", "left_semi"), travelling)
     value = F.percentile_approx("perplexity", quantile, 10_000)
-    by_language = calibration.groupBy("lang").agg(value.alias("own"), F.count(F.lit(1)).alias("n"))
-    by_language = by_language.filter(F.col("n") >= MIN_HELD_OUT).select(F.col("lang").alias("_lang"), "own")
-    every = calibration.agg(value).first()[0]
+    by_language = of_trusted.filter(F.col("perplexity").isNotNull()).groupBy(F.col("lang").alias("_lang")).agg(value.alias("own"))
+    by_language = stored(by_language, "thresholds")
     # A row per language; Spark chooses the join.
     joined = scored.join(by_language, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    threshold = F.coalesce(F.col("own"), F.lit(every).cast("double")) * margin
+    threshold = F.col("own") * margin
     judged_rows = joined.select(F.col("_id").alias(id_column), "lang", "n_symbols", "perplexity", threshold.alias("threshold"))
     fine = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.col("threshold").isNull() & (F.col("n_symbols") > 0))
     return judged_rows.withColumn("kept", fine)
