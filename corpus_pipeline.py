@@ -25,10 +25,8 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints the one with the smallest doc_id stays."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.filter("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of rows linked by their fingerprints the one with the smallest doc_id stays; null and repeated ids as in ``keep_first``."""
+    return simhash.keep_first(docs)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -283,6 +283,16 @@ def test_links_equal_brute_force(spark, leaf_rows, cell_rows):
     assert groups([of[p] for p in signed]) == groups([find(i) for i in range(len(prints))])
 
 
+def test_one_row_of_a_component_stays_whatever_its_id(spark):
+    rng = random.Random(31)
+    a, b, c, other = (prose(rng, 60) for _ in range(4))
+    again = lambda text: text.replace(" ", "  ")
+    # A null-id copy of another document, two null-id copies, an unrelated text under the id of a copy, copies with one id.
+    rows = [(1, a), (None, again(a)), (None, b), (None, again(b)), (5, again(a)), (5, other), (7, c), (7, again(c))]
+    kept = [(r.doc_id, " ".join(r.text.split())) for r in simhash.keep_first(frame(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (None, b), (5, other), (7, c)], key=repr)
+
+
 def _grouped(labels):
     groups = collections.defaultdict(list)
     for i, label in enumerate(labels):

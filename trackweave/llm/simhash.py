@@ -18,11 +18,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.llm.common import join_hot, stored
+from trackweave.llm.common import join_hot, located, scanned, stored
 from trackweave.llm.components import components
 from trackweave.session import ship_package
 
@@ -59,17 +59,19 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * total > len(rows)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``_id, _print`` (the 64 bits as a signed number) per row of ``docs``."""
-    schema = T.StructType([T.StructField("_id", docs.schema[id_column].dataType), T.StructField("_print", T.LongType())])
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``_id``, the columns ``carry``, ``_print`` (the 64 bits as a signed number) per row of ``docs``."""
+    carried = [docs.schema[name] for name in carry]
+    schema = T.StructType([T.StructField("_id", docs.schema[id_column].dataType), *carried, T.StructField("_print", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column("_text")), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(prints.view(np.int64))], ["_id", "_print"])
+            columns = [batch.column(name) for name in ("_id", *carry)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(prints.view(np.int64))], schema.names)
 
     ship_package(docs.sparkSession)
-    return docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *carry).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -242,17 +244,38 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     a row; an empty table gives no rows.
     """
     rows = stored(fingerprints(docs, id_column, text_column), "fingerprints")
-    nodes = rows.groupBy("_print").agg(F.min("_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    nodes = stored(nodes, "distinct-fingerprints")
-    roots = components(links(nodes, nodes.count(), distance))
-    labelled = nodes.join(roots, nodes["_print"] == roots["a"], "left")
-    labelled = stored(labelled.select("_print", "least_id", "copies", F.coalesce("root", "_print").alias("root")), "labels")
-    named = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    members = join_hot(labelled, named, ["root"], "members", labelled.count(), "inner")
-    members = members.select("_print", "component_id", "copies")
-    joined = join_hot(rows, members, ["_print"], "copies", rows.count(), "inner")
+    joined = _grouped(rows, F.col("_id"), distance)
     return joined.select(
         F.col("_id").alias(id_column),
         F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"),
-        "component_id",
+        F.col("_least").alias("component_id"),
     )
+
+
+def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The first row of each component, all columns as they were.
+
+    Rows are told apart by where they lie, not by their ids: first is the smallest id, a null id being larger than all
+    others, and of rows that repeat it the one lying first in the table. So one row of every component stays,
+    whatever ids its rows have and wherever else these ids occur.
+    """
+    docs = scanned(docs)
+    lying = located(docs, {"_id": F.col(id_column), "_text": F.col(text_column)})
+    rows = stored(fingerprints(lying, "_id", "_text", ("_file", "_row")), "fingerprints")
+    grouped = _grouped(rows, F.struct(F.col("_id").isNull().alias("none"), "_id", "_file", "_row"), distance)
+    stays = (F.col("_file") == F.col("_least._file")) & (F.col("_row") == F.col("_least._row"))
+    marked = located(docs, {"_doc": F.struct(*docs.columns)})
+    return marked.join(grouped.filter(~stays).select("_file", "_row"), ["_file", "_row"], "left_anti").select("_doc.*")
+
+
+def _grouped(rows: DataFrame, order: Column, distance: int) -> DataFrame:
+    """``rows`` (with ``_print``) and ``_least``: the least ``order`` of each one's component."""
+    nodes = rows.groupBy("_print").agg(F.min(order).alias("_least"), F.count(F.lit(1)).alias("copies"))
+    nodes = stored(nodes, "distinct-fingerprints")
+    roots = components(links(nodes, nodes.count(), distance))
+    labelled = nodes.join(roots, nodes["_print"] == roots["a"], "left")
+    labelled = stored(labelled.select("_print", "_least", "copies", F.coalesce("root", "_print").alias("root")), "labels")
+    named = labelled.groupBy("root").agg(F.min("_least").alias("_of_root"), F.count(F.lit(1)).alias("members"))
+    members = join_hot(labelled, named, ["root"], "members", labelled.count(), "inner")
+    members = members.select("_print", F.col("_of_root").alias("_least"), "copies")
+    return join_hot(rows, members, ["_print"], "copies", rows.count(), "inner")
