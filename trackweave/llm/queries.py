@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from trackweave.bindings.registry import Registered
 from trackweave.llm import (
+    bit_codes,
     exact_dedup,
     line_dedup,
+    merkle,
     ngram_quality,
     packing,
     quality_rules,
@@ -17,8 +19,10 @@ from trackweave.llm import (
     simhash,
     substring_dedup,
     token_counts,
+    whitening,
     word_codec,
 )
+from trackweave.llm.common import ascii_lower
 
 QUERIES: dict[str, Registered] = {}
 
@@ -124,3 +128,91 @@ def op3_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     return ngram_quality.judged(documents(spark, folder), labels)
+
+
+def embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/embeddings.parquet")
+
+
+@query("op11_bit_code_neighbours")
+def op11_bit_code_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return bit_codes.nearest_by_codes(embeddings(spark, folder))
+
+
+@query("op12_spectrum_whitening")
+def op12_spectrum_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, folder))
+
+
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def _leaf_sql(text: str) -> str:
+    values = [text if name == "text" else f"CAST({name} AS VARCHAR)" for name in MANIFEST_FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({value}) || ':' || {value}, '-')" for value in values) + ")"
+
+
+def _tree_sql(tree: str, leaves: str) -> str:
+    """Nodes of one tree per ``key`` over the table ``leaves``, and per node what stands beside it."""
+    return f"""
+    {tree} AS (
+        SELECT key, 0 AS level, place, leaf AS digest, size FROM {leaves}
+        UNION ALL
+        SELECT key, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), any_value((size + 7) // 8)
+        FROM {tree} WHERE size > 1 GROUP BY key, level, place // 8
+    ), {tree}_beside AS (
+        SELECT n.key, n.level, n.place,
+            coalesce(string_agg(m.digest, '' ORDER BY m.place) FILTER (m.place < n.place), '') AS before,
+            coalesce(string_agg(m.digest, '' ORDER BY m.place) FILTER (m.place > n.place), '') AS after
+        FROM {tree} n JOIN {tree} m ON m.key = n.key AND m.level = n.level AND m.place // 8 = n.place // 8
+        WHERE n.size > 1 GROUP BY n.key, n.level, n.place
+    ), {tree}_walk AS (
+        SELECT id, key, 0 AS level, place, leaf, node, '' AS proof FROM {leaves}_from
+        UNION ALL
+        SELECT id, key, w.level + 1, w.place // 8, leaf, sha256(before || node || after), proof || before || after
+        FROM {tree}_walk w JOIN {tree}_beside USING (key, level, place)
+    ), {tree}_end AS (
+        SELECT id, arg_max(node, level) AS node, arg_max(proof, level) AS proof FROM {tree}_walk GROUP BY id
+    ), {tree}_top AS (SELECT key, arg_max(digest, level) AS digest FROM {tree} GROUP BY key)"""
+
+
+@query(
+    "op13_octopus_manifest",
+    f"""
+    WITH RECURSIVE digested AS (
+        SELECT doc_id, row_number() OVER () AS id, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS key,
+            {_leaf_sql("text")} AS leaf,
+            -- CRC-32 of the decimal id, bit by bit.
+            xor(4294967295, list_reduce(
+                [4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+                lambda crc, c: list_reduce([xor(crc, c)] || range(8), lambda r, i: xor(r >> 1, (r & 1) * 3988292384)))) AS crc,
+            {_leaf_sql(f"translate(text, '{UPPER}', '{LOWER}')")} AS altered
+        FROM documents
+    ), leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, leaf) - 1 AS place, count(*) OVER (PARTITION BY key) AS size
+        FROM digested
+    ), leaves_from AS (SELECT *, CASE WHEN crc % 3 = 0 THEN altered ELSE leaf END AS node FROM leaves),
+    {_tree_sql("tree", "leaves")},
+    subroots AS (
+        SELECT '' AS key, key AS of_key, digest AS leaf, row_number() OVER (ORDER BY key) - 1 AS place, count(*) OVER () AS size
+        FROM tree_top
+    ), subroots_from AS (
+        SELECT e.id, s.key, s.place, s.leaf, e.node
+        FROM tree_end e JOIN leaves l USING (id) JOIN subroots s ON s.of_key = l.key
+    ),
+    {_tree_sql("crown", "subroots")}
+    SELECT doc_id, l.leaf, s.leaf AS subroot, c.digest AS root, sha256(t.proof || e.proof) AS proof_sha256,
+        e.node AS folded_root, e.node = c.digest AS verified
+    FROM leaves l JOIN tree_end t USING (id) JOIN crown_end e USING (id) JOIN subroots s ON s.of_key = l.key CROSS JOIN crown_top c
+    """,
+)
+def op13_octopus_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    altered = F.when(chosen, merkle.leaf_digest([*map(F.col, MANIFEST_FIELDS[:-1]), ascii_lower(F.col("text"))]))
+    proved = merkle.manifest(docs, MANIFEST_FIELDS, also={"altered": altered})
+    folded = merkle.fold(F.coalesce("altered", "leaf"), F.col("proof"))
+    listed = proved.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root")
+    )
+    return listed.withColumn("verified", F.col("folded_root") == F.col("root"))
