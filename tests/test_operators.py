@@ -7,7 +7,20 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackweave.operators import blocks, cleaning, enrichment, fuzzy, lookup, neighbours, order_stats, quality, ranking, scaling, text_vectors
+from trackweave.operators import (
+    blocks,
+    cleaning,
+    enrichment,
+    fuzzy,
+    lookup,
+    metric_blocks,
+    neighbours,
+    order_stats,
+    quality,
+    ranking,
+    scaling,
+    text_vectors,
+)
 
 
 def plan(df):
@@ -224,10 +237,11 @@ def brute_force(queries, items, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
-@pytest.mark.parametrize("path", ["broadcast", "cells"])
+@pytest.mark.parametrize("path", ["broadcast", "cells", "balls"])
 @pytest.mark.parametrize("ids", ["long", "string"])
 def test_neighbours_equal_brute_force(spark, metric, path, ids, monkeypatch):
     monkeypatch.setattr(neighbours, "MATRIX_ENTRIES", 900)
+    monkeypatch.setattr(metric_blocks, "WORTH_PAIRS", 0 if path == "balls" else 1 << 60)
     rng = np.random.default_rng(7)
     base = rng.integers(-3, 4, size=(90, 4)).astype(float)
     base[30:60] = base[5]  # copies are a third of all rows
@@ -236,13 +250,52 @@ def test_neighbours_equal_brute_force(spark, metric, path, ids, monkeypatch):
     items = [(name(i), [float(x) for x in row]) for i, row in enumerate(base)] + [(name(900), None)]
     df = spark.createDataFrame(items, f"track_id {ids}, vector array<double>").repartition(5)
     asked = df.filter(F.col("vector").isNotNull()).withColumnRenamed("track_id", "query_id")
-    limits = dict(broadcast_rows=20, block_rows=25) if path == "cells" else {}
+    limits = dict(broadcast_rows=20, block_rows=25) if path != "broadcast" else {}
     got = neighbours.nearest(asked, df, 7, metric, exclude=[("query_id", "track_id")], **limits).collect()
     expected = brute_force(items[:-1], items, 7, metric)
     assert [(r.query_id, r["rank"], r.track_id) for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))] == [e[:3] for e in expected]
     assert {(r.query_id, r.track_id): r.score for r in got} == pytest.approx({(e[0], e[2]): e[3] for e in expected}, abs=1e-8)
 
 
+def clusters(spark, n, dim=6, groups=30):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((groups, dim)) * 5
+    points = centres[rng.integers(0, groups, n)] + rng.standard_normal((n, dim)) * 0.2
+    points[: n // 3] = points[0]  # one vector holds a third of the rows
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(points)]
+    return spark.createDataFrame(rows, "track_id long, vector array<double>").repartition(6)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
+def test_balls_skip_cells_and_lose_nothing(spark, metric, monkeypatch):
+    df = clusters(spark, 3000)
+    asked = df.withColumnRenamed("track_id", "query_id")
+    told = []
+    whole = metric_blocks.nearest_in_balls
+    monkeypatch.setattr(metric_blocks, "nearest_in_balls", lambda *a: (told.append(whole(*a)), told[-1])[1])
+    found = {}
+    for worth in (0, 1 << 60):
+        monkeypatch.setattr(metric_blocks, "WORTH_PAIRS", worth)
+        rows = neighbours.nearest(asked, df, 5, metric, exclude=[("query_id", "track_id")], broadcast_rows=100, block_rows=100)
+        found[worth] = sorted(tuple(r) for r in rows.collect())
+    assert found[0] == found[1 << 60] and len(found[0]) == 15_000
+    taken = told[0][1]
+    # A third of the queries lies in a ball of a thousand equal rows, whose blocks they all need.
+    assert taken["copies"] < (0.6 if metric != "dot" else 1.0) * taken["all"]
+
+
+def test_balls_step_back_where_nothing_can_be_skipped(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((600, 60)))]
+    df = spark.createDataFrame(rows, "track_id long, vector array<double>").repartition(4)
+    asked = df.withColumnRenamed("track_id", "query_id")
+    monkeypatch.setattr(metric_blocks, "WORTH_PAIRS", 0)
+    monkeypatch.setattr(metric_blocks, "CENTRE_ROWS", 10)
+    got = neighbours.nearest(asked, df, 3, broadcast_rows=50, block_rows=200).collect()
+    monkeypatch.setattr(metric_blocks, "WORTH_PAIRS", 1 << 60)
+    assert sorted(got) == sorted(neighbours.nearest(asked, df, 3, broadcast_rows=50, block_rows=200).collect())
+
+
 def test_neighbour_arguments(spark):
     df = spark.createDataFrame([(1, [1.0])], "track_id int, vector array<double>")
     asked = df.withColumnRenamed("track_id", "query_id")

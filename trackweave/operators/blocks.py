@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from trackweave.session import materialize
+
 # 4096 queries of 832 doubles are 27 MB.
 BROADCAST_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
@@ -26,17 +28,34 @@ def small_table(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int =
     """The rows, if they fit both bounds; None otherwise. The frame is computed once and measured before any row moves."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        arrays = [F.size(c) * 8 for c, kind in df.dtypes if kind.startswith("array")]
-        texts = [F.octet_length(c) for c, kind in df.dtypes if kind == "string"]
-        row_bytes = F.lit(8 * len(df.columns))
-        for part in arrays + texts:
-            row_bytes = row_bytes + F.coalesce(part, F.lit(0))
-        rows, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
-        return kept.toArrow() if rows <= max_rows and size <= max_bytes else None
+        return kept.toArrow() if _fits(kept, max_rows, max_bytes) else None
     finally:
         kept.unpersist()
 
 
+def small_or_stored(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> tuple[pa.Table | None, DataFrame | None]:
+    """The rows, if they fit both bounds; otherwise the frame as a checkpoint. Either way it is computed once."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if _fits(kept, max_rows, max_bytes):
+            return kept.toArrow(), None
+        return None, materialize(kept)
+    finally:
+        kept.unpersist()
+
+
+def _fits(kept: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    arrays = [F.size(c) * 8 for c, kind in kept.dtypes if kind.startswith("array")]
+    texts = [F.octet_length(c) for c, kind in kept.dtypes if kind == "string"]
+    row_bytes = F.lit(8 * len(kept.columns))
+    for part in arrays + texts:
+        row_bytes = row_bytes + F.coalesce(part, F.lit(0))
+    rows, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
+
+
 def even_block(key: Column, blocks: int) -> Column:
     """Block number that spreads rows evenly, a key that fills a third of the table included.
 

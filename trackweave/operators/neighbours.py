@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackweave.functions.vectors import METRICS, as_vector
-from trackweave.operators import blocks
+from trackweave.operators import blocks, metric_blocks
 from trackweave.operators.ranking import top_n_per_group
-from trackweave.session import materialize, ship_package
+from trackweave.session import ship_package
 
 # Scores closer than this are ties and ordered by id; well above the noise of double arithmetic.
 TIE_DIGITS = 12
@@ -41,7 +41,8 @@ def nearest(
 
     ``exclude`` lists (query column, item column) pairs; an item is no candidate for a query when a
     pair is equal. Rows without a vector take no part. Each task keeps k rows per query, whatever the
-    number of items it reads, so the shuffle moves k rows per query and task.
+    number of items it reads, so the shuffle moves k rows per query and task. Many queries against many items skip the
+    parts of the catalogue that cannot hold one of their k best; the rows are the same either way.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}, expected one of {METRICS}")
@@ -64,9 +65,9 @@ def nearest(
     search = _Search(k, metric, query_out, item_id, out, tuple(exclude))
 
     ship_package(queries.sparkSession)
-    small = blocks.small_table(queries, broadcast_rows)
+    small, queries = blocks.small_or_stored(queries, broadcast_rows)
     if small is not None:
-        shared = queries.sparkSession.sparkContext.broadcast(small)
+        shared = items.sparkSession.sparkContext.broadcast(small)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = search.run(shared.value, (pa.Table.from_batches([batch]) for batch in batches))
@@ -80,12 +81,17 @@ def nearest(
             found = search.run(left, [right])
             return search.nothing(left, right) if found is None else found
 
-        # Counted, then dealt to cells: computed once.
-        queries = materialize(queries)
         # Counting the unfiltered table does not read its vectors.
         n_items = table.count()
-        pairs = blocks.fragment_replicate(queries, items, query_id, item_id, n_items, broadcast_rows, block_rows)
-        partial = pairs.applyInArrow(cell, schema)
+        partial = None
+        if n_items * queries.count() >= metric_blocks.WORTH_PAIRS:
+            found = metric_blocks.nearest_in_balls(
+                queries, items, k, search, schema, query_id, item_id, n_items, broadcast_rows, block_rows
+            )
+            partial = found[0] if found else None
+        if partial is None:
+            pairs = blocks.fragment_replicate(queries, items, query_id, item_id, n_items, broadcast_rows, block_rows)
+            partial = pairs.applyInArrow(cell, schema)
     order = [F.col("score").desc(), F.col(item_id)]
     return top_n_per_group(partial, [query_id], order, k)
 
@@ -102,6 +108,9 @@ class _Search:
             return None
         q = self._matrix(queries)
         best, floor = None, np.full(len(q), -np.inf)
+        if "_floor" in queries.column_names:
+            # Known from elsewhere; it has its slack already.
+            floor = queries.column("_floor").to_numpy().copy()
         step = max(1, MATRIX_ENTRIES // len(q))
         for chunk in chunks:
             for start in range(0, chunk.num_rows, step):
@@ -190,5 +199,5 @@ class _Search:
         place, group = place[place < self.k], group[place < self.k]
         full = place == self.k - 1
         floor = floor.copy()
-        floor[group[full]] = best.column("_inner").to_numpy()[full]
+        floor[group[full]] = np.maximum(floor[group[full]], best.column("_inner").to_numpy()[full])
         return best, floor
