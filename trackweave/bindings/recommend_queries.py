@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trackweave.bindings.registry import query
@@ -14,9 +16,10 @@ from trackweave.operators.neighbours import nearest
 from trackweave.operators.ranking import page, page_number, with_total
 from trackweave.operators.scaling import feature_vectors
 from trackweave.operators.text_vectors import fit_hashed_text
+from trackweave.operators.vector_index import build_index
 from trackweave.plans import recommend
 from trackweave.plans.transform import build_features
-from trackweave.session import materialize
+from trackweave.session import materialize, shared_dir
 
 _CAT = f"cat AS ({select_sql(CATALOGUE)})"
 _SHOWN = ("track_id", "track_name", "artist_name", "album_name")
@@ -299,6 +302,17 @@ for _metric in _SCORES:
     )(_neighbours(_metric))
 
 
+@query("ann_neighbours")
+def ann_neighbours(spark, folder):
+    """Ten near neighbours by cosine from a stored index, for ids that 100 divides; the tests hold it against all rows."""
+    rows = vectors(spark, folder).withColumnRenamed("combined_embedding", "vector")
+    place = f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}"
+    index = build_index(rows, place, carry=["artist_name"])
+    asked = rows.filter(F.col("track_id") % 100 == 0).select(F.col("track_id").alias("query_id"), "vector")
+    found = index.nearest(asked, 10, carry=["artist_name"], exclude=[("query_id", "track_id")])
+    return found.select("query_id", "rank", "track_id", "artist_name", F.round("score", 4).alias("similarity_score"))
+
+
 @query(
     "result_pages",
     f"""

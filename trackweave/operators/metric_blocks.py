@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,7 @@ from trackweave.operators.ranking import top_n_per_group
 from trackweave.session import materialize
 
 CENTRES = 4096
-CENTRE_ROWS = 1024
+CENTRE_ROWS = 512
 # The sample that the centres are fitted on.
 SAMPLE_PER_CENTRE = 16
 SAMPLE_BYTES = 32 << 20
@@ -99,9 +99,12 @@ class Balls:
             return np.where(slack > 0, -np.square(1 / np.maximum(slack, 1e-300) - 1), -np.inf)
 
 
-def fit_centres(items: DataFrame, metric: str, n_items: int, centres: int) -> Balls | None:
-    """Centres by a few rounds of k-means over a sample of at most ``SAMPLE_PER_CENTRE`` rows a centre and 32 MB."""
-    wanted = SAMPLE_PER_CENTRE * centres
+def fit_centres(
+    items: DataFrame, metric: str, n_items: int, centres: int, hold_out: bool = False
+) -> tuple[Balls, np.ndarray] | None:
+    """Centres by a few rounds of k-means over a sample of at most ``SAMPLE_PER_CENTRE`` rows a centre and 32 MB, and
+    its distinct points; with ``hold_out`` as many points again that the centres have not seen. None without a vector."""
+    wanted = SAMPLE_PER_CENTRE * centres * (2 if hold_out else 1)
     share = min(1.0, 1.5 * wanted / max(1, n_items))
     sample = items.select("_vector").sample(share, seed=1).limit(wanted)
     size = sample.agg(F.max(F.size("_vector"))).first()[0] or 0
@@ -113,6 +116,7 @@ def fit_centres(items: DataFrame, metric: str, n_items: int, centres: int) -> Ba
     if metric == "cosine":
         points = unit_rows(points)
     points = np.unique(points, axis=0) if len(points) else np.zeros((1, size))
+    points, kept = (points[::2], points[1::2]) if hold_out and len(points) > 1 else (points, points)
     random = np.random.default_rng(1)
     balls = Balls(metric, points[np.sort(random.choice(len(points), min(centres, len(points)), replace=False))])
     for _ in range(ROUNDS if len(points) > len(balls.centres) else 0):
@@ -121,7 +125,7 @@ def fit_centres(items: DataFrame, metric: str, n_items: int, centres: int) -> Ba
         np.add.at(sums, nearest, points)
         held = counts > 0
         balls.centres = np.where(held[:, None], sums / np.maximum(counts, 1)[:, None], balls.centres)
-    return balls
+    return balls, kept
 
 
 def placed(rows: DataFrame, balls: Balls) -> DataFrame:
@@ -138,15 +142,20 @@ def placed(rows: DataFrame, balls: Balls) -> DataFrame:
 
 
 def count_balls(balls: Balls, items: DataFrame, block_rows: int) -> DataFrame:
-    """Fill in radii and counts; ``_centre, _first, _parts``: the blocks of at most about ``block_rows`` rows of each ball."""
+    """Fill in radii and counts, a row a ball on the driver, and list the blocks."""
     stats = items.groupBy("_centre").agg(F.count(F.lit(1)), F.max("_away")).collect()
     balls.counts, balls.radii = np.zeros(len(balls.centres), np.int64), np.zeros(len(balls.centres))
     for centre, count, radius in stats:
         balls.counts[centre], balls.radii[centre] = count, radius
+    return block_list(items.sparkSession, balls, block_rows)
+
+
+def block_list(spark: SparkSession, balls: Balls, block_rows: int) -> DataFrame:
+    """``_centre, _first, _parts``: the blocks of at most about ``block_rows`` rows of each ball."""
     parts = -(-balls.counts // block_rows)
     first = np.concatenate([[0], np.cumsum(parts)[:-1]])
     rows = [(int(c), int(first[c]), int(parts[c])) for c in range(len(parts)) if parts[c]]
-    return F.broadcast(items.sparkSession.createDataFrame(rows, "_centre int, _first long, _parts long"))
+    return F.broadcast(spark.createDataFrame(rows, "_centre int, _first long, _parts long"))
 
 
 def meet(
@@ -172,9 +181,10 @@ def nearest_in_balls(
 
     ``queries`` are stored. A floor that a query's own ball has set also spares candidates inside the other balls.
     """
-    balls = fit_centres(items, search.metric, n_items, min(CENTRES, max(1, math.ceil(n_items / min(CENTRE_ROWS, block_rows)))))
-    if balls is None:
+    fitted = fit_centres(items, search.metric, n_items, min(CENTRES, max(1, math.ceil(n_items / min(CENTRE_ROWS, block_rows)))))
+    if fitted is None:
         return None
+    balls, _ = fitted
     items = materialize(placed(items, balls))
     parts = count_balls(balls, items, block_rows)
     spread = F.col("_first") + F.pmod(F.xxhash64(item_id, F.spark_partition_id()), F.col("_parts"))

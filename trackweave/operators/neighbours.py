@@ -48,21 +48,10 @@ def nearest(
         raise ValueError(f"unknown metric {metric!r}, expected one of {METRICS}")
     if k < 1:
         raise ValueError("k must be positive")
-    query_out = [query_id, *[c for c in carry_query if c != query_id]]
-    query_columns = list(dict.fromkeys([*query_out, *[left for left, _ in exclude]]))
-    item_columns = list(dict.fromkeys([item_id, *carry, *[right for _, right in exclude]]))
-    queries = queries.filter(F.col(query_vector).isNotNull()).select(
-        *query_columns, as_vector(F.col(query_vector)).alias("_vector")
-    )
     table = items
-    items = table.filter(F.col(item_vector).isNotNull()).select(*item_columns, F.col(item_vector).alias("_vector"))
-    out = [item_id, *[c for c in carry if c != item_id]]
-    schema = T.StructType(
-        [T.StructField(c, queries.schema[c].dataType) for c in query_out]
-        + [T.StructField(c, items.schema[c].dataType) for c in out]
-        + [T.StructField("score", T.DoubleType())]
+    queries, items, search, schema = prepared(
+        queries, items, k, metric, query_id, query_vector, item_id, item_vector, carry, carry_query, exclude
     )
-    search = _Search(k, metric, query_out, item_id, out, tuple(exclude))
 
     ship_package(queries.sparkSession)
     small, queries = blocks.small_or_stored(queries, broadcast_rows)
@@ -96,6 +85,24 @@ def nearest(
     return top_n_per_group(partial, [query_id], order, k)
 
 
+def prepared(queries, items, k, metric, query_id, query_vector, item_id, item_vector, carry, carry_query, exclude, keep=()):
+    """Both sides cut to the columns that matter (``keep`` of the items too), the vector as ``_vector``; what a task does; what it returns."""
+    query_out = [query_id, *[c for c in carry_query if c != query_id]]
+    query_columns = list(dict.fromkeys([*query_out, *[left for left, _ in exclude]]))
+    item_columns = list(dict.fromkeys([item_id, *carry, *[right for _, right in exclude]]))
+    queries = queries.filter(F.col(query_vector).isNotNull()).select(
+        *query_columns, as_vector(F.col(query_vector)).alias("_vector")
+    )
+    items = items.filter(F.col(item_vector).isNotNull()).select(*item_columns, *keep, F.col(item_vector).alias("_vector"))
+    out = [item_id, *[c for c in carry if c != item_id]]
+    schema = T.StructType(
+        [T.StructField(c, queries.schema[c].dataType) for c in query_out]
+        + [T.StructField(c, items.schema[c].dataType) for c in out]
+        + [T.StructField("score", T.DoubleType())]
+    )
+    return queries, items, _Search(k, metric, query_out, item_id, out, tuple(exclude)), schema
+
+
 class _Search:
     """Task-side helper: block-wise products, then exact scores for the few rows that may win."""
 

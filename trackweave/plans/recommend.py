@@ -14,6 +14,7 @@ from trackweave.operators.lookup import find_by_id, resolve_exact
 from trackweave.operators.neighbours import nearest
 from trackweave.operators.ranking import keep_first, top_n_per_group
 from trackweave.operators.text_vectors import HashedTextModel
+from trackweave.operators.vector_index import VectorIndex
 from trackweave.session import materialize
 
 VECTOR_TYPES = ("text", "feature", "combined")
@@ -69,10 +70,12 @@ def recommend(
     min_similarity: float = 0.0,
     refill: bool = False,
     display: Sequence[str] = DISPLAY,
+    index: VectorIndex | None = None,
 ) -> DataFrame:
     """k best rows per target. ``targets``: ``query_id, matched_id``; unknown ids give no rows.
 
-    The filters run after the cut to k + 1, so fewer than k rows may remain; ``refill`` filters first.
+    The filters run after the cut to k + 1, so fewer than k rows may remain; ``refill`` filters first. With an ``index``
+    over the same vectors (its metric, the shown columns and the artist carried) the search is approximate.
     """
     if embedding_type not in VECTOR_TYPES:
         raise ValueError(f"embedding_type must be one of {VECTOR_TYPES}")
@@ -89,15 +92,11 @@ def recommend(
     if exclude_same_artist and refill:
         excluded.append(("_own_artist", "artist_name"))
     shown = list(dict.fromkeys([*display, "artist_name"]))
-    found = nearest(
-        asked,
-        catalogue.select("track_id", *shown, F.col(vector).alias("vector")),
-        k if refill else k + 1,
-        metric,
-        carry=shown,
-        carry_query=["_own_artist"],
-        exclude=excluded,
-    )
+    wanted_rows, options = k if refill else k + 1, {"carry": shown, "carry_query": ["_own_artist"], "exclude": excluded}
+    if index is None:
+        found = nearest(asked, catalogue.select("track_id", *shown, F.col(vector).alias("vector")), wanted_rows, metric, **options)
+    else:
+        found = index.nearest(asked, wanted_rows, **options)
     if exclude_same_artist and not refill:
         found = found.filter(~F.col("artist_name").eqNullSafe(F.col("_own_artist")))
     found = found.filter(F.col("score") >= min_similarity).drop("rank")
