@@ -4,6 +4,7 @@ import difflib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -377,6 +378,39 @@ def test_fuzzy_equals_difflib(spark, limits):
     assert got == {i: e for i, e in expected.items() if e}
 
 
+@pytest.mark.parametrize("bits", [256, 64])
+def test_fuzzy_compares_few_pairs_and_loses_none(monkeypatch, bits):
+    monkeypatch.setattr(fuzzy, "MAX_BITS", bits)
+    monkeypatch.setattr(fuzzy, "PAIRS", 5000)
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzäöü "
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, word(rng.randint(4, 40)), word(rng.randint(3, 12))) for i in range(1500)]
+    rows += [(2000 + i, rows[0][1], word(8)) for i in range(300)]  # one popular name
+    changed = [name[:3] + "x" + name[4:] for _, name, _ in rows[:200]]
+    asked = [(name, rows[i][2] if i % 2 else "") for i, name in enumerate(changed)]
+    queries = pa.table({"asked_name": [n for n, _ in asked], "asked_artist": [a for _, a in asked]})
+    columns = {"matched_id": [r[0] for r in rows], "_name": [r[1] for r in rows], "_artist": [r[2] for r in rows]}
+    compared = []
+    ratio = fuzzy._ratio
+    monkeypatch.setattr(fuzzy, "_ratio", lambda *a: (compared.append(a), ratio(*a))[1])
+    got = fuzzy._best(queries, [pa.table(columns).slice(0, 900), pa.table(columns).slice(900)], 0.8, False)
+    found = {(r["asked_name"], r["asked_artist"]): (r["matched_id"], r["score"]) for r in got.to_pylist()}
+    assert found == {q: best for q in asked if (best := difflib_best(q, rows))}
+    assert len(compared) < 0.02 * len(asked) * len({r[1] for r in rows})
+
+
+def test_fuzzy_meets_only_lengths_in_reach(spark):
+    names = [(i, "n" * (1 + i), "") for i in range(400)]
+    pairs = spark.createDataFrame(names, "matched_id int, _name string, _artist string")
+    wanted = spark.createDataFrame([("n" * 100, ""), ("n" * 30, "a")], "asked_name string, asked_artist string")
+    left, right = fuzzy._by_length(wanted, pairs, 0.8, 10)
+    met = left.join(right, "_block").select(F.length("asked_name").alias("a"), F.length("_name").alias("b"))
+    reached = {(r.a, r.b) for r in met.collect()}
+    assert {b for a, b in reached if a == 100} >= set(range(67, 151)) and max(b for a, b in reached if a == 100) < 200
+    assert {b for a, b in reached if a == 30} >= set(range(17, 54)) and max(b for a, b in reached if a == 30) < 80
+
+
 def test_fuzzy_threshold_is_inclusive_and_ties_take_the_lowest_id(spark):
     catalogue = spark.createDataFrame([(9, "abcdX", "a"), (4, "abcdY", "a")], "track_id int, track_name string, artist_name string")
     asked = spark.createDataFrame([(1, "abcdZ", None)], "query_id int, track_name string, artist_name string")

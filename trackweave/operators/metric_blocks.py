@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,7 +159,7 @@ def block_list(spark: SparkSession, balls: Balls, block_rows: int) -> DataFrame:
 
 
 def meet(
-    queries: DataFrame, items: DataFrame, query_key: str, query_rows: int, cell: Callable[[pa.Table, pa.Table], pa.Table], schema
+    queries: DataFrame, items: DataFrame, query_key: Column | str, query_rows: int, cell: Callable[[pa.Table, pa.Table], pa.Table], schema
 ) -> tuple[DataFrame, int]:
     """``cell`` over all queries and items of one ``_block``, and how many cells there are. A block that more than
     ``query_rows`` queries want has several cells; items of unwanted blocks do not move."""
