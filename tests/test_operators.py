@@ -75,6 +75,28 @@ def test_top_n_with_hot_key_beyond_the_group_limit(spark):
         assert found[found.k == key].sort_values("rank")["id"].tolist() == expected
 
 
+@pytest.mark.parametrize("kind", ["double", "string"])
+def test_quotas_are_cut_before_the_shuffle(spark, kind):
+    rng = random.Random(3)
+    value = (lambda: rng.choice([None, float("nan"), -0.5, *[rng.random() for _ in range(20)]])) if kind == "double" else (lambda: rng.choice([None, "", "é", "Z", "a" * rng.randint(1, 9)]))
+    rows = [(i, "hot" if i % 3 else rng.choice(["a", None]), value()) for i in range(9000)]
+    df = spark.createDataFrame(rows, f"id int, source string, at {kind}").repartition(6)
+    cut = ranking._first_per_partition(df, "source", "at", 100)
+    assert cut.columns == df.columns and cut.count() <= 100 * 3 * 6
+    got = ranking.take_quota(df, "source", 1100, "at").collect()
+
+    def rank(v):
+        if kind == "string":
+            return (v is not None, (v or "").encode())
+        missing = v is None or v != v
+        return (v is not None, v is not None and v != v, 0.0 if missing else v)
+
+    for source in ("hot", "a", None):
+        expected = sorted(rank(v) for _, s, v in rows if s == source)[:1100]
+        own = sorted((r.position, rank(r["at"])) for r in got if r.source == source)
+        assert own == list(enumerate(expected, 1))
+
+
 def test_union_keep_first_is_idempotent(spark):
     one = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a")], "track_id int, s string")
     two = spark.createDataFrame([(2, "b", 9), (4, "b", 9)], "track_id int, s string, extra int")
@@ -427,7 +449,7 @@ def test_attach_keeps_rows_without_key(spark, hot, monkeypatch):
         monkeypatch.setattr(enrichment, "HOT_SAMPLED_ROWS", 2)
     base = spark.createDataFrame([(1,), (None,), (None,), (2,), (3,), (3,), (3,)], "track_id int")
     side = spark.createDataFrame([(1, "a"), (None, "n"), (3, "c")], "track_id int, v string")
-    assert enrichment.hot_keys(base, "track_id") == ([3, None] if hot else [])
+    assert {r.track_id for r in enrichment.hot_keys(base, "track_id").collect()} == ({3, None} if hot else set())
     sides = [
         enrichment.Side(side, "s", {"v": F.col("v")}),
         enrichment.Side(side, "t", {"w": F.upper("v")}, only=F.col("track_id") == 3),
@@ -449,6 +471,36 @@ def test_one_shuffle_of_the_base_for_all_sides(spark):
     assert shuffles == 4
 
 
+def test_five_hundred_hot_keys_and_one_evaluation_of_the_base(spark, monkeypatch):
+    monkeypatch.setattr(enrichment, "HOT_SAMPLE", 1.0)
+    monkeypatch.setattr(enrichment, "HOT_SAMPLED_ROWS", 10)
+    rows = [(k, i) for k in range(500) for i in range(10 + k % 7)] + [(None, i) for i in range(400)] + [(9000 + i, i) for i in range(50)]
+    rows += [(7, i) for i in range(3000)]  # the largest
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    base = spark.createDataFrame(rows, "track_id int, i int").repartition(6).mapInArrow(counted, "track_id int, i int")
+    side = spark.createDataFrame([(k, f"v{k}") for k in range(0, 9100, 2)], "track_id int, v string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        merged = enrichment.attach(base, [enrichment.Side(side, n, {"v": F.col("v")}) for n in ("s", "t")], "track_id")
+        got = [(r.track_id, r.i, r.s and r.s.v, r.t and r.t.v) for r in merged.collect()]
+        value = lambda k: f"v{k}" if k is not None and k % 2 == 0 and k < 9100 else None
+        assert sorted(got, key=repr) == sorted([(k, i, value(k), value(k)) for k, i in rows], key=repr)
+        assert seen.value == len(rows)
+        # The largest key's rows lie in many partitions of the join.
+        sizes = merged.filter("track_id = 7").groupBy(F.spark_partition_id()).count()
+        assert sizes.count() > 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_last_per_key(spark):
     df = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, 1, "x")], "track_id int, seq int, v string")
     assert sorted((r.track_id, r.v) for r in enrichment.last_per_key(df, "track_id", "seq").collect()) == [(1, "new"), (2, "x")]

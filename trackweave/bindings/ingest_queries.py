@@ -350,7 +350,7 @@ def first_event(spark, folder):
     """,
 )
 def source_quota(spark, folder):
-    """A quota beyond Catalyst's group limit: the salted two-round form."""
+    """A quota beyond Catalyst's group limit: heaps per partition before the shuffle."""
     return take_quota(table(spark, folder, "events"), "event_type", 1500, "event_id").select(
         "event_type", "event_id", "value", "position"
     )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.bindings.registry import query
@@ -15,15 +17,25 @@ from trackweave.operators.fuzzy import match_names
 from trackweave.operators.neighbours import nearest
 from trackweave.operators.ranking import page, page_number, with_total
 from trackweave.operators.scaling import feature_vectors
+from trackweave.operators.text_index import build_text_index
 from trackweave.operators.text_vectors import fit_hashed_text
 from trackweave.operators.vector_index import build_index
 from trackweave.plans import recommend
 from trackweave.plans.transform import build_features
 from trackweave.session import materialize, shared_dir
+from trackweave.sources import tables
+from trackweave.sources.cache import TableCache
+from trackweave.sources.ordered import ordered_copy
 
 _CAT = f"cat AS ({select_sql(CATALOGUE)})"
 _SHOWN = ("track_id", "track_name", "artist_name", "album_name")
 
+
+
+def _new_folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # --- lookup -------------------------------------------------------------------------------------
 
 
@@ -156,6 +168,29 @@ def autocomplete(spark, folder):
     return lookup.autocomplete(catalogue(spark, folder), " Ri ").select(*_SHOWN)
 
 
+@query(
+    "autocomplete_indexed",
+    f"""
+    WITH {_CAT}, typed AS (SELECT * FROM (VALUES ('r'), ('ri'), ('rin'), ('ring'), ('d#2'), ('green w')) t(typed)),
+    hits AS (
+        SELECT typed, track_id, track_name, artist_name, row_number() OVER (PARTITION BY typed ORDER BY track_id) AS place
+        FROM cat JOIN typed ON length(typed) > 1 AND (contains(lower(track_name), typed) OR contains(lower(artist_name), typed))
+    )
+    SELECT * FROM hits WHERE place <= 5
+    """,
+)
+def autocomplete_indexed(spark, folder):
+    """Keystrokes of several searches, answered from posting lists."""
+    rows = catalogue(spark, folder)
+    index = build_text_index(rows, _new_folder(spark, "text-index"))
+    place = F.row_number().over(Window.orderBy("track_id")).alias("place")
+    found = [
+        lookup.autocomplete(rows, typed, index=index).select(F.lit(typed.strip().lower()).alias("typed"), *_SHOWN[:3], place)
+        for typed in ("r", " Ri ", "rin", "ring", "D#2", "green w")
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "list_page",
     "SELECT o_orderkey, o_custkey, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100",
@@ -178,9 +213,9 @@ def deep_page(spark, folder):
     "SELECT 'order ' || o_orderkey AS order_id, o_custkey FROM orders ORDER BY order_id LIMIT 100 OFFSET 12000",
 )
 def deep_page_by_text(spark, folder):
-    """The same by a string id."""
+    """The same by a string id, whatever prefix the ids share: from a copy in their order."""
     orders = table(spark, folder, "orders").select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("order_id"), "o_custkey")
-    return page(orders, "order_id", offset=12_000, limit=100)
+    return ordered_copy(orders, _new_folder(spark, "ordered"), "order_id").page(12_000, 100)
 
 
 # --- neighbours ---------------------------------------------------------------------------------
@@ -269,6 +304,32 @@ _REQUEST = {
 }
 
 
+@query(
+    "cache_follows_table",
+    """
+    SELECT o_orderstatus, count(*) FILTER (o_orderkey % 2 = 0) AS first_rows, count(*) FILTER (o_orderkey % 2 = 0) AS again_rows,
+        count(*) AS later_rows
+    FROM orders GROUP BY ALL
+    """,
+)
+def cache_follows_table(spark, folder):
+    """A table read through the cache, read again, and read after an append."""
+    orders, place = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"), _new_folder(spark, "cached-orders")
+    cache = TableCache(spark)
+
+    def counted(name):
+        rows = cache.get(place).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias(name))
+        # Stored, since the cache drops what it has read when the table grows.
+        return materialize(rows)
+
+    tables.append_table(orders.filter("o_orderkey % 2 = 0"), place)
+    first, again = counted("first_rows"), counted("again_rows")
+    tables.append_table(orders.filter("o_orderkey % 2 <> 0"), place)
+    joined = counted("later_rows").join(first, "o_orderstatus").join(again, "o_orderstatus")
+    cache.clear()
+    return joined.select("o_orderstatus", "first_rows", "again_rows", "later_rows")
+
+
 @query(
     "request_checks",
     f"""
@@ -306,8 +367,7 @@ for _metric in _SCORES:
 def ann_neighbours(spark, folder):
     """Ten near neighbours by cosine from a stored index, for ids that 100 divides; the tests hold it against all rows."""
     rows = vectors(spark, folder).withColumnRenamed("combined_embedding", "vector")
-    place = f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}"
-    index = build_index(rows, place, carry=["artist_name"])
+    index = build_index(rows, _new_folder(spark, "vector-index"), carry=["artist_name"])
     asked = rows.filter(F.col("track_id") % 100 == 0).select(F.col("track_id").alias("query_id"), "vector")
     found = index.nearest(asked, 10, carry=["artist_name"], exclude=[("query_id", "track_id")])
     return found.select("query_id", "rank", "track_id", "artist_name", F.round("score", 4).alias("similarity_score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -13,14 +14,16 @@ from trackweave import schemas
 from trackweave.functions.tags import shape_similar, shape_tags, tag_names
 from trackweave.functions.text import describe, trim_lyrics_tail
 from trackweave.operators.ranking import keep_first
+from trackweave.session import materialize
 
 MIN_LYRICS = 50
 AUDIO = "_audio"
 
-# A key with ten thousand rows in a sample of one per cent is worth its own treatment.
+# A key with ten thousand rows in a sample of one per cent is dealt to one task per so many rows.
 HOT_SAMPLE = 0.01
 HOT_SAMPLED_ROWS = 10_000
-HOT_KEYS = 100
+# On tables of more rows than a hundred billion a hot key is a larger one, so there are never more of them than this.
+HOT_KEYS = 100_000
 
 
 def worth_a_lookup(name: str = "name", artist: str = "artist") -> Column:
@@ -81,39 +84,45 @@ class Side:
         return last.select(key, F.col("_last._record").alias(self.name))
 
 
-def hot_keys(base: DataFrame, key: str) -> list:
-    """The most frequent keys, NULL included, seen often enough in a sample to unbalance a join.
-
-    A missed or a needless key changes the plan, never the result.
+def hot_keys(base: DataFrame, key: str) -> DataFrame:
+    """``key, _salts``: keys with so many rows in a sample that they would unbalance a join, NULL included, and over how
+    many tasks each should go. All of them, at most ``HOT_KEYS``; a missed or a needless key changes the plan, never the result.
     """
     sampled = base.select(key).sample(fraction=HOT_SAMPLE, seed=1).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    found = sampled.filter(F.col("n") >= HOT_SAMPLED_ROWS).orderBy(F.col("n").desc()).limit(HOT_KEYS)
-    return [row[0] for row in found.collect()]
+    limit = max(HOT_SAMPLED_ROWS, math.ceil(base.count() * HOT_SAMPLE / HOT_KEYS))
+    return sampled.filter(F.col("n") >= limit).select(key, (F.ceil(F.col("n") / limit) + 1).alias("_salts"))
 
 
 def attach(base: DataFrame, sides: Sequence[Side], key: str) -> DataFrame:
     """Left joins on one key: a match becomes a struct, no match a NULL struct; the base's rows stay as many as they are.
 
-    Sides are broadcast only when Spark's own size check allows it; otherwise base and sides are
-    shuffled once by the key. Rows of hot keys would all meet in one task, so they stay where they
-    are and receive their few side rows (at most ``HOT_KEYS`` per side) by broadcast.
+    The base is stored, so it is computed once. Sides are broadcast only when Spark's own size check allows it; otherwise
+    base and sides are shuffled once. Rows of a hot key would all meet in one task: they get a salt and go to many tasks,
+    each with a copy of the key's one record per side.
     """
+    base = materialize(base)
     packed = [(side, side.per_key(key)) for side in sides]
-
-    def joined(rows: DataFrame, keys: list | None) -> DataFrame:
-        for side, table in packed:
-            table = table if keys is None else F.broadcast(table.filter(F.col(key).isin(keys)))
-            rows = rows.join(table, key, "left")
-            if side.only is not None:
-                rows = rows.withColumn(side.name, F.when(side.only, F.col(side.name)))
-        return rows.select(*base.columns, *[side.name for side, _ in packed])
-
-    hot = hot_keys(base, key)
-    if not hot:
-        return joined(base, None)
-    values = [value for value in hot if value is not None]
-    is_hot = F.coalesce(F.col(key).isin(values), F.lit(None in hot))
-    return joined(base.filter(~is_hot), None).unionByName(joined(base.filter(is_hot), values))
+    # Bounded by HOT_KEYS.
+    hot = materialize(hot_keys(base, key))
+    rows, keys = base, [key]
+    if hot.limit(1).count():
+        hot = F.broadcast(hot.withColumnRenamed(key, "_hot_key"))
+        rows = rows.join(hot, F.col(key).eqNullSafe(F.col("_hot_key")), "left")
+        # Rows of a stored table have the same number at every run.
+        rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_salts", F.lit(1))))
+        rows, keys = rows.drop("_hot_key", "_salts"), [key, "_salt"]
+
+        def replicated(table: DataFrame) -> DataFrame:
+            copies = table.join(hot, F.col(key) == F.col("_hot_key"), "left")
+            salts = F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1)
+            return copies.withColumn("_salt", F.explode(salts)).drop("_hot_key", "_salts")
+
+        packed = [(side, replicated(table)) for side, table in packed]
+    for side, table in packed:
+        rows = rows.join(table, keys, "left")
+        if side.only is not None:
+            rows = rows.withColumn(side.name, F.when(side.only, F.col(side.name)))
+    return rows.select(*base.columns, *[side.name for side, _ in packed])
 
 
 def merge_sources(

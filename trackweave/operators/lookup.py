@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.operators.ranking import top_n
+from trackweave.operators.text_index import TextIndex
 
 
 def find_by_id(catalogue: DataFrame, track_id, key: str = "track_id") -> DataFrame:
@@ -32,12 +33,18 @@ def search(
     name: str = "track_name",
     artist: str = "artist_name",
     order: str = "track_id",
+    index: TextIndex | None = None,
 ) -> DataFrame:
-    """Rows whose name or artist holds the text, ignoring case: the first ``limit`` in table order."""
+    """Rows whose name or artist holds the text, ignoring case: the first ``limit`` in table order.
+
+    An ``index`` of the catalogue serves plain texts of two letters or more.
+    """
     if not query:
         raise ValueError("query must not be empty")
     if not 1 <= limit <= 50:
         raise ValueError("limit must lie between 1 and 50")
+    if index is not None and not regex and len(query) >= 2:
+        return index.search(query, limit).select(*catalogue.columns)
     hits = catalogue.filter(_holds(name, query, regex) | _holds(artist, query, regex))
     return top_n(hits, [F.col(order)], limit)
 
@@ -50,11 +57,17 @@ def autocomplete(
     name: str = "track_name",
     artist: str = "artist_name",
     order: str = "track_id",
+    index: TextIndex | None = None,
 ) -> DataFrame:
-    """First hits in table order; nothing below two characters. ``pool`` looks at the first rows only."""
+    """First hits in table order; nothing below two characters. ``pool`` looks at the first rows only.
+
+    With an ``index`` of the catalogue a keystroke reads a few posting lists instead of all rows.
+    """
     text = typed.strip()
     if len(text) < 2:
         return catalogue.limit(0)
+    if index is not None and pool is None:
+        return index.search(text, limit).select(*catalogue.columns)
     searched = catalogue if pool is None else top_n(catalogue, [F.col(order)], pool)
     hits = searched.filter(_holds(name, text, False) | _holds(artist, text, False))
     return top_n(hits, [F.col(order)], limit)

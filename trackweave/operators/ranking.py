@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackweave.operators.order_stats import value_at_rank
 
@@ -22,8 +25,7 @@ def top_n_per_group(
     group before the shuffle (WindowGroupLimit), so a group holding a third of all rows arrives as
     ``n`` rows per map task. Beyond it, a salted first round spreads a hot group over many tasks.
     """
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n >= threshold:
+    if n >= _group_limit(df.sparkSession):
         # One salt a partition, so there are the more of them the larger the table is.
         salted = df.withColumn("_salt", F.spark_partition_id())
         first = Window.partitionBy(*keys, "_salt").orderBy(*order)
@@ -50,8 +52,57 @@ def union_sources(sources: Sequence[DataFrame], quota: int | None, order: str) -
 
 
 def take_quota(df: DataFrame, source: str, quota: int, order: str) -> DataFrame:
-    """At most ``quota`` rows per source; the place within the source goes to ``position``."""
-    return top_n_per_group(df, [source], [F.col(order)], quota, "position")
+    """At most ``quota`` rows per source; the place within the source goes to ``position``.
+
+    Quotas beyond Catalyst's limit for cutting map partitions are cut there by heaps of ``quota`` rows per source, so
+    the shuffle moves at most quota rows per source and partition, whatever the size of the table.
+    """
+    plain = not any(isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) for c in (source, order))
+    if quota >= _group_limit(df.sparkSession) and plain:
+        df = _first_per_partition(df, source, order, quota)
+    window = Window.partitionBy(source).orderBy(F.col(order))
+    return df.withColumn("position", F.row_number().over(window)).filter(F.col("position") <= quota)
+
+
+def _group_limit(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+
+
+def _first_per_partition(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """Of every partition the first ``n`` rows of each group. A task holds those and one batch.
+
+    Null orders come first and NaN last, as in Spark; the two flags say so to Arrow, whose order of them differs.
+    """
+    flags = {"_present": F.col(order).isNotNull(), "_nan": F.lit(False)}
+    if df.schema[order].dataType.typeName() in ("float", "double"):
+        flags["_nan"] = F.coalesce(F.isnan(order), F.lit(False))
+    flagged = df.withColumns(flags)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, rows = None, [], 0
+        for batch in batches:
+            waiting.append(batch)
+            rows += batch.num_rows
+            # Sorting again only when as many rows have come as are held.
+            if rows >= max(n, 0 if held is None else held.num_rows):
+                held, waiting, rows = first(held, waiting), [], 0
+        if waiting:
+            held = first(held, waiting)
+        if held is not None:
+            yield from held.select(names).to_batches()
+
+    def first(held: pa.Table | None, batches: list[pa.RecordBatch]) -> pa.Table:
+        table = pa.Table.from_batches(batches)
+        table = table if held is None else pa.concat_tables([held, table])
+        groups = table.column(group).combine_chunks().dictionary_encode(null_encoding="encode").indices
+        keyed = table.append_column("_group", groups)
+        keyed = keyed.sort_by([("_group", "ascending"), ("_present", "ascending"), ("_nan", "ascending"), (order, "ascending")])
+        group_of = keyed.column("_group").to_numpy()
+        place = np.arange(len(group_of)) - np.searchsorted(group_of, group_of)
+        return keyed.take(pa.array(np.flatnonzero(place < n))).drop_columns("_group")
+
+    names = df.columns
+    return flagged.mapInArrow(cut, df.schema)
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

@@ -68,7 +68,7 @@ def create_database(spark: SparkSession, name: str) -> None:
 
 def table_info(spark: SparkSession, name: str) -> DataFrame:
     """``rows, size_bytes, files, columns, created, modified`` of a table by name or a Parquet folder by path, as one row."""
-    path = name if "/" in name else _location(spark, name)
+    path = name if "/" in name else location(spark, name)
     files = list_files(spark, path, "*.parquet").agg(
         F.sum("length").alias("size_bytes"),
         F.count(F.lit(1)).alias("files"),
@@ -87,7 +87,8 @@ def table_info(spark: SparkSession, name: str) -> DataFrame:
     )
 
 
-def _location(spark: SparkSession, name: str) -> str:
+def location(spark: SparkSession, name: str) -> str:
+    """Folder of a catalogue table."""
     described = spark.sql(f"DESCRIBE FORMATTED {name}").filter(F.col("col_name") == "Location")
     return described.select("data_type").first()[0]
 
