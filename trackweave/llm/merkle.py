@@ -168,8 +168,8 @@ class _Forest:
 
     def tops(self) -> DataFrame:
         """``_group, digest``: the root of each tree."""
-        top = self.nodes.withColumn("_top", F.max("level").over(Window.partitionBy("_group")))
-        return top.filter((F.col("level") == F.col("_top")) & (F.col("place") == 0)).select("_group", "digest")
+        # The one node of its level.
+        return self.nodes.filter(F.col("size") <= F.pow(F.lit(float(ARITY)), "level")).select("_group", "digest")
 
     def proofs(self, above: DataFrame | None = None) -> DataFrame:
         """``carry..., _leaf, top, proof``, and with ``above`` (``_group, root, above``) the root and the proof up to it."""
