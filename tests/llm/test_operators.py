@@ -99,6 +99,36 @@ def test_state_lasts_over_batches(spark):
     assert table(got, "doc_id", "keep_id", "group_size") == [(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 4, 1)]
 
 
+WEAK = lambda text: F.substring(exact_dedup.sha256(text), 1, 0).cast("binary")
+
+
+def test_colliding_digests_over_batches(spark):
+    batches = [[(1, "one"), (2, "two")], [(3, "ONE"), (4, "new")], [(5, "two"), (None, "other"), (6, None), (3, "ONE")]]
+    for digest in (WEAK, exact_dedup.sha256):
+        store, seen = exact_dedup.DedupStore.create(spark, digest=digest), []
+        for batch in batches:
+            got = exact_dedup.exact_dedup(frame(spark, batch), store=store)
+            seen += batch
+            assert table(got, "doc_id", "keep_id", "group_size") == sorted([row[:3] for row in brute.exact(seen)], key=repr)
+            assert got.filter("kept").count() == len({brute.lower(t) for _, t in seen})
+
+
+def test_one_text_a_batch_with_one_digest(spark):
+    store = exact_dedup.DedupStore.create(spark, digest=WEAK)
+    exact_dedup.exact_dedup(frame(spark, [(1, "one")]), store=store)
+    got = exact_dedup.exact_dedup(frame(spark, [(3, "other")]), store=store)
+    assert table(got, "doc_id", "keep_id", "group_size", "kept") == [(1, 1, 1, True), (3, 3, 1, True)]
+
+
+def test_batches_may_lie_in_one_file(spark, awkward):
+    docs = common.stored(awkward, "batches")
+    for digest in (WEAK, exact_dedup.sha256):
+        store = exact_dedup.DedupStore.create(spark, digest=digest)
+        store.add(docs.filter("doc_id % 2 = 0"))
+        got = exact_dedup.exact_dedup(docs.filter("doc_id IS NULL OR doc_id % 2 <> 0"), store=store)
+        assert table(got, "doc_id", "keep_id", "group_size") == sorted([row[:3] for row in brute.exact(ROWS)], key=repr)
+
+
 def test_keep_one_keeps_all_columns(awkward):
     kept = exact_dedup.keep_one(awkward)
     assert kept.columns == awkward.columns and kept.count() == len({brute.lower(t) for _, t in ROWS})
@@ -393,6 +423,25 @@ def test_remembered_words_are_bounded(monkeypatch):
     assert counter.of_text(text) == token_counts.PieceCounter.from_model(PIECES).of_text(text) and len(counter.known) <= 3
 
 
+def test_blocks_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(word_codec, "BLOCK_BYTES", 100)
+    import pyarrow as pa
+
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([split] * 4), pa.array(["é" * 20, "b" * 500, "", "c" * 30])], names=["_where", "_text"])
+        for split in (1, 1, 2)
+    ]
+    blocks = [block for block, _, _ in word_codec.by_block(iter(batches))]
+    assert len(blocks) == 12 and blocks == [block for block, _, _ in word_codec.by_block(iter(batches))]
+    runs = [blocks.count(block) for block in dict.fromkeys(blocks)]
+    # 40 and 500 bytes fill a block; what follows begins another, with the next batch of the split as well.
+    assert runs == [2, 4, 2, 2, 2]
+    rows = [(i, text) for i, text in enumerate(["one two  three", "two two", "", None, "\n x y"] * 9)]
+    got = {r.doc_id: (r.ids, r.decoded) for r in word_codec.encode_and_decode(frame(spark, rows).repartition(2), BYTES).collect()}
+    assert all(got[i][1] == (text or "") and got[i][0] == got[i % 5][0] for i, text in rows)
+
+
+
 def test_codec_equals_the_library(spark, awkward, nothing, monkeypatch):
     from tokenizers import Tokenizer
 

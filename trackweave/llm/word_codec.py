@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts stay in blocks of neighbouring rows. Each block asks the table for its distinct words, so what is shuffled besides
-the texts grows with the distinct words of the blocks, not with the words. The table is dealt by the hash of the word: its
-buckets encode each distinct word once and answer every block. In its block every text looks its words up by
-position, and its identifiers are joined to their pieces.
+Texts stay in blocks of neighbouring rows, cut by summed bytes. A text is split into words once; what travels on is the
+number of each word in its block, and per block the distinct words themselves, so the shuffle grows with the
+numbers and the distinct words, not with the texts. The word table is dealt by the hash of the word: its buckets encode each
+distinct word once and answer every block. In its block every text joins its words to their identifiers by position, and
+these to their pieces.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -95,111 +97,118 @@ def bucket_of(word: str, buckets: int) -> int:
     return xxhash.xxh32_intdigest(word.encode()) % buckets
 
 
-def block_words(content: DataFrame, path: str, buckets: int) -> DataFrame:
-    """``bucket, block, letters, lengths``: the distinct words of each block of rows, in order, by the hash of the word."""
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str]]:
+    """``block, row in its batch, text``. A block ends with its split, or when its texts hold ``BLOCK_BYTES``; splits are read
+    in the same order each time, so every scan cuts the same blocks."""
+    where, number, held, block = None, 0, 0, 0
+    for batch in batches:
+        for row, (split, text) in enumerate(zip(batch.column("_where").to_pylist(), batch.column("_text"), strict=True)):
+            if split != where or held >= BLOCK_BYTES:
+                number = number + 1 if split == where else 0
+                where, held = split, 0
+                block = xxhash.xxh64_intdigest(f"{where} {number}".encode()) - (1 << 63)
+            held += text.as_buffer().size
+            yield block, row, text.as_py()
 
-    def rows_of(block: int, found: set[str]) -> pa.RecordBatch:
+
+def numbered(content: DataFrame, path: str, buckets: int) -> DataFrame:
+    """Rows of two kinds, by where they go.
+
+    To a bucket of the word table go a block's distinct words of that bucket, in order; to the block go its texts as numbers
+    of words, in compressed parts of bounded size (a longer text is one part), and how many distinct words it has. The
+    number of a word is its place among them, bucket after bucket.
+    """
+    id_type = content.schema["_id"].dataType
+    schema = T.StructType(
+        [T.StructField("_to", T.LongType()), T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType())]
+        + [T.StructField("letters", T.StringType()), T.StructField("lengths", T.ArrayType(T.IntegerType()))]
+        + [T.StructField("ids", T.ArrayType(id_type)), T.StructField("codes", T.BinaryType()), T.StructField("words", T.IntegerType())]
+    )
+
+    def rows_of(block: int, number: dict[str, int], held: list, id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         dealt: dict[int, list[str]] = {}
-        for word in sorted(found):
+        for word in sorted(number):
             dealt.setdefault(bucket_of(word, buckets), []).append(word)
-        shipped = [ship(words) for words in dealt.values()]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(dealt), pa.int32()),
-                pa.array([block] * len(dealt), pa.int64()),
-                pa.array([letters for letters, _ in shipped], pa.string()),
-                pa.array([lengths for _, lengths in shipped], pa.list_(pa.int32())),
-            ],
-            ["bucket", "block", "letters", "lengths"],
-        )
+        place = np.zeros(len(number), dtype=np.int32)
+        place[[number[word] for bucket in sorted(dealt) for word in dealt[bucket]]] = np.arange(len(number))
+        press, part, size = zstandard.ZstdCompressor(), [], 0
+        rows = [(target("bucket", k), block, k, *ship(words), None, None, None) for k, words in dealt.items()]
+
+        def texts() -> tuple:
+            joined = np.concatenate([place[codes] for _, codes in part])
+            # Low bytes and high bytes apart compress better.
+            planes = joined.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            lengths = np.array([len(codes) for _, codes in part], dtype=np.int32)
+            return block, block, None, None, lengths, [own for own, _ in part], press.compress(planes), len(number)
+
+        for own, codes in held:
+            if part and size >= PART_BYTES:
+                rows.append(texts())
+                part, size = [], 0
+            part.append((own, codes))
+            size += codes.nbytes
+        rows.append(texts())
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(id_kind), pa.binary(), pa.int32()]
+        for row in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used, found, current = codec(path), set(), None
-        for batch in batches:
-            for block, text in zip(batch.column("block").to_pylist(), batch.column("_text"), strict=True):
-                if block != current and found:
-                    yield rows_of(current, found)
-                    found = set()
-                current = block
-                found.update(used.words(text.as_py()))
-        if found:
-            yield rows_of(current, found)
-
-    schema = "bucket int, block long, letters string, lengths array<int>"
-    return content.select("block", "_text").mapInArrow(run, schema)
-
-
-def encoded_words(asked: DataFrame, path: str) -> DataFrame:
+        used, held, current, own, id_kind = codec(path), [], None, [], None
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+
+        def watched() -> Iterator[pa.RecordBatch]:
+            nonlocal own, id_kind
+            for batch in batches:
+                own, id_kind = batch.column("_id").to_pylist(), batch.column("_id").type
+                yield batch
+
+        for block, row, text in by_block(watched()):
+            if block != current and held:
+                yield from rows_of(current, number, held, id_kind)
+                held = []
+                number.clear()
+            current = block
+            held.append((own[row], np.array([number[word] for word in used.words(text)], dtype=np.int32)))
+        if held:
+            yield from rows_of(current, number, held, id_kind)
+
+    return content.select("_where", "_id", "_text").mapInArrow(run, schema)
+
+
+def target(kind: str, number: int) -> int:
+    """Where rows of a bucket meet: a number as those of the blocks are."""
+    return xxhash.xxh64_intdigest(f"{kind} {number}".encode()) - (1 << 63)
+
+
+def encoded_words(dealt: DataFrame, path: str) -> DataFrame:
     """The word table, bucket by bucket: each distinct word is encoded once, and every block that asked gets its answer.
 
     A bucket holds a row for each block, however frequent a word is. An answer has the identifiers of the asked words in
-    their order, two bytes each if the vocabulary allows.
+    their order, two bytes each if the vocabulary allows. Texts that lie in the same partition pass by unread.
     """
     kind = codec(path).id_type
+    shipped = SIGNED[kind]
 
-    def encode(table):
+    def encode(table: pa.Table) -> pa.Table:
         used, known = codec(path), {}
+        asked = table.filter(pc.is_valid(table.column("bucket")))
         ids, counts = [], []
-        for letters, lengths in zip(table.column("letters").to_pylist(), table.column("lengths").to_pylist(), strict=True):
+        for letters, lengths in zip(asked.column("letters").to_pylist(), asked.column("lengths").to_pylist(), strict=True):
             row, sizes = [], []
             for word in unship(letters, lengths):
                 if word not in known:
                     known[word] = used.encode(word)
                 row += known[word]
                 sizes.append(len(known[word]))
-            ids.append(np.array(row, dtype=kind).view(SIGNED[kind]))
+            ids.append(np.array(row, dtype=kind).view(shipped))
             counts.append(np.array(sizes, dtype=np.int32))
-        return pa.table(
-            [
-                *[table.column(name).combine_chunks() for name in ("bucket", "block")],
-                pa.array(ids, pa.list_(pa.from_numpy_dtype(SIGNED[kind]))),
-                pa.array(counts, pa.list_(pa.int32())),
-            ],
-            names=["bucket", "block", "ids", "counts"],
-        )
+        columns = [asked.column("block"), asked.column("bucket")]
+        columns += [pa.array(ids, pa.list_(pa.from_numpy_dtype(shipped))), pa.array(counts, pa.list_(pa.int32()))]
+        return pa.table(columns, names=["_to", "bucket", "ids", "counts"])
 
-    shipped = "short" if kind == "uint16" else "int"
-    return asked.groupBy("bucket").applyInArrow(encode, f"bucket int, block long, ids array<{shipped}>, counts array<int>")
-
-
-def squeezed(content: DataFrame) -> DataFrame:
-    """``block, ids, lengths, texts``: the texts of a block in compressed parts of bounded size."""
-    id_type = content.schema["_id"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("block", T.LongType()),
-            T.StructField("ids", T.ArrayType(id_type)),
-            T.StructField("lengths", T.ArrayType(T.IntegerType())),
-            T.StructField("texts", T.BinaryType()),
-        ]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, held, size, current, id_kind = zstandard.ZstdCompressor(), [], 0, None, None
-
-        def out() -> pa.RecordBatch:
-            ids, texts = zip(*held, strict=True)
-            arrays = [
-                pa.array([current], pa.int64()),
-                pa.array([list(ids)], pa.list_(id_kind)),
-                pa.array([[len(text) for text in texts]], pa.list_(pa.int32())),
-                pa.array([press.compress(b"".join(texts))], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(arrays, schema.names)
-
-        for batch in batches:
-            id_kind = batch.column("_id").type
-            for block, own, text in zip(batch.column("block").to_pylist(), batch.column("_id").to_pylist(), batch.column("_text"), strict=True):
-                if held and (block != current or size >= PART_BYTES):
-                    yield out()
-                    held, size = [], 0
-                current = block
-                held.append((own, text.as_py().encode()))
-                size += len(held[-1][1])
-        if held:
-            yield out()
-
-    return content.select("block", "_id", "_text").mapInArrow(run, schema)
+    element = "short" if kind == "uint16" else "int"
+    return dealt.groupBy("_to").applyInArrow(encode, f"_to long, bucket int, ids array<{element}>, counts array<int>")
 
 
 def encode_and_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -207,17 +216,18 @@ def encode_and_decode(docs: DataFrame, path: str, id_column: str = "doc_id", tex
 
     ``path`` is a byte-level vocabulary that the executors can read. Its special tokens are recognised in texts. A null or
     empty text has no identifiers and decodes to an empty text; repeated rows are encoded each; an empty table gives no
-    rows. Blocks hold about ``BLOCK_BYTES`` of text, and as many buckets as there are blocks hold the words.
+    rows. Blocks hold about ``BLOCK_BYTES`` of text or one longer text. The words are held by a bucket, and the blocks met by
+    a task, per ``BLOCK_BYTES`` of the table. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     ship_package(spark)
     content = located(docs, {"_id": F.col(id_column), "_text": F.coalesce(F.col(text_column), F.lit(""))})
-    rows, size = content.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
-    rows_a_block, buckets = max(1, int(BLOCK_BYTES * rows / max(1, size))), max(1, -(-size // BLOCK_BYTES))
-    # Neighbouring rows of a split.
-    block = F.xxhash64("_file", "_split", F.floor(F.col("_row") / rows_a_block))
-    content = content.select(block.alias("block"), "_id", "_text")
-    answers = encoded_words(block_words(content, path, buckets), path)
+    size = content.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    buckets = max(1, -(-size // BLOCK_BYTES))
+    content = content.select(F.xxhash64("_file", "_split").alias("_where"), "_id", "_text")
+    # One shuffle holds words and texts; both that read it group by the same column, so it is made once.
+    dealt = numbered(content, path, buckets).repartition(buckets, "_to")
+    answers = encoded_words(dealt, path).repartition(buckets, "_to")
     # A piece for each identifier of the vocabulary; decoding joins them by identifier.
     pieces = spark.sparkContext.broadcast(codec(path).pieces())
     schema = T.StructType(
@@ -228,58 +238,50 @@ def encode_and_decode(docs: DataFrame, path: str, id_column: str = "doc_id", tex
         ]
     )
 
-    def look_up(parts, answers):
-        used, expand = codec(path), zstandard.ZstdDecompressor()
-        number: defaultdict[str, int] = defaultdict()
-        number.default_factory = number.__len__
-        codes: list[np.ndarray] = []
-        for lengths, texts in zip(parts.column("lengths").to_pylist(), parts.column("texts").to_pylist(), strict=True):
-            data, end = expand.decompress(texts), 0
-            for length in lengths:
-                text = data[end : end + length].decode()
-                codes.append(np.array([number[word] for word in used.words(text)], dtype=np.int32))
-                end += length
-        start, length, flat = _table(answers, number, buckets, used.id_type)
+    def look_up(parts: pa.Table, answers: pa.Table) -> pa.Table:
+        expand, parts = zstandard.ZstdDecompressor(), parts.filter(pc.is_null(parts.column("bucket")))
+        spans = _table(answers, max(parts.column("words").to_pylist(), default=0), codec(path).id_type)
         piece = dict(pieces.value)
         by_id = [piece.get(i, b"") for i in range(max(piece, default=-1) + 1)]
         all_ids, decoded = [], []
-        for at in codes:
-            n = length[at]
-            # Identifiers of the words one after another.
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = flat[np.repeat(start[at] - (ends - n), n) + np.arange(total)]
-            all_ids.append(ids)
-            decoded.append(b"".join([by_id[i] for i in ids.tolist()]).decode(errors="replace"))
+        for lengths, packed in zip(parts.column("lengths").to_pylist(), parts.column("codes").to_pylist(), strict=True):
+            planes = np.frombuffer(expand.decompress(packed), np.uint8).reshape(4, -1)
+            joined = np.ascontiguousarray(planes.T).view("<i4").ravel()
+            ends = np.cumsum(lengths).tolist()
+            for start, end in zip([0, *ends[:-1]], ends, strict=True):
+                ids = _listed(joined[start:end], spans)
+                all_ids.append(ids)
+                decoded.append(b"".join([by_id[i] for i in ids.tolist()]).decode(errors="replace"))
         offsets = pa.array(np.cumsum([0, *[len(ids) for ids in all_ids]]), pa.int32())
         values = pa.array(np.concatenate(all_ids) if all_ids else np.zeros(0, dtype=np.int32), pa.int32())
         own = parts.column("ids").combine_chunks().flatten()
         return pa.table([own, pa.ListArray.from_arrays(offsets, values), pa.array(decoded, pa.string())], names=schema.names)
 
-    both = squeezed(content).groupBy("block").cogroup(answers.groupBy("block"))
+    both = dealt.groupBy("_to").cogroup(answers.groupBy("_to"))
     return both.applyInArrow(look_up, schema).withColumnRenamed("_id", id_column)
 
 
-def _table(answers: pa.Table, number: dict[str, int], buckets: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _listed(at: np.ndarray, spans: Spans) -> np.ndarray:
+    """The stretches of identifiers with the numbers ``at``, one after another."""
+    start, length, flat = spans
+    n = length[at]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(start[at] - (ends - n), n) + np.arange(total)]
+
+
+def _table(answers: pa.Table, words: int, kind: str) -> Spans:
     """By the number of a word: where its identifiers start, how many they are; and all identifiers.
 
-    The words are dealt as they were when the block asked for them, so the answers need not repeat them.
+    Words are numbered bucket after bucket, so the answers in that order need not repeat them.
     """
-    dealt: dict[int, list[str]] = {}
-    for word in sorted(number):
-        dealt.setdefault(bucket_of(word, buckets), []).append(word)
-    start, length = np.zeros(len(number), dtype=np.int64), np.zeros(len(number), dtype=np.int64)
-    flat: list[np.ndarray] = []
-    before = 0
+    answers = answers.sort_by("bucket")
     counts, ids = answers.column("counts").combine_chunks(), answers.column("ids").combine_chunks()
-    for row, bucket in enumerate(answers.column("bucket").to_pylist()):
-        words, n = dealt.pop(bucket, []), counts[row].values.to_numpy()
-        if len(n) != len(words):
-            raise RuntimeError("a block was read in other splits the second time; its answers do not fit")
-        order = np.array([number[word] for word in words], dtype=np.int64)
-        length[order], start[order] = n, before + np.cumsum(n) - n
-        flat.append(ids[row].values.to_numpy().view(kind).astype(np.int32))
-        before += len(flat[-1])
-    if dealt:
-        raise RuntimeError("a block has words that it did not ask for")
-    return start, length, np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
+    length = counts.flatten().to_numpy().astype(np.int64)
+    if len(length) != words:
+        raise RuntimeError("a block has more or fewer answers than distinct words")
+    flat = ids.flatten().to_numpy().view(kind).astype(np.int32)
+    return np.cumsum(length) - length, length, flat
