@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
@@ -123,3 +124,14 @@ def test_stages_return_the_columns_of_documents(spark, awkward, nothing):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, FOLDER).columns == docs.columns
         corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count()
+
+
+def test_stages_keep_columns_of_any_name(spark, awkward):
+    named = ["kept", "N_words", "Removed_Words", "a.b", "longest_repeat", "_doc", "Base_Failed", "held_by", "_file", "Column_3"]
+    docs = awkward.toDF(*awkward.columns[:5], *named)
+    marked = docs.withColumn("kept", F.lit("mine"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, marked, FOLDER)
+        assert got.columns == docs.columns
+        assert {(row[5], *row[6:]) for row in got.collect()} == {("mine", *["extra"] * 9)}
+    corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count()
