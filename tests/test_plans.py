@@ -1,13 +1,14 @@
 """Whole stages: landing, unifying, cleaning, vectors, recommendations."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from trackweave import schemas
 from trackweave.plans import embed, ingest, recommend, transform
-from trackweave.sources import records, tables
+from trackweave.sources import arrays, records, tables
 from trackweave.streaming.landing import append_landed
 
 
@@ -46,12 +47,84 @@ def test_record_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "good.json").write_text(json.dumps([{"a": 1}, {"a": 2}], indent=1))
     (tmp_path / "in" / "bad.json").write_text("[{")
-    assert sorted(r.a for r in records.read_records(spark, folder, "a int").collect()) == [1, 2]
+    assert sorted(r.a for r in arrays.read_records(spark, folder, "a int").collect()) == [1, 2]
     listed = records.list_files(spark, folder, "*.json").collect()
     assert sorted(r.path.rsplit("/", 1)[1] for r in listed) == ["bad.json", "good.json"]
     assert sum(r.length for r in listed) > 0
 
 
+BAD_FILES = [
+    '[{', '[{"a":1}', '[{"a":1},{"a":2]', '{"a":1', '[{"a":1},,{"a":2}]', '{"a":1},{"a":2}', '{"a":1}]', '[{"a":"x"}]',
+    '[1,2]', '[{"a":1}] }', '}', '[{"a":1}, "a}"]', '[{"a":1}][{"a":1}]', '[{"a":{"b":1}]',
+]
+GOOD_FILES = {"": [], "  ": [], "[]": [], "[ ]\n": [], '{"a":1}\n': [1], '{"a":2}': [2], '[{"a":3}] ': [3], "[{}]": [None]}
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_array_files_over_splits(spark, tmp_path, small_splits):
+    """Strings full of braces, quotes and escapes, objects longer than a split, files of one line and of many."""
+    draw = random.Random(5)
+    marks = ["}", "{", '"', "\\", "[", ",", "a", "é", "\n", "汉", "]"]
+    rows = [
+        {"a": i, "s": "".join(draw.choices(marks, k=draw.randrange(60))), "o": {"x": [{"y": i}, {"y": 2}]}} for i in range(600)
+    ]
+    rows[50]["s"] = '}{"' * 4000
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "line.json").write_text(json.dumps(rows[:300], ensure_ascii=False))
+    (folder / "lines.json").write_text(json.dumps(rows[300:], indent=2))
+    for i, text in enumerate(BAD_FILES):
+        (folder / f"bad{i}.json").write_text(text)
+    read = arrays.read_records(spark, str(folder), "a long, s string, o struct<x: array<struct<y: int>>>")
+    assert read.columns == ["a", "s", "o"]
+    assert sorted((r.a, r.s, r.o.x[0].y) for r in read.collect()) == [(r["a"], r["s"], r["a"]) for r in rows]
+    assert arrays._pieces(spark, str(folder / "line.json")).rdd.getNumPartitions() > 4
+    # as many objects as the line-delimited form of the same rows
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(r) for r in rows))
+    assert records.read_lines(spark, str(tmp_path / "lines.json"), read.schema).exceptAll(read).isEmpty()
+
+
+def test_odd_array_files(spark, tmp_path):
+    for i, text in enumerate([*GOOD_FILES, *BAD_FILES]):
+        (tmp_path / f"{i}.json").write_text(text)
+    found = [r.a for r in arrays.read_records(spark, str(tmp_path), "a long").collect()]
+    assert sorted(found, key=str) == sorted(sum(GOOD_FILES.values(), []), key=str)
+
+
+def test_write_arrays(spark, tmp_path):
+    df = spark.createDataFrame([(k, None if k == 3 else "v") for k in range(25)] + [(None, "n")], "k long, v string")
+    arrays.write_arrays(df, str(tmp_path / "out"), "k", 10)
+    assert records.list_files(spark, str(tmp_path / "out"), "*.txt").count() == 4
+    assert arrays.read_records(spark, str(tmp_path / "out"), df.schema).exceptAll(df).isEmpty()
+    assert arrays.read_records(spark, str(tmp_path / "out"), df.schema).count() == 26
+
+
+def test_manifest(spark, tmp_path):
+    """Rows of noted files are not counted again; files of other writers are; replacing starts anew."""
+    path = str(tmp_path / "a b+c")
+    df = spark.range(10).withColumn("v", F.lit(1))
+    tables.append_table(df.repartition(3), path, noted=True)
+    tables.append_table(df.repartition(2), path, noted=True)
+    noted = spark.read.parquet(f"{path}/{tables.MANIFEST}")
+    assert noted.count() == 5 and noted.agg(F.sum("rows")).first()[0] == 20
+    assert tables._unnoted(spark, path).isEmpty() and tables.read_table(spark, path).count() == 20
+    df.withColumn("loaded_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
+    assert tables._unnoted(spark, path).count() == 1
+    info = tables.table_info(spark, path).first()
+    assert (info["rows"], info.files) == (30, 6)
+    tables.append_table(df.coalesce(1), path, noted=True)
+    assert spark.read.parquet(f"{path}/{tables.MANIFEST}").agg(F.sum("rows")).first()[0] == 40
+    tables.replace_table(df.limit(0), path)
+    info = tables.table_info(spark, path).first()
+    assert info["rows"] == 0 and info.columns == ["id", "v"]
+
+
 def test_tables(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(1, "a")], "id int, v string")

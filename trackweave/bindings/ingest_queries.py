@@ -13,7 +13,7 @@ from trackweave.operators import enrichment
 from trackweave.operators.ranking import take_quota, keep_first, top_n_per_group
 from trackweave.plans import ingest
 from trackweave.session import shared_dir
-from trackweave.sources import records, tables
+from trackweave.sources import arrays, records, tables
 
 # --- nested records -----------------------------------------------------------------------------
 
@@ -427,45 +427,50 @@ def ad_hoc_sql(spark, folder):
 @query(
     "record_files",
     """
-    SELECT r_name AS region, count(*) AS n_rows, string_agg(n_name, ',' ORDER BY n_nationkey) AS names, 1 AS n_files
-    FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
+    SELECT o_orderpriority AS priority, count(*) AS n_rows, round(sum(o_totalprice), 2) AS total,
+           sum(hash_of) AS keys, (SELECT count(DISTINCT o_orderkey // 5000) FROM orders) AS n_files
+    FROM (SELECT *, o_orderkey % 1009 AS hash_of FROM orders) GROUP BY o_orderpriority
     """,
 )
 def record_files(spark, folder):
-    """Nations written as one JSON array per region, listed, and read back."""
+    """Orders written as files of one JSON array each, listed, and read back."""
     base = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
-    nations = table(spark, folder, "nation").join(
-        table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    arrays.write_arrays(orders, base, "o_orderkey", keys_per_file=5000)
+    rows = arrays.read_records(spark, base, orders.schema)
+    n_files = records.list_files(spark, base, "*.txt").agg(F.count(F.lit(1))).scalar()
+    return rows.groupBy(F.col("o_orderpriority").alias("priority")).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.round(F.sum("o_totalprice"), 2).alias("total"),
+        F.sum(F.col("o_orderkey") % 1009).alias("keys"),
+        F.first(n_files).alias("n_files"),
     )
-    arrays = nations.groupBy("r_name").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "r_name"))).alias("value"))
-    arrays.repartition("r_name").write.partitionBy("r_name").text(base)
-    rows = records.read_records(spark, f"{base}/*", "n_nationkey int, n_name string, r_name string")
-    listed = records.list_files(spark, base, "*.txt").select(F.regexp_extract("path", "r_name=([^/]+)/", 1).alias("folder"))
-    files = listed.groupBy(F.url_decode("folder").alias("r_name")).agg(F.count(F.lit(1)).alias("n_files"))
-    ordered = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
-    found = rows.groupBy("r_name").agg(F.count(F.lit(1)).alias("n_rows"), ordered.alias("ordered"))
-    names = F.array_join(F.transform("ordered", lambda nation: nation["n_name"]), ",")
-    return found.join(files, "r_name").select(F.col("r_name").alias("region"), "n_rows", names.alias("names"), "n_files")
 
 
 @query(
     "table_by_name",
-    "SELECT count(*) AS rows, 1 AS files, 'o_orderkey,o_orderstatus' AS columns, count(*) AS read_back FROM orders",
+    """
+    SELECT 2 * count(*) AS rows, true AS all_listed, 'o_orderkey,o_orderstatus,loaded_at' AS columns, 2 * count(*) AS read_back,
+           2 * sum(o_orderkey) AS keys
+    FROM orders
+    """,
 )
 def table_by_name(spark, folder):
-    """A database created, a table saved in it by name, described and read back by name."""
+    """A database created, a table appended to twice by name, described by its manifest and read back by name."""
     database = f"landing_{uuid.uuid4().hex}"
     tables.create_database(spark, database)
     try:
         orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
-        tables.replace_table(orders.coalesce(1), f"{database}.orders")
-        info = tables.table_info(spark, f"{database}.orders").select("rows", "files", F.array_join("columns", ",").alias("columns"))
+        for _ in range(2):
+            tables.append_table(orders, f"{database}.orders", noted=True)
+        info = tables.table_info(spark, f"{database}.orders").first()
         again = tables.read_table(spark, f"{database}.orders", ["o_orderkey"])
-        found = info.first(), again.count()
+        lies = again.metadataColumn("_metadata")["file_path"]
+        found = again.agg(F.count(F.lit(1)), F.sum("o_orderkey"), F.count_distinct(lies)).first()
     finally:
         spark.sql(f"DROP DATABASE {database} CASCADE")
-    row = [(*found[0], found[1])]
-    return spark.createDataFrame(row, "rows long, files long, columns string, read_back long")
+    row = [(info["rows"], info["files"] >= found[2], ",".join(info["columns"]), found[0], found[1])]
+    return spark.createDataFrame(row, "rows long, all_listed boolean, columns string, read_back long, keys long")
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Landed JSON: nested catalogue records, record files and their listing."""
+"""Landed JSON: nested catalogue records, line-delimited record files and the listing of files; arrays are in ``arrays``."""
 
 from __future__ import annotations
 
@@ -75,22 +75,6 @@ def flatten_records(df: DataFrame, raw: str = "raw", source: str = "spotify") ->
     )
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of JSON files, one array or one object per line each; a bad file gives no rows."""
-    if isinstance(schema, str):
-        corrupt = f"{schema}, _corrupt_record string"
-    else:
-        corrupt = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-    rows = (
-        spark.read.schema(corrupt)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-    )
-    return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-
-
 def read_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Rows of line-delimited JSON, the splittable form that large landings should use."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
