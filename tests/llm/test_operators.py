@@ -210,6 +210,67 @@ def test_shards_up_to_a_size(spark):
     assert len(got) == 8 and got["s"].max() <= 50_500
 
 
+def plain_tree(rows, first, leaves, spans):
+    """Shards of (id, weight, tie, numbers) by the definition: sort, cut at the weighted median, recur."""
+    if leaves == 1 or not rows:
+        return {row[0]: first for row in rows}
+    widths = [(max(r[3][d] for r in rows) - min(r[3][d] for r in rows)) / s if s else 0 for d, s in enumerate(spans)]
+    widest = widths.index(max(widths))
+    rows = sorted(rows, key=lambda r: (r[3][widest], r[2]))
+    half, total, before, cut = leaves // 2, sum(r[1] for r in rows), 0, 0
+    for cut, row in enumerate(rows):
+        if before + row[1] >= total * half / leaves:
+            cut += 2 * (total * half / leaves - before) > row[1]
+            break
+        before += row[1]
+    return plain_tree(rows[:cut], first, half, spans) | plain_tree(rows[cut:], first + half, leaves - half, spans)
+
+
+@pytest.mark.parametrize("shards", [1, 7, 100])
+def test_shards_are_those_of_the_definition(spark, shards):
+    """Sources that share a long beginning, null metadata, fewer rows than shards in places, numbers beyond all bounds."""
+    rng = random.Random(shards)
+    number = [None, float("nan"), float("inf"), -5.5, *[rng.gauss(0, 9) for _ in range(20)]]
+    rows = [
+        (i, "z" * min(300, int(rng.expovariate(0.02))), rng.choice([None, "", *[f"domain/site{k:02}" for k in range(40)]]), rng.choice(number))
+        for i in range(150)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double").coalesce(1)
+    got = {r.doc_id: r["shard"] for r in sharding.kd_shards(docs, shards=shards, metadata=("source", "score", "doc_id")).collect()}
+    # Rows lie in one file in the order of their ids.
+    ties = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.xxhash64("doc_id", "text"), F.lit(0).cast("long"), "doc_id"), 11).alias("tie"))
+    tie = {r.doc_id: r.tie for r in ties.collect()}
+    names = sorted({r[2] for r in rows}, key=lambda name: (name is not None, name or ""))
+    lowest = min(r[3] for r in rows if r[3] is not None and r[3] == r[3])
+
+    def real(x):
+        return lowest - 1 if x is None or x != x else min(x, sharding.FAR)
+
+    plain = [(i, len(t) + 8, tie[i], (len(t), names.index(s), real(x), i)) for i, t, s, x in rows]
+    spans = [max(p[3][d] for p in plain) - min(p[3][d] for p in plain) for d in range(4)]
+    assert got == plain_tree(plain, 0, shards, spans)
+
+
+def test_ranks_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TRAVELLING_BYTES", 0)
+    values = [None, "", *[f"same beginning {k:04}" for k in range(500)]]
+    rows = [(v,) for v in values for _ in range(2)] + [("same beginning 0007",)] * 700
+    got = sharding.ranked(spark.createDataFrame(rows, "v string").repartition(5), "v", "rank", len(rows))
+    assert {(r.v, r["rank"]) for r in got.collect()} == {(v, float(i)) for i, v in enumerate(values)} and got.count() == len(rows)
+
+
+def test_many_shards_through_shuffles(spark, monkeypatch):
+    """Nodes that do not travel; a third of the rows are the same."""
+    monkeypatch.setattr(sharding, "TRAVELLING_NODES", 8)
+    docs = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "y" * 50).otherwise(F.concat(F.lit("y" * 45), F.lpad(F.col("id").cast("string"), 5, "0"))).alias("text"),
+        F.concat(F.lit("domain/site"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).cast("string")).alias("source"),
+    )
+    got = sharding.kd_shards(docs, shards=300).groupBy("shard").agg(F.sum("size").alias("s")).toPandas()
+    assert len(got) == 300 and got["s"].max() / got["s"].min() < 1.1
+
+
 # --- packing ------------------------------------------------------------------------------------
 
 

@@ -1,145 +1,162 @@
 """Sharding by a k-d tree over metadata: every node is cut at the weighted median of its widest dimension.
 
-The tree is grown level by level. All nodes of a level are measured by one aggregation and their medians are
-found together by narrowing: a histogram of ``BINS`` bins between the bounds of a node says which bin holds
-the median, and the next histogram looks into that bin. The driver sees ``BINS`` sums a node, whatever the size
-of the table; a cut is a number in an expression, so no row moves until the shards are numbered.
+The tree is grown level by level and stays in Spark. Rows carry the number of their node; all nodes of a level are
+measured by one aggregation, and their medians are found together by narrowing: histograms between the bounds of the
+nodes say which bin holds each median, and the next histograms look into these bins. What a pass knows is a
+table of a row per node, which meets the rows by broadcast up to a stated number of nodes and by a shuffle beyond. The
+driver sees how many nodes are open, whatever the size of table and tree.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import gapless, stored, utf8_bytes
+from trackweave.llm.common import gapless, join_hot, stored, utf8_bytes
 
-BINS = 1024
+# Bins of a node, and of a pass over all nodes.
+LEAST_BINS, MOST_BINS, PASS_BINS = 256, 8192, 1 << 20
 # A cut may miss its share of the node's bytes by this part of them.
 TOLERANCE = 1 / 5_000
-TIE_RANGE = float(1 << 53)
-MAX_PASSES = 12
-
-
-def text_number(value: Column) -> Column:
-    """A number that orders strings by their first six bytes."""
-    start = F.rpad(F.hex(F.substring(F.coalesce(value, F.lit("")).cast("binary"), 1, 6)), 12, "0")
-    return F.conv(start, 16, 10).cast("double")
-
-
-@dataclass
-class Node:
-    """A part of the table that becomes ``leaves`` shards from ``first`` on."""
-
-    first: int
-    leaves: int
-    dimension: int | None = None
-    cut: float | None = None
-    tie: float | None = None
-    left: Node | None = None
-    right: Node | None = None
-
-    def goes_left(self, dimensions: list[str]) -> Column:
-        value = F.col(dimensions[self.dimension])
-        here = value < self.cut
-        return here if self.tie is None else here | ((value == self.cut) & (F.col("_tie") < self.tie))
-
-    def place(self, dimensions: list[str], of_leaf) -> Column:
-        if self.left is None:
-            return F.lit(of_leaf(self))
-        return F.when(self.goes_left(dimensions), self.left.place(dimensions, of_leaf)).otherwise(
-            self.right.place(dimensions, of_leaf)
-        )
+TIE_RANGE = float((1 << 53) - 1)
+MAX_PASSES = 40
+# Rows of a hundred bytes or so that may travel to every task.
+TRAVELLING_NODES = 1 << 18
+TRAVELLING_BYTES = 8 << 20
+# Numbers beyond it count as this far out, so that widths are finite.
+FAR = 1e300
+
+STATE = ("_node", "_leaves", "dim", "total", "wanted", "before", "phase", "at", "low", "high", "inside", "open")
+
+
+def ranked(rows: DataFrame, text: str, output: str, total: int) -> DataFrame:
+    """``rows`` with ``output``: the rank of the string in ``text`` among the distinct ones by their bytes, null lowest."""
+    values = rows.groupBy(F.col(text).alias("_value")).agg(F.count(F.lit(1)).alias("_met"))
+    # Files follow one another in the order of the values, and so do the rows in each.
+    ordered = stored(values.orderBy(F.col("_value").asc_nulls_first()), "shard-values")
+    lies = ordered.metadataColumn("_metadata")
+    ordered = ordered.select("_value", "_met", lies["file_name"].alias("_file"), lies["row_index"].alias("_row"))
+    # A file per partition of the sort.
+    files = ordered.groupBy("_file").count()
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    numbered = ordered.join(F.broadcast(starts), "_file")
+    ranks = numbered.select(F.col("_value").alias(text), "_met", (F.col("_start") + F.col("_row")).cast("double").alias(output))
+    size, count = ordered.agg(F.sum(F.coalesce(F.octet_length("_value"), F.lit(0)) + 32), F.count(F.lit(1))).first()
+    if (size or 0) <= TRAVELLING_BYTES:
+        found = F.broadcast(ranks.select(F.col(text).alias("_value"), output))
+        return rows.join(found, rows[text].eqNullSafe(found["_value"]), "left").drop("_value")
+    return join_hot(rows, ranks, [text], "_met", total).drop("_met")
+
+
+def _met(rows: DataFrame, nodes: DataFrame, count: int, how: str) -> DataFrame:
+    return rows.join(F.broadcast(nodes) if count <= TRAVELLING_NODES else nodes, ["_node", "_leaves"], how)
+
+
+def _value(dimensions: list[str]) -> Column:
+    """The number of a row in the dimension ``dim``."""
+    value = F.col(dimensions[0])
+    for i, name in enumerate(dimensions[1:], 1):
+        value = F.when(F.col("dim") == i, F.col(name)).otherwise(value)
+    return value
+
+
+def _settled(state: DataFrame) -> DataFrame:
+    """``open`` nodes are looked at again. A median inside one value that weighs too much is sought among its ties."""
+    rough = F.col("inside") > F.greatest(F.lit(1.0), TOLERANCE * F.col("total"))
+    one = F.col("low") == F.col("high")
+    tied = (F.col("phase") == 0) & one & rough
+    changes = {
+        "at": F.when(tied, F.col("low")).otherwise(F.col("at")),
+        "open": rough & (~one | tied),
+        "phase": F.when(tied, 1).otherwise(F.col("phase")),
+        "low": F.when(tied, 0.0).otherwise(F.col("low")),
+        "high": F.when(tied, TIE_RANGE).otherwise(F.col("high")),
+    }
+    return state.withColumns(changes).select(*STATE)
+
+
+def _measured(rows: DataFrame, dimensions: list[str], spans: list[float]) -> DataFrame:
+    """A row per node of more than one leaf: its widest dimension and what the search for its median starts from."""
+    least = [F.min(name).alias(f"lo{i}") for i, name in enumerate(dimensions)]
+    most = [F.max(name).alias(f"hi{i}") for i, name in enumerate(dimensions)]
+    sizes = rows.filter("_leaves > 1").groupBy("_node", "_leaves").agg(F.sum("_weight").cast("double").alias("total"), *least, *most)
+    widths = F.array(*[(F.col(f"hi{i}") - F.col(f"lo{i}")) / span if span else F.lit(0.0) for i, span in enumerate(spans)])
+
+    def of_widest(bound: str) -> Column:
+        return F.element_at(F.array(*[F.col(f"{bound}{i}") for i in range(len(dimensions))]), F.col("dim") + 1)
+
+    # The first of equally wide ones.
+    sizes = sizes.withColumn("dim", (F.array_position(widths, F.array_max(widths)) - 1).cast("int"))
+    return sizes.select(
+        "_node",
+        "_leaves",
+        "dim",
+        "total",
+        (F.col("total") * F.floor(F.col("_leaves") / 2) / F.col("_leaves")).alias("wanted"),
+        F.lit(0.0).alias("before"),
+        F.lit(0).alias("phase"),
+        F.lit(0.0).alias("at"),
+        of_widest("lo").alias("low"),
+        of_widest("hi").alias("high"),
+        F.col("total").alias("inside"),
+    )
 
 
-def _chosen(nodes: list[Node], values: list) -> Column:
-    """``values[i]`` for the rows of open node i."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_node") + 1)
+def _narrowed(rows: DataFrame, state: DataFrame, open_nodes: int, dimensions: list[str]) -> DataFrame:
+    """``state`` after one more look into the bin that holds the median of each open node."""
+    bins = max(LEAST_BINS, min(MOST_BINS, PASS_BINS // open_nodes))
+    here = _met(rows, state.filter("open"), open_nodes, "inner").withColumn("_v", _value(dimensions))
+    here = here.filter((F.col("phase") == 0) | (F.col("_v") == F.col("at")))
+    here = here.withColumn("_x", F.when(F.col("phase") == 0, F.col("_v")).otherwise(F.col("_tie")))
+    here = here.filter(F.col("_x").between(F.col("low"), F.col("high")))
+    at = F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("low")) / ((F.col("high") - F.col("low")) / bins)).cast("int"))
+    found = here.groupBy("_node", "_leaves", at.alias("_bin")).agg(
+        F.sum("_weight").cast("double").alias("_inside"), F.min("_x").alias("_low"), F.max("_x").alias("_high")
+    )
+    up_to = F.sum("_inside").over(Window.partitionBy("_node").orderBy("_bin"))  # at most ``bins`` rows
+    found = found.withColumn("_up_to", up_to).join(state.filter("open"), ["_node", "_leaves"])
+    below = F.col("before") + F.col("_up_to") - F.col("_inside")
+    found = found.filter((below < F.col("wanted")) & (below + F.col("_inside") >= F.col("wanted")))
+    found = found.withColumns({"before": below, "inside": F.col("_inside"), "low": F.col("_low"), "high": F.col("_high")})
+    return state.filter("not open").unionByName(_settled(found.select(*STATE)))
 
 
-def _narrow(rows: DataFrame, nodes: list[Node], value: list[Column], low: list[float], high: list[float], wanted, total):
-    """Lower bounds of the bins in which the nodes reach their ``wanted`` weight.
+def grow(rows: DataFrame, dimensions: list[str], shards: int) -> DataFrame:
+    """``rows`` with ``_node``, the number of their shard from 0.
 
-    Each pass looks into one bin of the last; a node is ready when its bin weighs little or is one value.
-    ``low``: the bin's lower edge; ``high``: its upper edge (values below it); ``before``: the weight below ``low``.
+    ``rows`` have ``_weight``, ``_tie`` in [0, 2**53) and the numeric dimensions, none of them null.
     """
-    before = [0.0] * len(nodes)
-    inside = list(total)
-    for _ in range(MAX_PASSES):
-        open_ = [i for i in range(len(nodes)) if inside[i] > max(1, TOLERANCE * total[i]) and high[i] > math.nextafter(low[i], math.inf)]
-        if not open_:
-            break
-        chosen = value[0]
-        for i in range(1, len(nodes)):
-            chosen = F.when(F.col("_node") == i, value[i]).otherwise(chosen)
-        width = [(high[i] - low[i]) / BINS for i in range(len(nodes))]
-        width = [w if w > 0 else 1.0 for w in width]
-        looked = rows.filter(F.col("_node").isin(open_)).withColumn("_value", chosen)
-        looked = looked.filter((F.col("_value") >= _chosen(nodes, low)) & (F.col("_value") < _chosen(nodes, high)))
-        at = F.least(F.lit(BINS - 1), F.floor((F.col("_value") - _chosen(nodes, low)) / _chosen(nodes, width)).cast("int"))
-        bins = looked.groupBy("_node", at.alias("_bin")).agg(
-            F.sum("_weight").alias("w"), F.min("_value").alias("lo"), F.max("_value").alias("hi")
+    rows = rows.withColumns({"_node": F.lit(0), "_leaves": F.lit(shards)})
+    ends = rows.agg(*[F.max(name) - F.min(name) for name in dimensions]).first()
+    spans = [end or 0.0 for end in ends]
+    for _ in range(math.ceil(math.log2(shards))):
+        state = stored(_settled(_measured(rows, dimensions, spans)), "shard-nodes")
+        nodes = state.count()
+        for _ in range(MAX_PASSES):
+            open_nodes = state.filter("open").count()
+            if not open_nodes:
+                break
+            state = stored(_narrowed(rows, state, open_nodes, dimensions), "shard-nodes")
+        # The edge of the last bin that is nearer to the wanted weight.
+        with_bin = 2 * (F.col("wanted") - F.col("before")) > F.col("inside")
+
+        def below(x: Column, with_bin: Column = with_bin) -> Column:
+            return F.when(with_bin, x <= F.col("high")).otherwise(x < F.col("low"))
+
+        value, half = _value(dimensions), F.floor(F.col("_leaves") / 2).cast("int")
+        tied = (value < F.col("at")) | ((value == F.col("at")) & below(F.col("_tie")))
+        left = F.when(F.col("phase") == 0, below(value)).otherwise(tied)
+        kept = [c for c in rows.columns if c not in ("_node", "_leaves")]
+        placed = _met(rows, state, nodes, "left").select(
+            *kept,
+            F.when((F.col("_leaves") == 1) | left, F.col("_node")).otherwise(F.col("_node") + half).alias("_node"),
+            F.when(F.col("_leaves") == 1, 1).when(left, half).otherwise(F.col("_leaves") - half).alias("_leaves"),
         )
-        found: dict[int, list] = {i: [] for i in open_}
-        for row in bins.collect():  # BINS rows a node
-            found[row["_node"]].append((row["_bin"], row["w"], row["lo"], row["hi"]))
-        for i in open_:
-            for _bin, weight, lo, hi in sorted(found[i]):
-                if before[i] + weight >= wanted[i]:
-                    low[i], high[i], inside[i] = lo, math.nextafter(hi, math.inf), weight
-                    break
-                before[i] += weight
-    return low, high, before, inside
-
-
-def grow(rows: DataFrame, dimensions: list[str], shards: int) -> Node:
-    """The tree over ``rows`` with ``_weight``, ``_tie`` in [0, 2**53) and the numeric dimensions, none of them null."""
-    root = Node(0, shards)
-    level, spans = [root], None
-    while level := [node for node in level if node.leaves > 1]:
-        number = {id(node): i for i, node in enumerate(level)}
-        here = rows.withColumn("_node", root.place(dimensions, lambda node: number.get(id(node), -1)))
-        here = here.filter(F.col("_node") >= 0)
-        sizes = [F.min(d).alias(f"lo_{d}") for d in dimensions] + [F.max(d).alias(f"hi_{d}") for d in dimensions]
-        stats = {r["_node"]: r for r in here.groupBy("_node").agg(F.sum("_weight").alias("w"), *sizes).collect()}
-        if spans is None:
-            spans = [max(stats[0][f"hi_{d}"] - stats[0][f"lo_{d}"], 0.0) if stats else 0.0 for d in dimensions]
-        total, wanted, low, high, value = [], [], [], [], []
-        for i, node in enumerate(level):
-            r = stats.get(i)
-            widths = [(r[f"hi_{d}"] - r[f"lo_{d}"]) / s if r and s else 0.0 for d, s in zip(dimensions, spans, strict=True)]
-            node.dimension = max(range(len(dimensions)), key=lambda k: (widths[k], -k))
-            name = dimensions[node.dimension]
-            total.append(float(r["w"]) if r else 0.0)
-            wanted.append(total[i] * (node.leaves // 2) / node.leaves)
-            low.append(r[f"lo_{name}"] if r else 0.0)
-            high.append(math.nextafter(r[f"hi_{name}"], math.inf) if r else 0.0)
-            value.append(F.col(name))
-        low, high, before, inside = _narrow(here, level, value, low, high, wanted, total)
-        for i, node in enumerate(level):
-            # The edge of the last bin that is nearer to the wanted weight.
-            node.cut = high[i] if 2 * (wanted[i] - before[i]) > inside[i] else low[i]
-        # What lies in the last bin is cut by the tie, a hash: one value may hold any share of the rows.
-        single = [high[i] <= math.nextafter(low[i], math.inf) for i in range(len(level))]
-        rest = [max(0.0, wanted[i] - before[i]) for i in range(len(level))]
-        equal = F.lit(False)
-        for i in range(len(level)):
-            if single[i]:
-                equal = equal | ((F.col("_node") == i) & (value[i] == low[i]))
-        tied = here.filter(equal)
-        ties = [F.col("_tie")] * len(level)
-        weights = [inside[i] if single[i] else 0.0 for i in range(len(level))]
-        least, most = [0.0] * len(level), [TIE_RANGE] * len(level)
-        least, most, before, inside = _narrow(tied, level, ties, least, most, rest, weights)
-        for i, node in enumerate(level):
-            if single[i]:
-                node.cut, node.tie = low[i], most[i] if 2 * (rest[i] - before[i]) > inside[i] else least[i]
-            half = node.leaves // 2
-            node.left, node.right = Node(node.first, half), Node(node.first + half, node.leaves - half)
-        level = [child for node in level for child in (node.left, node.right)]
-    return root
+        rows = stored(placed, "shard-rows")
+    return rows
 
 
 def kd_shards(
@@ -155,17 +172,20 @@ def kd_shards(
     ``size`` is the UTF-8 length of the text plus 8; null texts count as empty. Shards hold near equal sums of it, each
     the rows of one box of the metadata, numbered by ``slot`` from 0 without gaps. Give the number of shards, or
     ``target_bytes``: then as many as keep shards at or under it. Metadata columns that the table lacks are left
-    out; the length of the text is a dimension too. Null metadata come before all others. Rows equal in the
-    metadata are split by a hash of id and text; repeated rows that share both stay together. An empty table gives no rows.
+    out; the length of the text is a dimension too. Null metadata come before all others. Rows equal in the metadata are
+    split by a hash of id, text and place in the table, so any number of copies can be split. Texts among the metadata are
+    ordered by their bytes, whatever they share; infinite numbers count as very large. An empty table gives no rows.
     """
     text = F.col(text_column)
-    dimensions = {"_length": utf8_bytes(text).cast("double")}
-    for name in metadata:
-        if name in docs.columns:
-            kind = docs.schema[name].dataType.simpleString()
-            plain = kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))
-            number = F.col(name).cast("double") if plain else text_number(F.col(name).cast("string"))
-            dimensions[f"_of_{name}"] = F.coalesce(F.nanvl(number, F.lit(-1.0)), F.lit(-1.0))
+    dimensions, texts = {"_length": utf8_bytes(text).cast("double")}, {}
+    for i, name in enumerate(m for m in metadata if m in docs.columns):
+        kind = docs.schema[name].dataType.simpleString()
+        if kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")):
+            number = F.col(name).cast("double")
+            number = F.when(F.isnan(number), None).when(number > FAR, FAR).when(number < -FAR, -FAR).otherwise(number)
+            dimensions[f"_of{i}"] = number
+        else:
+            texts[f"_of{i}"] = F.col(name).cast("string")
     content = F.coalesce(text, F.lit(""))
     rows = docs.select(
         F.col(id_column).alias("_id"),
@@ -173,17 +193,29 @@ def kd_shards(
         F.crc32(content.cast("binary")).alias("_crc"),
         F.xxhash64(F.col(id_column), content).alias("_hash"),
         *[value.alias(name) for name, value in dimensions.items()],
+        *[value.alias(f"{name}_text") for name, value in texts.items()],
     )
-    rows = stored(rows.withColumn("_tie", F.shiftrightunsigned("_hash", 11).cast("double")), "shard-rows")
-    count, weight = rows.agg(F.count(F.lit(1)), F.sum("_weight")).first()
+    rows = stored(rows, "shard-rows")
+    lies = rows.metadataColumn("_metadata")
+    # The task that wrote a row and its place there tell repeated rows apart.
+    place = F.split_part(lies["file_name"], F.lit("-"), F.lit(2)).cast("long"), lies["row_index"]
+    rows = rows.withColumn("_hash", F.xxhash64("_hash", *place))
+    rows = rows.withColumn("_tie", F.shiftrightunsigned("_hash", 11).cast("double"))
+    least = [F.min(name) for name in dimensions]
+    count, weight, *least = rows.agg(F.count(F.lit(1)), F.sum("_weight"), *least).first()
     if shards is None:
         if not target_bytes:
             raise ValueError("give shards or target_bytes")
         shards = max(1, math.ceil((weight or 0) / target_bytes))
-    names = list(dimensions)
-    tree = grow(rows, names, shards) if count else Node(0, 1)
-    placed = rows.withColumn("_shard", tree.place(names, lambda node: node.first).cast("int"))
-    placed = placed.select("_id", "_weight", "_crc", "_hash", "_shard")
+    rows = rows.fillna({name: (low or 0.0) - 1 for name, low in zip(dimensions, least, strict=True)})
+    for name in texts:
+        rows = ranked(rows, f"{name}_text", name, count).drop(f"{name}_text")
+    if texts and count:
+        rows = stored(rows, "shard-rows")
+    # In the order of ``metadata``, the length first.
+    names = ["_length", *sorted(name for name in rows.columns if name.startswith("_of"))]
+    placed = grow(rows, names, shards if count else 1)
+    placed = placed.select("_id", "_weight", "_crc", "_hash", F.col("_node").alias("_shard"))
     numbered = gapless(placed, "_shard", "_hash", ["_id", "_crc"], count, "slot")
     return numbered.select(
         F.col("_id").alias(id_column),
