@@ -137,9 +137,8 @@ def fit_forest(prints: DataFrame, count: int, distance: int, radius: int, leaf_r
     return [VantageTree.fit(values, mask, depth, seed) for seed, mask in enumerate(bit_parts(distance, radius))]
 
 
-def _near(left: np.ndarray, right: np.ndarray, distance: int, triangle: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within ``distance``, in blocks of a bounded matrix."""
-    rows, columns = [], []
+def _near(left: np.ndarray, right: np.ndarray, distance: int, triangle: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within ``distance``, a block of a bounded matrix at a time."""
     step = max(1, MATRIX // max(1, len(right)))
     for start in range(0, len(left), step):
         block = left[start : start + step]
@@ -147,22 +146,20 @@ def _near(left: np.ndarray, right: np.ndarray, distance: int, triangle: bool) ->
         r, c = np.nonzero(np.bitwise_count(block[:, None] ^ right[None, first:]) <= distance)
         r, c = r + start, c + first
         keep = c > r if triangle else slice(None)
-        rows.append(r[keep])
-        columns.append(c[keep])
-    return np.concatenate(rows or [np.empty(0, int)]), np.concatenate(columns or [np.empty(0, int)])
+        yield r[keep], c[keep]
 
 
-def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least index that each of n points reaches over the pairs."""
-    root = np.arange(n)
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root``, the least index that each point reaches, with the pairs added to what joins points."""
     while True:
-        least = root.copy()
-        np.minimum.at(least, a, root[b])
-        np.minimum.at(least, b, root[a])
-        least = least[least]
-        if (least == root).all():
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        if not len(a):
             return root
-        root = least
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
 
 
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -201,34 +198,28 @@ def links(prints: DataFrame, count: int, distance: int = DISTANCE, radius: int =
         own, block = table.column("own").to_numpy(), table.column("block").to_numpy()
         low, high = key[2].as_py(), key[3].as_py()
         index = np.arange(len(values))
-        pairs = []
         if low == high:
             mine, visiting = index[own], index[~own]
-            r, c = _near(values[mine], values[mine], distance, True)
-            pairs.append((mine[r], mine[c]))
-            r, c = _near(values[mine], values[visiting], distance, False)
-            pairs.append((mine[r], visiting[c]))
+            meetings = [(mine, mine, True), (mine, visiting, False)]
         else:
-            for side in (low, high):
-                # Own rows meet everything of the other block once, and its visitors from either side.
-                left, right = index[own & (block == side)], index[(block != side) & (~own | (side == low))]
-                r, c = _near(values[left], values[right], distance, False)
-                pairs.append((left[r], right[c]))
-        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        root = _stars(len(values), a, b)
+            # Own rows meet everything of the other block once, and its visitors from either side.
+            meetings = [(index[own & (block == side)], index[(block != side) & (~own | (side == low))], False) for side in (low, high)]
+        root = index.copy()
+        for left, right, triangle in meetings:
+            for r, c in _near(values[left], values[right], distance, triangle):
+                root = _join(root, left[r], right[c])
         moved = np.flatnonzero(root != index)
         ends = values[moved].view(np.int64), values[root[moved]].view(np.int64)
         return pa.table([pa.array(ends[0]), pa.array(ends[1])], names=["a", "b"])
 
     dealt = prints.select("_print").mapInArrow(deal, dealt_schema)
     # What a shard holds is counted by dealing once more, which is cheaper than keeping the copies.
-    large = dealt.groupBy("tree", "leaf").count().filter(F.col("count") > cell_rows).collect()  # at most a row a leaf
-    cuts = F.lit(1)
-    for row in large:
-        here = (F.col("tree") == row["tree"]) & (F.col("leaf") == row["leaf"])
-        cuts = F.when(here, math.ceil(2 * row["count"] / cell_rows)).otherwise(cuts)
-    blocks = dealt.withColumn("_cuts", cuts).withColumn("block", F.pmod(F.xxhash64("_print"), F.col("_cuts")).cast("int"))
-    partner = F.explode(F.sequence(F.lit(0), F.col("_cuts").cast("int") - 1)).alias("_other")
+    large = dealt.groupBy("tree", "leaf").count().filter(F.col("count") > cell_rows)
+    cuts = stored(large.select("tree", "leaf", F.ceil(2 * F.col("count") / cell_rows).cast("int").alias("_of_leaf")), "cuts")
+    # A row for a leaf at most, of which there are ``2 ** MAX_DEPTH`` a tree.
+    known = dealt.join(F.broadcast(cuts), ["tree", "leaf"], "left").withColumn("_cuts", F.coalesce("_of_leaf", F.lit(1)))
+    blocks = known.withColumn("block", F.pmod(F.xxhash64("_print"), F.col("_cuts")).cast("int"))
+    partner = F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)).alias("_other")
     cells = blocks.select("tree", "leaf", "own", "_print", "block", partner)
     cells = cells.withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other")).drop("_other")
     return cells.groupBy("tree", "leaf", "low", "high").applyInArrow(compare, LINK)
