@@ -2,7 +2,8 @@
 
 A gear hash rolls over the bytes; at the end of every word it sums up the last ``WINDOW`` bytes. A chunk ends at the
 word whose hash is the largest within ``REACH`` words on either side, so borders depend on the nearby text only
-and an insertion moves none but those next to it. Chunks are deduplicated by digest: each stays in the document with
+and an insertion moves none but those next to it. Tokens of more than ``LONG_TOKEN`` bytes, such as passages in scripts
+without spaces, are words of their own about every ``PIECE`` characters, where the hash says so. Chunks are deduplicated by digest: each stays in the document with
 the smallest id that holds it. Elsewhere it goes, but only in runs of repeated chunks that are long enough
 to be a passage and not a common phrase.
 """
@@ -24,6 +25,8 @@ from trackweave.session import ship_package
 WINDOW = 16
 REACH = 3
 MIN_WORDS = 20
+LONG_TOKEN = 64
+PIECE = 8
 FILTER_BITS = 27
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 IS_WHITE = np.zeros(256, dtype=bool)
@@ -41,15 +44,34 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return total
 
 
+def word_ends(array: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which bytes are the last of a word, or in a long token of a character whose hash makes it the last of a piece."""
+    white = IS_WHITE[array]
+    ends = ~white & np.append(white[1:], True)
+    first = np.flatnonzero(~white & np.insert(white[:-1], 0, True))
+    last = np.flatnonzero(ends)
+    long = last - first >= LONG_TOKEN
+    if long.any():
+        border = np.zeros(len(array), dtype=np.int8)
+        border[first[long]], border[last[long]] = 1, -1
+        inside = np.cumsum(border, dtype=np.int8).view(bool)
+        whole = np.append(array[1:] & 0xC0 != 0x80, True)
+        # Bits from the middle, which the largest value does not depend on.
+        ends |= inside & whole & ((value >> np.uint32(16)) % np.uint32(PIECE) == 0)
+    return np.flatnonzero(ends)
+
+
 def chunk_ends(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets where the chunks of a text end, and the number of words in each; none without words."""
     array = np.frombuffer(data, dtype=np.uint8)
-    white = IS_WHITE[array]
-    last = np.flatnonzero(~white & np.append(white[1:], True))
+    if not len(array):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    # Spread over all bits, since the newest byte alone decides the lowest.
+    value = gear_hashes(array) * np.uint32(2654435761)
+    last = word_ends(array, value)
     if not len(last):
         return last, last
-    # Spread over all bits, since the newest byte alone decides the lowest.
-    value = gear_hashes(array)[last] * np.uint32(2654435761)
+    value = value[last]
     cut = np.ones(len(value), dtype=bool)
     for step in range(1, REACH + 1):
         cut[step:] &= value[step:] > value[:-step]
@@ -133,6 +155,7 @@ def _marks(rows: DataFrame) -> DataFrame:
             )
 
     found = stored(rows.select("_id", "_key", "_text").mapInArrow(run, schema), "chunks")
+    bits.unpersist()
     held = found.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("holder"))
     met = join_hot(found, held.filter("n > 1"), ["high", "low"], "n", found.count(), "inner")
     gone = met.filter(~(F.col("_id").eqNullSafe(F.col("holder")) & F.col("first")))
@@ -170,6 +193,7 @@ def without_repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_c
 
     A passage of ``MIN_WORDS`` or more words in whole chunks that other documents hold too stays in the one with the smallest
     id; ``held_by`` lists the ids of those that keep what was cut here, spans are UTF-8 byte offsets in the whole text.
+    A token of more than ``LONG_TOKEN`` bytes counts a word for each of its pieces, and is cut between characters.
     Passages repeated inside a text stay once. Rows with the same id count as one document; a null id is larger than all
     others, and rows with null ids count as one. A null text stays null and an empty one empty; an empty table gives
     no rows. Columns of the three names are replaced.
