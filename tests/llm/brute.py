@@ -151,3 +151,34 @@ def perplexity(training, text, codes, order=5, n_codes=4096):
     s = pad(text)
     logs = [np.log(p(tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s))]
     return float(np.exp(-np.mean(logs))) if logs else None
+
+
+def chunk_ends(text):
+    """(end in bytes, words) of the chunks of a text, byte by byte."""
+    from trackweave.llm import substring_dedup as sd
+
+    data, blank = text.encode(), b" \t\n\x0b\x0c\r"
+
+    def value(at):
+        near = data[max(0, at - sd.WINDOW + 1) : at + 1]
+        total = sum(int(sd.GEAR[byte]) << (len(near) - 1 - i) for i, byte in enumerate(near))
+        return total * 2654435761 % 2**32
+
+    ends, start = [], None
+    for at, byte in enumerate([*data, 32]):
+        if byte not in blank:
+            start = at if start is None else start
+        elif start is not None:
+            if at - start > sd.LONG_TOKEN:
+                of_character = [i for i in range(start, at - 1) if data[i + 1] >> 6 != 2]
+                ends += [i for i in of_character if (value(i) >> 16) % sd.PIECE == 0]
+            ends.append(at - 1)
+            start = None
+    values, chunks, words = [value(end) for end in ends], [], 0
+    for i, end in enumerate(ends):
+        words += 1
+        before, after = values[max(0, i - sd.REACH) : i], values[i + 1 : i + 1 + sd.REACH]
+        if i == len(ends) - 1 or (all(values[i] > v for v in before) and all(values[i] >= v for v in after)):
+            chunks.append((end + 1, words))
+            words = 0
+    return chunks

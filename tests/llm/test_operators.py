@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -320,6 +321,24 @@ def test_repetition_equals_brute_force(monkeypatch):
         assert rows == [brute.repetition(t, 4) for t in texts]
 
 
+def test_words_are_numbered_piece_by_piece(monkeypatch):
+    text = "a b\na  cc d\x0b" * 50 + "long" * 30 + "\t"
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(quality_rules, "PIECE_BYTES", size)
+        names = {}
+        assert quality_rules.word_numbers(text.encode()).tolist() == [names.setdefault(w, len(names)) for w in text.split()]
+
+
+def test_long_text_of_one_word_in_bounded_memory():
+    n = 300_000
+    tracemalloc.start()
+    found = quality_rules.measure(["word " * n], 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["n_repeat_words"] == found["n_covered_words"] == [n] and found["longest_repeat"] == [n - 1]
+    assert peak < 100 * n
+
+
 def test_quality_rules(awkward, nothing):
     judged = quality_rules.judged(awkward)
     assert set(awkward.columns) < set(judged.columns) and judged.count() == len(ROWS)
@@ -374,6 +393,35 @@ def test_links_equal_brute_force(spark, leaf_rows, cell_rows):
     assert groups([of[p] for p in signed]) == groups([find(i) for i in range(len(prints))])
 
 
+def test_many_leaves_are_cut(spark):
+    rng = random.Random(14)
+    prints = [rng.getrandbits(64) for _ in range(3000)]
+    near = {p: p ^ sum(1 << b for b in rng.sample(range(64), 4)) for p in prints[:40]}
+    signed = {p: int(np.uint64(p).view(np.int64)) for p in [*prints, *near.values()]}
+    nodes = spark.createDataFrame([(p,) for p in signed.values()], "_print long")
+    # Some thousand leaves, most of them larger than a cell.
+    found = simhash.links(nodes, len(signed), leaf_rows=1, cell_rows=8).collect()
+    pairs = {frozenset((r.a, r.b)) for r in found}
+    assert pairs == {frozenset((signed[a], signed[b])) for a, b in near.items()}
+
+
+def test_pairs_are_folded_block_by_block(monkeypatch):
+    rng = np.random.default_rng(15)
+    values = rng.integers(0, 1 << 9, 200, dtype=np.uint64)
+    for matrix in (1, 1000, 1 << 21):
+        monkeypatch.setattr(simhash, "MATRIX", matrix)
+        root = np.arange(len(values))
+        blocks = list(simhash._near(values, values, 1, True))
+        for a, b in blocks:
+            root = simhash._join(root, a, b)
+        seen = np.arange(len(values))
+        linked = np.bitwise_count(values[:, None] ^ values[None, :]) <= 1
+        for _ in range(len(values)):
+            seen = np.where(linked, seen[None, :], len(values)).min(axis=1)
+        assert root.tolist() == seen.tolist()
+        assert sum(len(a) for a, _ in blocks) == (linked.sum() - len(values)) // 2
+
+
 def test_one_row_of_a_component_stays_whatever_its_id(spark):
     rng = random.Random(31)
     a, b, c, other = (prose(rng, 60) for _ in range(4))
@@ -405,6 +453,34 @@ def test_chunks_cover_the_text_and_resist_shifts():
     assert len(substring_dedup.chunks(None)[1]) == len(substring_dedup.chunks(" \n")[1]) == 0
 
 
+def unspaced(rng, n):
+    """Characters of three bytes without a space, as in Chinese."""
+    return "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+
+
+def test_chunks_equal_those_of_a_plain_chunker():
+    rng = random.Random(12)
+    texts = [t for _, t in ROWS if t and len(t) < 20_000]
+    texts += [unspaced(rng, n) for n in (20, 21, 22, 300)] + ["a" * 64, "a" * 65, "ab" * 200, " " + unspaced(rng, 90) + "\n"]
+    texts += [f"{prose(rng, 30)} {unspaced(rng, 200)} {prose(rng, 9)}{unspaced(rng, 50)}", "".join(rng.choice("abcdé") for _ in range(900))]
+    for text in texts:
+        ends, words = substring_dedup.chunk_ends(text.encode())
+        assert list(zip(ends.tolist(), words.tolist(), strict=True)) == brute.chunk_ends(text)
+
+
+def test_passages_without_spaces_go(spark):
+    rng = random.Random(13)
+    passage, own = unspaced(rng, 600), [unspaced(rng, 250) for _ in range(6)]
+    rows = [(i, own[i] + passage + unspaced(rng, 40 + i)) for i in range(5)] + [(5, own[5])]
+    got = {r.doc_id: r for r in substring_dedup.without_repeated_passages(frame(spark, rows)).collect()}
+    assert got[0].text == rows[0][1] and got[5].text == own[5]
+    for i in range(1, 5):
+        assert got[i].held_by == [0] and got[i].removed_words >= 40
+        # The passage but for its edges is gone, and what was before it stays.
+        assert passage[100:500] not in got[i].text and len(got[i].text) <= len(rows[i][1]) - 450
+        assert got[i].text.startswith(own[i][:200])
+
+
 def brute_passages(rows):
     """(doc_id, removed words) per row, rows with one id counting as one document."""
     rank = lambda i: (i is None, i or 0)

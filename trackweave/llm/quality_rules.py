@@ -2,12 +2,14 @@
 
 The words of many documents share one suffix array: every word number carries its document, so suffixes of one
 document stand together and no repeat crosses a border. The array comes from prefix doubling, and the longest
-common prefix of neighbours from the ranks of the doublings. A suffix lies in the LCP interval of the
+common prefix of neighbours from the ranks of every third doubling. A suffix lies in the LCP interval of the
 larger of its two neighbours' values: that is the longest maximal repeat starting there.
 """
 
 from __future__ import annotations
 
+import io
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +26,10 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 # Words handled by one suffix array; a longer document has one of its own.
 BATCH_WORDS = 250_000
+# Bytes of a text that are cut into words at a time; doublings from one kept rank to the next.
+PIECE_BYTES = 1 << 20
+KEPT_EVERY = 3
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 @dataclass(frozen=True)
@@ -44,71 +50,89 @@ COLUMNS = T.StructType(
 )
 
 
+def word_numbers(data: bytes) -> np.ndarray:
+    """A number for each word of a text, the same for equal words; the words of one piece are held at a time."""
+    number: dict[bytes, int] = {}
+    parts, start = [np.zeros(0, dtype=np.int32)], 0
+    while start < len(data):
+        blank = BLANK.search(data, start + PIECE_BYTES)
+        stop = blank.start() if blank else len(data)
+        words = data[start:stop].split()
+        parts.append(np.fromiter((number.setdefault(word, len(number)) for word in words), dtype=np.int32, count=len(words)))
+        start = stop
+    return np.concatenate(parts)
+
+
 def doubled_ranks(keys: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array of ``keys`` and, for k = 0, 1, ..., ranks equal where 2**k words are equal within a document.
+    """Suffix array of ``keys`` and, for k = 0, ``KEPT_EVERY``, ..., ranks equal where 2**k words are equal within a document.
 
-    A sequence that a document's end cuts off equals no other.
+    A sequence that a document's end cuts off equals no other. Ranks of every third doubling are kept, in four bytes.
     """
     n = len(keys)
-    _, rank = np.unique(keys, return_inverse=True)
-    rank = rank.astype(np.int64)
-    levels, step = [rank], 1
-    end = np.searchsorted(document, document, side="right")
-    at = np.arange(n)
+    rank = np.unique(keys, return_inverse=True)[1].astype(np.int32)
+    del keys
+    levels, step, doublings = [rank], 1, 0
+    end = np.searchsorted(document, document, side="right").astype(np.int32)
     while True:
-        follows = at + step < end
-        second = np.zeros(n, dtype=np.int64)
-        second[follows] = rank[at[follows] + step] + 1
-        pair = rank * (n + 1) + second
-        order = np.argsort(pair, kind="stable")
-        ordered = pair[order]
+        # Where two sequences of the length so far follow each other; those that do not are the last of a document.
+        follows = np.arange(step, n + step, dtype=np.int32) < end
+        pair = rank.astype(np.int64) * (n + 1)
+        at = np.flatnonzero(follows)
+        pair[at] += rank[at + step] + 1
+        del at
+        order = np.argsort(pair, kind="stable").astype(np.int32)
+        pair = pair[order]
         fresh = np.ones(n, dtype=bool)
         # Cut-off sequences are told apart; the first in the text sorts first.
-        fresh[1:] = (ordered[1:] != ordered[:-1]) | ~follows[order][1:]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(fresh) - 1
-        levels.append(rank)
-        step *= 2
+        fresh[1:] = (pair[1:] != pair[:-1]) | ~follows[order][1:]
+        del pair
+        rank = np.empty(n, dtype=np.int32)
+        rank[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        step, doublings = 2 * step, doublings + 1
+        if doublings % KEPT_EVERY == 0:
+            levels.append(rank)
         if fresh.all():
             return order, levels
 
 
 def neighbour_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     """Longest common prefix, in words, of each suffix with the one before it in the suffix array."""
-    left, right = order[:-1].copy(), order[1:].copy()
-    length = np.zeros(len(left), dtype=np.int64)
     n = len(order)
-    for k in range(len(levels) - 1, -1, -1):
-        inside = (left < n) & (right < n)
-        same = np.zeros(len(left), dtype=bool)
-        same[inside] = levels[k][left[inside]] == levels[k][right[inside]]
-        length[same] += 1 << k
-        left[same] += 1 << k
-        right[same] += 1 << k
-    return np.concatenate([[0], length])
+    length = np.zeros(n, dtype=np.int32)
+    for number in range(len(levels) - 1, -1, -1):
+        words, level = 1 << (number * KEPT_EVERY), levels[number]
+        # Pairs whose prefix may be longer yet; each level extends one as often as those above it left room for.
+        open_pairs = np.arange(1, n, dtype=np.int32)
+        while len(open_pairs):
+            left, right = order[open_pairs - 1] + length[open_pairs], order[open_pairs] + length[open_pairs]
+            inside = np.maximum(left, right) < n
+            open_pairs, left, right = open_pairs[inside], left[inside], right[inside]
+            open_pairs = open_pairs[level[left] == level[right]]
+            length[open_pairs] += words
+    return length
 
 
 def _covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     """Which of n words lie in the union of the spans."""
-    edges = np.zeros(n + 1, dtype=np.int64)
+    edges = np.zeros(n + 1, dtype=np.int32)
     np.add.at(edges, starts, 1)
     np.add.at(edges, starts + lengths, -1)
     return np.cumsum(edges[:-1]) > 0
 
 
-def repetition(words: list[bytes], counts: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per document: words in repeated windows, words covered by maximal repeats, longest repeat."""
-    documents = len(counts)
-    n = len(words)
+def repetition(numbers: list[np.ndarray], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document, given as its word numbers: words in repeated windows, words covered by maximal repeats, longest repeat."""
+    documents, counts = len(numbers), [len(own) for own in numbers]
+    n = sum(counts)
     if not n:
         zero = np.zeros(documents, dtype=np.int64)
         return zero, zero, zero
-    document = np.repeat(np.arange(documents), counts)
-    number = pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    order, levels = doubled_ranks(document * (n + 1) + number, document)
+    document = np.repeat(np.arange(documents, dtype=np.int32), counts)
+    order, levels = doubled_ranks(document.astype(np.int64) * (n + 1) + np.concatenate(numbers), document)
     neighbour = neighbour_prefixes(order, levels)
-    repeat = np.zeros(n, dtype=np.int64)
-    repeat[order] = np.maximum(neighbour, np.append(neighbour[1:], 0))
+    del levels
+    repeat = np.zeros(n, dtype=np.int32)
+    repeat[order] = np.maximum(neighbour, np.append(neighbour[1:], np.int32(0)))
     windows = np.flatnonzero(repeat >= WINDOW)
     maximal = np.flatnonzero(repeat >= min_words)
 
@@ -125,27 +149,31 @@ def repetition(words: list[bytes], counts: list[int], min_words: int) -> tuple[n
 def measure(texts: list[str | None], min_words: int) -> dict[str, list[int]]:
     """The columns of ``COLUMNS`` for each text."""
     out: dict[str, list[int]] = {name: [] for name in COLUMNS.names}
-    words: list[bytes] = []
-    counts: list[int] = []
+    numbers: list[np.ndarray] = []
+    waiting = 0
 
     def flush() -> None:
-        for name, values in zip(("n_repeat_words", "n_covered_words", "longest_repeat"), repetition(words, counts, min_words), strict=True):
+        for name, values in zip(("n_repeat_words", "n_covered_words", "longest_repeat"), repetition(numbers, min_words), strict=True):
             out[name].extend(values.tolist())
-        words.clear()
-        counts.clear()
+        numbers.clear()
 
     for text in texts:
         data = (text or "").encode()
-        own = data.split()
-        lines = [line for line in data.split(b"\n") if line.strip()]
+        own = word_numbers(data)
+        lines, different = 0, set()
+        for line in io.BytesIO(data):
+            if line.strip():
+                lines += 1
+                different.add(line.removesuffix(b"\n"))
         out["n_words"].append(len(own))
         out["word_chars"].append(len(text or "") - (len(data) - len(data.translate(None, WHITE))))
         out["n_symbols"].append(len(data) - len(data.translate(None, SYMBOLS)))
-        out["n_dup_lines"].append(len(lines) - len(set(lines)))
-        if words and len(words) + len(own) > BATCH_WORDS:
+        out["n_dup_lines"].append(lines - len(different))
+        if numbers and waiting + len(own) > BATCH_WORDS:
             flush()
-        words.extend(own)
-        counts.append(len(own))
+            waiting = 0
+        numbers.append(own)
+        waiting += len(own)
     flush()
     return out
 
