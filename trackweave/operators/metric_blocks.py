@@ -28,7 +28,12 @@ SAMPLE_PER_CENTRE = 16
 SAMPLE_BYTES = 32 << 20
 ROUNDS = 4
 # Query by item pairs from which looking for balls to skip pays for the jobs it takes; both ways give the same rows.
-WORTH_PAIRS = 4_000_000_000
+WORTH_PAIRS = 40_000_000_000
+# Sample points that try the balls, and the share of the sample in reach from which none of them is filled.
+TRIALS = 256
+HOPELESS = 0.8
+# Distances or bounds of points to centres held at once inside a task, each in a few copies of 8 MB.
+TILE_ENTRIES = 1 << 20
 # Scores are rounded to twelve digits; a bound has to miss them by more.
 SCORE_SLACK = 2e-12
 
@@ -45,6 +50,16 @@ def as_matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
+def floor_of(metric: str, scores: np.ndarray) -> np.ndarray:
+    """What a bound must reach to matter beside a k-th score; scores that are no numbers rule nothing out."""
+    scores = np.where(np.isnan(scores), -np.inf, scores)
+    slack = scores - SCORE_SLACK * np.maximum(1.0, np.abs(scores))
+    if metric != "euclidean":
+        return slack
+    with np.errstate(divide="ignore"):
+        return np.where(slack > 0, -np.square(1 / np.maximum(slack, 1e-300) - 1), -np.inf)
+
+
 class Balls:
     """Centres with the radius and number of the items around them; at most ``CENTRES``, so they travel to the tasks."""
 
@@ -66,7 +81,7 @@ class Balls:
     def place(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nearest centre (one that has items, once they are counted) and the exact distance to it."""
         nearest = np.empty(len(points), np.int32)
-        step = max(1, 4_000_000 // len(self.centres))
+        step = max(1, TILE_ENTRIES // len(self.centres))
         for start in range(0, len(points), step):
             squared = self.squared_distances(points[start : start + step])
             if self.counts is not None:
@@ -90,13 +105,7 @@ class Balls:
         return 1 - least / 2 if self.metric == "cosine" else -least
 
     def floor_of(self, scores: np.ndarray) -> np.ndarray:
-        """What a bound must reach to matter beside a k-th score; scores that are no numbers rule nothing out."""
-        scores = np.where(np.isnan(scores), -np.inf, scores)
-        slack = scores - SCORE_SLACK * np.maximum(1.0, np.abs(scores))
-        if self.metric != "euclidean":
-            return slack
-        with np.errstate(divide="ignore"):
-            return np.where(slack > 0, -np.square(1 / np.maximum(slack, 1e-300) - 1), -np.inf)
+        return floor_of(self.metric, scores)
 
 
 def fit_centres(
@@ -128,6 +137,27 @@ def fit_centres(
     return balls, kept
 
 
+def nothing_to_skip(balls: Balls, points: np.ndarray) -> bool:
+    """Whether hardly a ball is out of reach of some of the sample points, although the balls are taken no wider than the sample says
+    and only the best score in it counts. Then placing all rows would not pay. A ball counts by its points."""
+    trials = points[np.random.default_rng(3).permutation(len(points))[:TRIALS]]
+    if len(points) < 2:
+        return False
+    guess = Balls(balls.metric, balls.centres)
+    nearest, away = guess.place(points)
+    guess.radii = np.zeros(len(balls.centres))
+    np.maximum.at(guess.radii, nearest, away)
+    product = trials @ points.T
+    if balls.metric == "euclidean":
+        squares = np.einsum("ij,ij->i", points, points)
+        apart = np.einsum("ij,ij->i", trials, trials)[:, None] + squares[None, :] - 2 * product
+        product = 1 / (1 + np.sqrt(np.maximum(0.0, apart)))
+    # The best may be the point itself.
+    second = np.partition(product, len(points) - 2, axis=1)[:, len(points) - 2]
+    within = (guess.highest(trials) >= guess.floor_of(second)[:, None]).mean(axis=0)
+    return bool(np.average(within, weights=np.bincount(nearest, minlength=len(within))) > HOPELESS)
+
+
 def placed(rows: DataFrame, balls: Balls) -> DataFrame:
     """``rows`` with ``_centre`` and the distance to it, ``_away``."""
     schema = T.StructType([*rows.schema, T.StructField("_centre", T.IntegerType()), T.StructField("_away", T.DoubleType())])
@@ -141,6 +171,17 @@ def placed(rows: DataFrame, balls: Balls) -> DataFrame:
     return rows.mapInArrow(place, schema)
 
 
+def in_reach(balls: Balls, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The rows, few at a time, with what they must reach by ``_floor`` and whether each ball that has items is in reach."""
+    live = np.flatnonzero(balls.counts)
+    step = max(1, TILE_ENTRIES // max(1, len(balls.centres)))
+    for start in range(0, batch.num_rows, step):
+        piece = batch.slice(start, step)
+        floor = balls.floor_of(piece.column("_floor").to_numpy(zero_copy_only=False).astype(np.float64))
+        # A bound that is no number rules nothing out.
+        yield piece, floor, ~(balls.highest(balls.points(piece.column("_vector")))[:, live] < floor[:, None])
+
+
 def count_balls(balls: Balls, items: DataFrame, block_rows: int) -> DataFrame:
     """Fill in radii and counts, a row a ball on the driver, and list the blocks."""
     stats = items.groupBy("_centre").agg(F.count(F.lit(1)), F.max("_away")).collect()
@@ -184,7 +225,9 @@ def nearest_in_balls(
     fitted = fit_centres(items, search.metric, n_items, min(CENTRES, max(1, math.ceil(n_items / min(CENTRE_ROWS, block_rows)))))
     if fitted is None:
         return None
-    balls, _ = fitted
+    balls, points = fitted
+    if nothing_to_skip(balls, points):
+        return None
     items = materialize(placed(items, balls))
     parts = count_balls(balls, items, block_rows)
     spread = F.col("_first") + F.pmod(F.xxhash64(item_id, F.spark_partition_id()), F.col("_parts"))
@@ -205,35 +248,36 @@ def nearest_in_balls(
     aware = numbered.join(floors, F.col(query_id) == F.col("_of"), "left").drop("_of")
     aware = aware.withColumnRenamed("_block", "_home")
     names = aware.columns
+    live = np.flatnonzero(balls.counts)
+    n_parts = -(-balls.counts // block_rows)
     out = T.StructType([*aware.schema, T.StructField("_balls", T.ArrayType(T.IntegerType()))])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # All blocks in reach but the home block.
+        copies = sum(int((inside @ n_parts[live]).sum()) - piece.num_rows for batch in batches for piece, _, inside in in_reach(balls, batch))
+        yield pa.RecordBatch.from_arrays([pa.array([copies], pa.int64())], names=["copies"])
+
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live = np.flatnonzero(balls.counts)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            floor = balls.floor_of(batch.column("_floor").to_numpy(zero_copy_only=False).astype(np.float64))
-            highest = balls.highest(balls.points(batch.column("_vector")))[:, live]
-            # A bound that is no number rules nothing out.
-            rows, reached = np.nonzero(~(highest < floor[:, None]))
-            offsets = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            values = pa.array(live[reached].astype(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-            places = pa.array(floor)
-            columns = [places if name == "_floor" else batch.column(name) for name in names]
+        for piece, floor, inside in (found for batch in batches for found in in_reach(balls, batch)):
+            rows, places = np.nonzero(inside)
+            offsets = np.searchsorted(rows, np.arange(piece.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(live[places].astype(np.int32)))
+            columns = [pa.array(floor) if name == "_floor" else piece.column(name) for name in names]
             yield pa.RecordBatch.from_arrays([*columns, lists], names=[*names, "_balls"])
 
+    aware = materialize(aware)
+    copies = aware.mapInArrow(count, "copies long").agg(F.sum("copies")).first()[0] or 0
+    n_queries, n_blocks = numbered.count(), int(n_parts.sum())
+    item_copies = n_items * math.ceil(copies / n_blocks / query_rows)
+    every = n_queries * math.ceil(n_items / block_rows) + n_items * math.ceil(n_queries / query_rows)
+    if copies + item_copies > every:
+        return None
+    # Written only if they are few.
     aware = materialize(aware.mapInArrow(reach, out))
     wide = aware.withColumn("_centre", F.explode("_balls")).drop("_balls").join(parts, "_centre")
     last = F.col("_first") + F.col("_parts") - 1
     wide = wide.withColumn("_block", F.explode(F.sequence("_first", last))).drop("_centre", "_first", "_parts")
     wide = wide.filter(F.col("_block") != F.col("_home")).drop("_home")
-    n_queries, copies = numbered.count(), wide.count()
-    n_blocks = int((-(-balls.counts // block_rows)).sum())
-    item_copies = n_items * math.ceil(copies / n_blocks / query_rows)
-    every = n_queries * math.ceil(n_items / block_rows) + n_items * math.ceil(n_queries / query_rows)
-    if copies + item_copies > every:
-        return None
     rest, rest_cells = meet(wide, items, "_q", query_rows, cell, schema)
     told = {"balls": int((balls.counts > 0).sum()), "cells": home_cells + rest_cells, "copies": copies, "all": n_queries * n_blocks}
     return home.unionByName(rest), told
