@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +16,9 @@ from pyspark.sql import types as T
 from trackweave.functions.vectors import METRICS, as_vector
 from trackweave.operators import blocks, metric_blocks
 from trackweave.operators.ranking import top_n_per_group
-from trackweave.session import ship_package
+from trackweave.operators.running_best import BLOCK_QUERIES, FOUND, TIE_DIGITS, NumberedSearch, scanned, streamed
+from trackweave.session import materialize, ship_package
 
-# Scores closer than this are ties and ordered by id; well above the noise of double arithmetic.
-TIE_DIGITS = 12
 # Score matrix entries held at once inside a task (32 MB).
 MATRIX_ENTRIES = 4_000_000
 
@@ -48,7 +49,7 @@ def nearest(
         raise ValueError(f"unknown metric {metric!r}, expected one of {METRICS}")
     if k < 1:
         raise ValueError("k must be positive")
-    table = items
+    raw = [side.schema[name].dataType for side, name in ((queries, query_vector), (items, item_vector))]
     queries, items, search, schema = prepared(
         queries, items, k, metric, query_id, query_vector, item_id, item_vector, carry, carry_query, exclude
     )
@@ -65,26 +66,79 @@ def nearest(
 
         partial = items.mapInArrow(scan, schema)
     else:
-
-        def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-            found = search.run(left, [right])
-            return search.nothing(left, right) if found is None else found
-
-        # Counting the unfiltered table does not read its vectors.
-        n_items = table.count()
-        partial = None
-        if n_items * queries.count() >= metric_blocks.WORTH_PAIRS:
-            found = metric_blocks.nearest_in_balls(
-                queries, items, k, search, schema, query_id, item_id, n_items, broadcast_rows, block_rows
-            )
-            partial = found[0] if found else None
-        if partial is None:
-            pairs = blocks.fragment_replicate(queries, items, query_id, item_id, n_items, broadcast_rows, block_rows)
-            partial = pairs.applyInArrow(cell, schema)
+        # The same vectors in half the bytes.
+        if raw[0] == raw[1] == T.ArrayType(T.FloatType()):
+            queries = queries.withColumn("_vector", F.col("_vector").cast("array<float>"))
+        else:
+            items = items.withColumn("_vector", as_vector(F.col("_vector")))
+        partial = _by_distinct_vectors(queries, items, search, broadcast_rows, block_rows)
     order = [F.col("score").desc(), F.col(item_id)]
     return top_n_per_group(partial, [query_id], order, k)
 
 
+def _by_distinct_vectors(queries: DataFrame, items: DataFrame, search: _Search, query_rows: int, block_rows: int) -> DataFrame:
+    """The k best of every query, found once for all queries that are alike, among items one for each distinct vector.
+
+    An item class is a vector with the values that exclude it, in the order of its first id; it stands for its first rows. Where
+    an id excludes a query's own rows, as many further classes and rows are kept as an id has rows at most, so k remain.
+    """
+    k, metric, item_id, out = search.k, search.metric, search.item_id, search.out
+    items = materialize(items)
+    own, labels, spare = [pair for pair in search.exclude if pair[1] == item_id], [pair for pair in search.exclude if pair[1] != item_id], 0
+    if own:
+        most = items.filter(F.col(item_id).isNotNull()).groupBy(item_id).count().agg(F.max("count")).first()[0] or 0
+        spare = most * len(own)
+        if spare > k:
+            own, labels, spare = [], list(search.exclude), 0
+    wanted = k + spare
+
+    kinds = list(dict.fromkeys(["_vector", *[right for _, right in labels]]))
+    kept = materialize(top_n_per_group(items, kinds, [F.col(item_id)], wanted, "_place"))
+    parts = min(blocks.MAX_TASKS, max(2 * items.sparkSession.sparkContext.defaultParallelism, -(-kept.count() // block_rows)))
+    firsts = kept.filter(F.col("_place") == 1).repartitionByRange(parts, item_id).sortWithinPartitions(item_id)
+    # Numbers that ascend like the first ids, so that ties go by them.
+    firsts = materialize(firsts.withColumn("_item", F.monotonically_increasing_id()))
+    named = firsts.select("_item", *[F.col(c).alias(f"_kind{i}") for i, c in enumerate(kinds)])
+    others = _with_kind(kept.filter(F.col("_place") > 1), named, kinds)
+    members = firsts.select("_item", *out).unionByName(others.select("_item", *out))
+
+    alike = list(dict.fromkeys(["_vector", *[left for left, _ in labels]]))
+    asked = materialize(queries.select(*alike).distinct().withColumn("_asked", F.monotonically_increasing_id()))
+    renamed = asked.select("_asked", *[F.col(c).alias(f"_kind{i}") for i, c in enumerate(alike)])
+    asking = _with_kind(queries, renamed, alike).select("_asked", *dict.fromkeys([*search.query_out, *[left for left, _ in own]]))
+
+    found = _numbered(asked, firsts.select("_item", *kinds), NumberedSearch(wanted, metric, labels), query_rows, block_rows)
+    best = top_n_per_group(found, ["_asked"], [F.col("score").desc(), F.col("_item")], wanted, "_place").drop("_place")
+    rows = best.join(members, "_item")
+    rows = top_n_per_group(rows, ["_asked"], [F.col("score").desc(), F.col(item_id)], wanted, "_place")
+    listed = F.collect_list(F.struct("_place", "score", *out))
+    lists = rows.groupBy("_asked").agg(F.array_sort(listed, lambda a, b: a["_place"] - b["_place"]).alias("_list"))
+    answers = asking.join(lists, "_asked")
+    for left, right in own:
+        apart = lambda row: F.coalesce(row[right] != F.col(left), F.lit(True))  # noqa: B023, E731
+        answers = answers.withColumn("_list", F.filter("_list", apart))
+    answers = answers.select(*search.query_out, F.explode(F.slice("_list", 1, k)).alias("_row"))
+    return answers.select(*search.query_out, *[F.col(f"_row.{c}").alias(c) for c in [*out, "score"]])
+
+
+def _with_kind(rows: DataFrame, numbered: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``rows`` with the number of their kind; null values are alike too."""
+    return rows.join(numbered, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_kind{i}")) for i, c in enumerate(columns)]))
+
+
+def _numbered(asked: DataFrame, items: DataFrame, search: NumberedSearch, query_rows: int, block_rows: int) -> DataFrame:
+    """``_asked, _item, score``: candidates that hold the best of every ``_asked``."""
+    few = blocks.small_table(asked, query_rows)
+    if few is not None:
+        return scanned(items.sparkSession.sparkContext.broadcast(few), items, search)
+    n_asked, n_items = asked.count(), items.count()
+    if n_asked * n_items >= metric_blocks.WORTH_PAIRS:
+        found = metric_blocks.nearest_in_balls(asked, items, search.k, search, FOUND, "_asked", "_item", n_items, query_rows, block_rows)
+        if found:
+            return found[0]
+    return streamed(asked, items, search, n_asked, n_items, min(BLOCK_QUERIES, 4 * query_rows))
+
+
 def prepared(queries, items, k, metric, query_id, query_vector, item_id, item_vector, carry, carry_query, exclude, keep=()):
     """Both sides cut to the columns that matter (``keep`` of the items too), the vector as ``_vector``; what a task does; what it returns."""
     query_out = [query_id, *[c for c in carry_query if c != query_id]]
@@ -194,10 +248,20 @@ class _Search:
             return best, floor
         inner = self._exact(q, v, rows, cols)
         final = 1.0 / (1.0 + np.sqrt(-inner)) if self.metric == "euclidean" else inner
+        score = np.round(final, TIE_DIGITS)
+        if len(rows) > self.k * len(q):
+            # However many tie, no more than k a query are copied.
+            by_id = np.empty(chunk.num_rows, np.int64)
+            by_id[pc.sort_indices(chunk, sort_keys=[(self.item_id, "ascending")]).to_numpy()] = np.arange(chunk.num_rows)
+            order = np.lexsort((by_id[cols], -score, rows))
+            rows = rows[order]
+            first = np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k
+            order, rows = order[first], rows[first]
+            cols, inner, score = cols[order], inner[order], score[order]
         found = chunk.select(self.out).take(pa.array(cols))
         found = found.append_column("_q", pa.array(rows))
         found = found.append_column("_inner", pa.array(inner))
-        found = found.append_column("score", pa.array(np.round(final, TIE_DIGITS)))
+        found = found.append_column("score", pa.array(score))
         pool = found if best is None else pa.concat_tables([best, found])
         pool = pool.sort_by([("_q", "ascending"), ("score", "descending"), (self.item_id, "ascending")])
         group = pool.column("_q").to_numpy()
