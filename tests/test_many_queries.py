@@ -64,3 +64,11 @@ def test_widened_recommendations(catalogue, vectors, moved):
     assert not wide.filter("popularity <> track_id % 5 OR popularity IS NULL").count()
     # Each query is searched in one task here: its k best, one to fill up after the artist filter and one for itself.
     assert moved == [(5 * N, N, 5)]
+
+
+def test_refilled_recommendations(catalogue, vectors, moved):
+    found = recommend.recommend_batch(catalogue, catalogue, k=4, exclude_same_artist=True, min_similarity=-1.0, refill=True)
+    scores = scores_of(vectors, "cosine")
+    scores[vectors[1][:, None] == vectors[1][None, :]] = -np.inf
+    assert ranked(found) == firsts(scores, 4)
+    assert moved == [(5 * N, N, 5)]
