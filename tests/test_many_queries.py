@@ -72,3 +72,11 @@ def test_refilled_recommendations(catalogue, vectors, moved):
     scores[vectors[1][:, None] == vectors[1][None, :]] = -np.inf
     assert ranked(found) == firsts(scores, 4)
     assert moved == [(5 * N, N, 5)]
+
+
+def test_nearest_by_distance(catalogue, vectors, moved):
+    items = catalogue.select("track_id", F.col("combined_embedding").alias("vector"))
+    asked = items.withColumnRenamed("track_id", "query_id")
+    found = neighbours.nearest(asked, items, 6, "euclidean", exclude=[("query_id", "track_id")])
+    assert ranked(found) == firsts(scores_of(vectors, "euclidean"), 6)
+    assert moved == [(7 * N, N, 7)]
