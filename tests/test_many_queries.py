@@ -80,3 +80,15 @@ def test_nearest_by_distance(catalogue, vectors, moved):
     found = neighbours.nearest(asked, items, 6, "euclidean", exclude=[("query_id", "track_id")])
     assert ranked(found) == firsts(scores_of(vectors, "euclidean"), 6)
     assert moved == [(7 * N, N, 7)]
+
+
+def test_recommendations_of_other_artists(catalogue, vectors, moved):
+    found = recommend.recommend_batch(catalogue, catalogue, k=5, exclude_same_artist=True, min_similarity=0.2)
+    scores = scores_of(vectors, "cosine")
+    expected = []
+    for i, _, j in firsts(scores, 6):
+        if vectors[1][i] != vectors[1][j] and scores[i, j] >= 0.2:
+            place = 1 + sum(1 for e in expected[-6:] if e[0] == i)
+            expected += [(i, place, j)] if place <= 5 else []
+    assert ranked(found) == expected
+    assert moved == [(7 * N, N, 7)]
