@@ -126,3 +126,26 @@ def test_a_stream_keeps_k_rows_a_query_however_many_items(spark):
     found = running_best.streamed(asked, items, running_best.NumberedSearch(3, "dot", []), 200, 3000, 50)
     assert found.count() == 600
     assert found.filter(F.col("_asked") == 0).count() == 3
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
+def test_tiles_are_pieces_of_queries_and_items(metric, monkeypatch):
+    """Of many queries a tile holds some only, and only groups of items that may matter are looked at pair by pair."""
+    monkeypatch.setattr(running_best, "TILE_ENTRIES", 4000)
+    monkeypatch.setattr(running_best, "TILE_QUERIES", 40)
+    rng = np.random.default_rng(6)
+    q, v = rng.standard_normal((130, 8)), rng.standard_normal((1501, 8))
+    v[900:1000] = v[0]
+    q[[7, 129], 1] = np.inf
+    as_points = metric_blocks.unit_rows if metric == "cosine" else np.asarray
+    with np.errstate(all="ignore"):
+        best, sizes = RunningBest(7, metric, np.arange(130), as_points(q), []), []
+        likely = best._likely
+        monkeypatch.setattr(best, "_likely", lambda piece, rough, longest: (sizes.append((len(best.lengths[piece]), len(rough))), likely(piece, rough, longest))[1])
+        for numbers in np.array_split(np.arange(1501), 3):
+            best.add(numbers, as_points(v)[numbers], [])
+        got = best.found().to_pandas()
+        scores = np.round(exact(metric, q, v), 9)
+    for i in set(range(130)) - {7, 129}:
+        assert got[got._asked == i]._item.tolist() == sorted(range(1501), key=lambda j: (-scores[i, j], j))[:7]
+    assert max(n for n, _ in sizes) == 40 and max(n for _, n in sizes) == 100

@@ -21,8 +21,10 @@ from trackweave.operators.metric_blocks import floor_of, unit_rows
 
 # Scores closer than this are ties and ordered by id; well above the noise of double arithmetic.
 TIE_DIGITS = 12
-# Products held at once inside a task (4 MB).
+# Products held at once inside a task (4 MB), of so many queries with a piece of the items. Nearly square tiles read each vector for many products.
 TILE_ENTRIES = 1 << 20
+TILE_QUERIES = 1024
+GROUP_ITEMS = 128
 # Numbers gathered at once for exact scores (16 MB a side).
 EXACT_ENTRIES = 1 << 21
 # Items that a task should at least have, since the first of them propose the most pairs.
@@ -55,16 +57,16 @@ class RunningBest:
         n = len(matrix)
         self.scores, self.items = np.full((n, k), -np.inf), np.full((n, k), NO_ITEM)
         self.least = np.full(n, -np.inf) if floor is None else floor.copy()
-        self.odd = np.flatnonzero(~np.isfinite(matrix).all(axis=1))
-        finite = np.delete(matrix, self.odd, axis=0)
+        self.is_odd = ~np.isfinite(matrix).all(axis=1)
+        finite = matrix[~self.is_odd]
         # Differences do not change with the origin, and near it single precision tells more of them apart.
         self.origin = finite.mean(axis=0) if metric == "euclidean" and len(finite) else np.zeros(matrix.shape[1])
         self.rough = {np.float64: self._widened(matrix, np.ones(n))}
         self.rough[np.float32] = self.rough[np.float64].astype(np.float32)
         self.lengths = self._lengths(self.rough[np.float64])
-        self.lengths[self.odd] = 0
+        self.lengths[self.is_odd] = 0
         self.squares = np.square(self.lengths) - 1 if metric == "euclidean" else np.zeros(n)
-        self.step = max(1, TILE_ENTRIES // max(1, n))
+        self.step = max(1, TILE_ENTRIES // max(1, min(n, TILE_QUERIES)))
         self.waiting, self.n_waiting = [], 0
         # A tile is no longer than what came before it, so that not too many pairs are proposed against an early floor.
         self.longest_tile = self.step if floor is not None else 2 * k
@@ -111,40 +113,53 @@ class RunningBest:
         while start < len(v):
             early = self.longest_tile < self.step
             stop = start + min(self.step, self.longest_tile)
-            self._tile(numbers[start:stop], v[start:stop], rough[start:stop], wide[start:stop], longest, [c[start:stop] for c in codes])
+            for first in range(0, len(self.q), TILE_QUERIES):
+                piece = slice(first, first + TILE_QUERIES)
+                self._tile(piece, numbers[start:stop], v[start:stop], rough[start:stop], wide[start:stop], longest, [c[start:stop] for c in codes])
+                if self.n_waiting >= max(1024, len(self.q) // 2):
+                    self._merge()
             start = stop
-            if early or self.n_waiting >= max(1024, len(self.q) // 2):
-                self._merge()
             if early:
+                self._merge()
                 self.longest_tile *= 2
 
-    def _likely(self, rough: np.ndarray, longest: float) -> np.ndarray:
-        """Places of the pairs, item by item, whose product may reach what matters."""
-        kind, width = rough.dtype.type, rough.shape[1]
-        size = self.lengths * longest
-        slack = (width + 8) * np.finfo(kind).eps * size + 2e-38 * width * (1 + self.lengths + longest)
-        wanted = self.least
+    def _likely(self, piece: slice, rough: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray]:
+        """Items, and queries of the piece, of the pairs whose product may reach what matters."""
+        kind, width, lengths = rough.dtype.type, rough.shape[1], self.lengths[piece]
+        slack = (width + 8) * np.finfo(kind).eps * lengths * longest + 2e-38 * width * (1 + lengths + longest)
+        wanted = self.least[piece]
         if self.metric == "euclidean":
-            slack += 1e-15 * (self.squares + np.abs(self.least))
-            wanted = (self.least + self.squares) / 2
+            slack += 1e-15 * (self.squares[piece] + np.abs(wanted))
+            wanted = (wanted + self.squares[piece]) / 2
         bound = wanted - slack
         if kind is np.float32:
             # Beyond any product, and within the type.
             bound = np.clip(bound, -3e38, 3e38).astype(np.float32)
+        queries, n = self.rough[kind][piece], len(rough)
+        # Few groups of items hold one that may matter to a query, so only those are looked at pair by pair.
+        groups = -(-n // GROUP_ITEMS)
+        product = np.empty((len(queries), groups * GROUP_ITEMS), kind)
+        product[:, n:] = -np.inf
         with np.errstate(all="ignore"):
-            product = rough @ self.rough[kind].T
-        reached = product >= bound[None, :]
-        if len(self.odd):
-            reached[:, self.odd] = True
-        return np.flatnonzero(reached)
-
-    def _tile(self, numbers, v, rough, wide, longest, codes) -> None:
-        places = self._likely(rough, longest)
-        if rough.dtype == np.float32 and self.longest_tile >= self.step and len(places) > v.shape[0] * len(self.q) // 16:
+            np.matmul(queries, rough.T, out=product[:, :n])
+            product = product.reshape(-1, GROUP_ITEMS)
+            hit = ~(product.max(axis=1).reshape(-1, groups) < bound[:, None])
+            hit[self.is_odd[piece]] = True
+            hit = np.flatnonzero(hit)
+            owner = hit // groups
+            reached = product[hit] >= bound[owner, None]
+        reached[self.is_odd[piece][owner]] = True
+        places, cols = np.divmod(np.flatnonzero(reached), GROUP_ITEMS)
+        cols, rows = cols + hit[places] % groups * GROUP_ITEMS, owner[places] + piece.start
+        real = cols < n
+        return cols[real], rows[real]
+
+    def _tile(self, piece, numbers, v, rough, wide, longest, codes) -> None:
+        cols, rows = self._likely(piece, rough, longest)
+        if rough.dtype == np.float32 and self.longest_tile >= self.step and len(rows) > len(v) * len(self.lengths[piece]) // 16:
             # Too close for single precision.
-            places = self._likely(wide, longest)
-        if len(places):
-            cols, rows = np.divmod(places, len(self.q))
+            cols, rows = self._likely(piece, wide, longest)
+        if len(rows):
             self._propose(rows, cols, numbers, v, codes)
 
     def _propose(self, rows, cols, numbers, v, codes) -> None:
