@@ -149,3 +149,23 @@ def test_tiles_are_pieces_of_queries_and_items(metric, monkeypatch):
     for i in set(range(130)) - {7, 129}:
         assert got[got._asked == i]._item.tolist() == sorted(range(1501), key=lambda j: (-scores[i, j], j))[:7]
     assert max(n for n, _ in sizes) == 40 and max(n for _, n in sizes) == 100
+
+
+def test_kinds_are_told_apart_by_a_number_first(spark, monkeypatch):
+    """Vectors are compared where numbers agree; zeros of both signs and all NaN stay alike, as are missing labels."""
+    shapes = [[0.0, 1.0], [-0.0, 1.0], [float("nan"), 1.0], [2.0, -1.0]]
+    rows = [(i, None if i % 2 else "a", shapes[i % 4] if i % 3 else shapes[0]) for i in range(60)]
+    keys, sizes = [], []
+    best, search = neighbours.top_n_per_group, neighbours._numbered
+    monkeypatch.setattr(neighbours, "top_n_per_group", lambda df, by, *rest: (keys.append(by), best(df, by, *rest))[1])
+    monkeypatch.setattr(neighbours, "_numbered", lambda asked, items, *rest: (sizes.append((asked.count(), items.count())), search(asked, items, *rest))[1])
+    df = spark.createDataFrame(rows, "track_id long, label string, vector array<double>").repartition(3)
+    asked = df.withColumnsRenamed({"track_id": "query_id", "label": "own"})
+    exclude = [("query_id", "track_id"), ("own", "label")]
+    found = neighbours.nearest(asked, df, 4, "dot", exclude=exclude, broadcast_rows=10, block_rows=20)
+    # Labels a and null; the kinds of vectors are zero with one, NaN with one, and two with minus one.
+    kinds = {(label, "zero" if v[0] == 0 else "nan" if v[0] != v[0] else "two") for _, label, v in rows}
+    assert sizes == [(len(kinds), len(kinds))]
+    assert [by[0] for by in keys if "_vector" in by] == ["_hash"]
+    # Nothing is near to what is no number.
+    assert found.select("query_id").distinct().count() == sum(v[0] == v[0] for _, _, v in rows)

@@ -93,7 +93,9 @@ def _by_distinct_vectors(queries: DataFrame, items: DataFrame, search: _Search,
     wanted = k + spare
 
     kinds = list(dict.fromkeys(["_vector", *[right for _, right in labels]]))
-    kept = materialize(top_n_per_group(items, kinds, [F.col(item_id)], wanted, "_place"))
+    # Rows are sorted by a number first, since comparing vectors is slow.
+    kept = top_n_per_group(items.withColumn("_hash", F.xxhash64(*kinds)), ["_hash", *kinds], [F.col(item_id)], wanted, "_place")
+    kept = materialize(kept.drop("_hash"))
     parts = min(blocks.MAX_TASKS, max(2 * items.sparkSession.sparkContext.defaultParallelism, -(-kept.count() // block_rows)))
     firsts = kept.filter(F.col("_place") == 1).repartitionByRange(parts, item_id).sortWithinPartitions(item_id)
     # Numbers that ascend like the first ids, so that ties go by them.
@@ -122,8 +124,11 @@ def _by_distinct_vectors(queries: DataFrame, items: DataFrame, search: _Search,
 
 
 def _with_kind(rows: DataFrame, numbered: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``rows`` with the number of their kind; null values are alike too."""
-    return rows.join(numbered, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_kind{i}")) for i, c in enumerate(columns)]))
+    """``rows`` with the number of their kind; null values are alike too. A number of each kind is compared before the vectors are."""
+    rows = rows.withColumn("_hash", F.xxhash64(*columns))
+    numbered = numbered.withColumn("_kind", F.xxhash64(*[f"_kind{i}" for i in range(len(columns))]))
+    alike = [F.col(c).eqNullSafe(F.col(f"_kind{i}")) for i, c in enumerate(columns)]
+    return rows.join(numbered, reduce(and_, [F.col("_hash") == F.col("_kind"), *alike]))
 
 
 def _numbered(asked: DataFrame, items: DataFrame, search: NumberedSearch, query_rows: int, block_rows: int) -> DataFrame:
