@@ -169,3 +169,16 @@ def test_kinds_are_told_apart_by_a_number_first(spark, monkeypatch):
     assert [by[0] for by in keys if "_vector" in by] == ["_hash"]
     # Nothing is near to what is no number.
     assert found.select("query_id").distinct().count() == sum(v[0] == v[0] for _, _, v in rows)
+
+
+def test_distances_by_pieces_of_queries_far_from_the_origin(monkeypatch):
+    """Each piece has the bounds of its own queries, around the mean of all."""
+    monkeypatch.setattr(running_best, "TILE_ENTRIES", 3000)
+    monkeypatch.setattr(running_best, "TILE_QUERIES", 30)
+    rng = np.random.default_rng(9)
+    q, v = rng.standard_normal((75, 6)) + 1000, rng.standard_normal((1200, 6)) * np.linspace(0.1, 3, 1200)[:, None] + 1000
+    best = RunningBest(5, "euclidean", np.arange(75), q, [])
+    best.add(np.arange(1200), v, [])
+    got, scores = best.found().to_pandas(), np.round(exact("euclidean", q, v), 12)
+    for i in range(75):
+        assert got[got._asked == i]._item.tolist() == sorted(range(1200), key=lambda j: (-scores[i, j], j))[:5]
