@@ -182,3 +182,14 @@ def test_distances_by_pieces_of_queries_far_from_the_origin(monkeypatch):
     got, scores = best.found().to_pandas(), np.round(exact("euclidean", q, v), 12)
     for i in range(75):
         assert got[got._asked == i]._item.tolist() == sorted(range(1200), key=lambda j: (-scores[i, j], j))[:5]
+
+
+def test_queries_of_many_partitions_are_gathered(spark, monkeypatch):
+    """Partitions of a few rows would each write a file for all others."""
+    parts, join = [], neighbours._with_kind
+    monkeypatch.setattr(neighbours, "_with_kind", lambda rows, *rest: (parts.append(rows.rdd.getNumPartitions()), join(rows, *rest))[1])
+    many = 4 * spark.sparkContext.defaultParallelism
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(300)], "track_id long, vector array<double>")
+    found = neighbours.nearest(df.withColumnRenamed("track_id", "query_id").repartition(many), df, 2, "dot", broadcast_rows=20)
+    assert found.count() == 600
+    assert parts[-1] == many // 2

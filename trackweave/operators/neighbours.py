@@ -105,6 +105,8 @@ def _by_distinct_vectors(queries: DataFrame, items: DataFrame, search: _Search,
     members = firsts.select("_item", *out).unionByName(others.select("_item", *out))
 
     alike = list(dict.fromkeys(["_vector", *[left for left, _ in labels]]))
+    # Without a few rows in each of very many partitions, which would all write to all others.
+    queries = queries.coalesce(max(2 * queries.sparkSession.sparkContext.defaultParallelism, -(-queries.count() // block_rows)))
     asked = materialize(queries.select(*alike).distinct().withColumn("_asked", F.monotonically_increasing_id()))
     renamed = asked.select("_asked", *[F.col(c).alias(f"_kind{i}") for i, c in enumerate(alike)])
     asking = _with_kind(queries, renamed, alike).select("_asked", *dict.fromkeys([*search.query_out, *[left for left, _ in own]]))
