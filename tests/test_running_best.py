@@ -193,3 +193,60 @@ def test_queries_of_many_partitions_are_gathered(spark, monkeypatch):
     found = neighbours.nearest(df.withColumnRenamed("track_id", "query_id").repartition(many), df, 2, "dot", broadcast_rows=20)
     assert found.count() == 600
     assert parts[-1] == many // 2
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
+@pytest.mark.parametrize("labelled", [False, True])
+def test_few_pairs_are_summed_again(metric, labelled, monkeypatch):
+    """The first items tell what the k best must reach, so few pairs are proposed; items that a label excludes tell nothing."""
+    rng = np.random.default_rng(12)
+    q, v = rng.standard_normal((64, 16)), rng.standard_normal((4000, 16))
+    # Most of the nearest items are those that the label excludes.
+    v[::4] = q[rng.integers(0, 64, 1000)] + 0.01 * rng.standard_normal((1000, 16))
+    if not labelled:
+        v[::4] = rng.standard_normal((1000, 16))
+    codes = np.where(np.arange(4000) % 4 == 0, 1, 2)
+    as_points = metric_blocks.unit_rows if metric == "cosine" else np.asarray
+    q, v = as_points(q), as_points(v)
+    best, proposed = RunningBest(5, metric, np.arange(64), q, [pa.array(np.ones(64, int))] if labelled else []), []
+    propose = best._propose
+    monkeypatch.setattr(best, "_propose", lambda rows, *rest: (proposed.append(rows), propose(rows, *rest)))
+    best.add(np.arange(4000), v, [pa.array(codes)] if labelled else [])
+    got, scores = best.found().to_pandas(), np.round(exact(metric, q, v), 12)
+    allowed = np.flatnonzero(codes == 2) if labelled else np.arange(4000)
+    for i in range(64):
+        assert got[got._asked == i]._item.tolist() == sorted(allowed.tolist(), key=lambda j: (-scores[i, j], j))[:5]
+    if not labelled:
+        # Without what the first items tell, each doubling of the items proposes some again: above 35 a query.
+        assert len(np.concatenate(proposed)) < 20 * 64
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
+def test_first_items_that_tell_little(metric):
+    """Fewer items than neighbours, all equal, next to no candidate, no numbers among them, very large or very small ones."""
+    rng = np.random.default_rng(13)
+    as_points = metric_blocks.unit_rows if metric == "cosine" else np.asarray
+    for shape in ("few", "equal", "excluded", "nan", "large", "small"):
+        v = rng.standard_normal((5 if shape == "few" else 300, 4))
+        v = {"equal": np.ones_like(v), "large": v * 1e18, "small": v * 1e-9}.get(shape, v)
+        if shape == "nan":
+            v[10:290] = np.nan
+        labels = np.zeros(len(v), int) if shape == "excluded" else np.ones(len(v), int)
+        if shape == "excluded":
+            labels[[3, 200]] = 1
+        with np.errstate(all="ignore"):
+            best = RunningBest(9, metric, np.arange(20), as_points(v[:5].repeat(4, axis=0)), [pa.array(np.zeros(20, int))])
+            # The first piece has less than is wanted.
+            for numbers in np.split(np.arange(len(v)), [4, 150]):
+                best.add(numbers, as_points(v)[numbers], [pa.array(labels[numbers])])
+            got, scores = best.found().to_pandas(), np.round(exact(metric, v[:5].repeat(4, axis=0), v), 12)
+        for i in range(20):
+            allowed = [j for j in np.flatnonzero(labels).tolist() if not np.isnan(scores[i, j])]
+            expected = sorted(allowed, key=lambda j: (-scores[i, j], j))[:9]
+            mine = got[got._asked == i]._item.tolist()
+            assert len(mine) == len(expected), shape
+            if shape in ("large", "small"):
+                # Sums of other order differ in the last digits.
+                assert np.allclose(scores[i, mine], scores[i, expected], rtol=1e-9, atol=1e-11), shape
+            else:
+                assert mine == expected, shape

@@ -56,7 +56,7 @@ def floor_of(metric: str, scores: np.ndarray) -> np.ndarray:
     slack = scores - SCORE_SLACK * np.maximum(1.0, np.abs(scores))
     if metric != "euclidean":
         return slack
-    with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore", over="ignore"):
         return np.where(slack > 0, -np.square(1 / np.maximum(slack, 1e-300) - 1), -np.inf)
 
 

@@ -24,11 +24,13 @@ TIE_DIGITS = 12
 # Products held at once inside a task (4 MB), of so many queries with a piece of the items. Nearly square tiles read each vector for many products.
 TILE_ENTRIES = 1 << 20
 TILE_QUERIES = 1024
-GROUP_ITEMS = 128
-# Numbers gathered at once for exact scores (16 MB a side).
-EXACT_ENTRIES = 1 << 21
+GROUP_ITEMS = 32
+# The first items, whose products tell what the k best must reach before a pair is looked at.
+SEED_ITEMS = 2048
+# Numbers gathered at once for exact scores (512 KB a side).
+EXACT_ENTRIES = 1 << 16
 # Items that a task should at least have, since the first of them propose the most pairs.
-PART_ITEMS = 20_000
+PART_ITEMS = 50_000
 # Queries of a block, unless their vectors need more than the bytes.
 BLOCK_QUERIES = 16_384
 BLOCK_BYTES = 16 << 20
@@ -65,9 +67,13 @@ class RunningBest:
         self.rough[np.float32] = self.rough[np.float64].astype(np.float32)
         self.lengths = self._lengths(self.rough[np.float64])
         self.lengths[self.is_odd] = 0
-        self.squares = np.square(self.lengths) - 1 if metric == "euclidean" else np.zeros(n)
+        moved = self.rough[np.float64][:, :-1]
+        with np.errstate(all="ignore"):
+            self.squares = np.einsum("ij,ij->i", moved, moved) if metric == "euclidean" else np.zeros(n)
+        self.squares[self.is_odd] = 0
         self.step = max(1, TILE_ENTRIES // max(1, min(n, TILE_QUERIES)))
         self.waiting, self.n_waiting = [], 0
+        self.tile, self.seeds = {}, SEED_ITEMS
         # A tile is no longer than what came before it, so that not too many pairs are proposed against an early floor.
         self.longest_tile = self.step if floor is not None else 2 * k
 
@@ -110,6 +116,9 @@ class RunningBest:
         plain = max(longest, float(self.lengths.max())) < 1e15
         rough = wide.astype(np.float32) if plain else wide
         start = 0
+        if self.seeds > 0:
+            self._seed(rough[: self.seeds], longest, codes)
+            self.seeds -= len(v)
         while start < len(v):
             early = self.longest_tile < self.step
             stop = start + min(self.step, self.longest_tile)
@@ -123,10 +132,50 @@ class RunningBest:
                 self._merge()
                 self.longest_tile *= 2
 
+    def _product(self, piece: slice, rough: np.ndarray, rows: int) -> np.ndarray:
+        """Products, a row for each item, in memory that the next call uses again; further rows up to ``rows`` are no candidates."""
+        kind, queries = rough.dtype.type, self.rough[rough.dtype.type][piece]
+        if kind not in self.tile or self.tile[kind].size < rows * len(queries):
+            self.tile[kind] = np.empty(rows * len(queries), kind)
+        product = self.tile[kind][: rows * len(queries)].reshape(rows, len(queries))
+        product[len(rough) :] = -np.inf
+        with np.errstate(all="ignore"):
+            np.matmul(rough, queries.T, out=product[: len(rough)])
+        return product
+
+    def _slack(self, piece: slice, rough: np.ndarray, longest: float) -> np.ndarray:
+        """How far a product may be from the exact one."""
+        width, lengths = rough.shape[1], self.lengths[piece]
+        return (width + 8) * np.finfo(rough.dtype).eps * lengths * longest + 2e-38 * width * (1 + lengths + longest)
+
+    def _seed(self, rough: np.ndarray, longest: float, codes: Sequence[np.ndarray]) -> None:
+        """What the k best must reach, from a few items: k groups of them hold one that is at least the k-th largest of their maxima."""
+        size = max(1, len(rough) // (4 * self.k))
+        groups = len(rough) // size
+        if groups < self.k:
+            return
+        rough = rough[: groups * size]
+        queries = max(1, min(TILE_QUERIES, TILE_ENTRIES // len(rough)))
+        for first in range(0, len(self.q), queries):
+            piece = slice(first, first + queries)
+            product = self._product(piece, rough, len(rough))
+            for own, other in zip(self.codes, codes):
+                other = other[: len(rough), None]
+                product[(other >= 0) & (other == own[None, piece])] = -np.inf
+            with np.errstate(all="ignore"):
+                highest = product.reshape(groups, size, -1).max(axis=1)
+                reached = np.partition(highest, groups - self.k, axis=0)[groups - self.k].astype(np.float64)
+                reached[np.isnan(highest).any(axis=0) | self.is_odd[piece]] = -np.inf
+                reached -= self._slack(piece, rough, longest)
+                if self.metric == "euclidean":
+                    squares = self.squares[piece]
+                    apart = squares - 2 * reached + 1e-15 * (squares + np.abs(reached))
+                    reached = 1 / (1 + np.sqrt(np.maximum(0.0, apart)))
+                self.least[piece] = np.maximum(self.least[piece], floor_of(self.metric, reached))
+
     def _likely(self, piece: slice, rough: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray]:
         """Items, and queries of the piece, of the pairs whose product may reach what matters."""
-        kind, width, lengths = rough.dtype.type, rough.shape[1], self.lengths[piece]
-        slack = (width + 8) * np.finfo(kind).eps * lengths * longest + 2e-38 * width * (1 + lengths + longest)
+        kind, n, slack = rough.dtype.type, len(rough), self._slack(piece, rough, longest)
         wanted = self.least[piece]
         if self.metric == "euclidean":
             slack += 1e-15 * (self.squares[piece] + np.abs(wanted))
@@ -135,22 +184,19 @@ class RunningBest:
         if kind is np.float32:
             # Beyond any product, and within the type.
             bound = np.clip(bound, -3e38, 3e38).astype(np.float32)
-        queries, n = self.rough[kind][piece], len(rough)
         # Few groups of items hold one that may matter to a query, so only those are looked at pair by pair.
         groups = -(-n // GROUP_ITEMS)
-        product = np.empty((len(queries), groups * GROUP_ITEMS), kind)
-        product[:, n:] = -np.inf
+        product = self._product(piece, rough, groups * GROUP_ITEMS)
+        asked = product.shape[1]
         with np.errstate(all="ignore"):
-            np.matmul(queries, rough.T, out=product[:, :n])
-            product = product.reshape(-1, GROUP_ITEMS)
-            hit = ~(product.max(axis=1).reshape(-1, groups) < bound[:, None])
-            hit[self.is_odd[piece]] = True
-            hit = np.flatnonzero(hit)
-            owner = hit // groups
-            reached = product[hit] >= bound[owner, None]
+            hit = ~(product.reshape(groups, GROUP_ITEMS, asked).max(axis=1) < bound)
+            hit[:, self.is_odd[piece]] = True
+            group, owner = np.divmod(np.flatnonzero(hit), asked)
+            places = (group * GROUP_ITEMS * asked + owner)[:, None] + np.arange(GROUP_ITEMS) * asked
+            reached = product.ravel()[places] >= bound[owner, None]
         reached[self.is_odd[piece][owner]] = True
         places, cols = np.divmod(np.flatnonzero(reached), GROUP_ITEMS)
-        cols, rows = cols + hit[places] % groups * GROUP_ITEMS, owner[places] + piece.start
+        cols, rows = cols + group[places] * GROUP_ITEMS, owner[places] + piece.start
         real = cols < n
         return cols[real], rows[real]
 
